@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
+from .language import op9_language
+from .packing import op8_packing
+from .substring import op7_substring_dedup
 from .token_store import op10_token_store
+from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op4_bpe": op4_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_packing": op8_packing,
+    "op9_language": op9_language,
     "op10_token_store": op10_token_store,
 }
 
