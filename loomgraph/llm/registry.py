@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .embedding_dedup import op3_embedding_dedup
 from .language import op9_language
+from .lm_scoring import op2_lm_scoring
 from .near_dup import op1_near_duplicates
 from .packing import op8_packing
 from .substring import op7_substring_dedup
@@ -13,6 +14,7 @@ from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
