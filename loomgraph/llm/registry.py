@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op4_bpe
 from .embedding_dedup import op3_embedding_dedup
 from .language import op9_language
 from .lm_scoring import op2_lm_scoring
 from .near_dup import op1_near_duplicates
 from .packing import op8_packing
+from .search import op5_search
 from .substring import op7_substring_dedup
 from .token_store import op10_token_store
 from .toxicity import op6_toxicity
@@ -17,11 +20,13 @@ QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_bpe": op4_bpe,
+    "op5_search": op5_search,
     "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_token_store": op10_token_store,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
