@@ -1,0 +1 @@
+"""Property graphs on Spark: openCypher, graph algorithms, streaming, vector search, knowledge graphs."""
