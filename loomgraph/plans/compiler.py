@@ -71,8 +71,8 @@ _STRING_FUNCTIONS: dict[str, Callable[..., Column]] = {
     "tointeger": lambda c: c.try_cast("double").cast("long"),
     "tofloat": lambda c: c.try_cast("double"),
     "toboolean": lambda c: F.when(F.lower(c.cast("string")).isin("true", "false"), F.lower(c.cast("string")) == "true"),
-    "head": lambda c: F.try_element_at(c, F.lit(1)),
-    "last": lambda c: F.try_element_at(c, F.lit(-1)),
+    "head": lambda c: F.get(c, F.lit(0)),
+    "last": lambda c: F.get(c, F.size(c) - 1),
     "tail": lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))),
     "length": lambda c: F.length(c),
     "coalesce": F.coalesce,
@@ -543,7 +543,8 @@ class Compiler:
 
     def e_index(self, env, e, i):
         at = self.value(i, env).cast("int")
-        return F.try_element_at(self.value(e, env), F.when(at >= 0, at + 1).otherwise(at))
+        c = self.value(e, env)
+        return F.get(c, F.when(at >= 0, at).otherwise(at + F.size(c)))
 
     def e_slice(self, env, e, low, high):
         c = self.value(e, env)
