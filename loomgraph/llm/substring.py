@@ -12,12 +12,13 @@ the number of anchors up to ``MAX_WIDTH_LOG`` (beyond that the filter lets more
 
 Pass 2 hashes the windows whose anchor is estimated repeated, drops later copies inside a task at once, and sends one
 row set per task and hash bucket; a bucket finds the first place of each 96-bit window hash over all tasks. As a window
-comes at most once from each task, no frequent window makes a bucket large. Last, each document meets its own removed
-windows, and gives up the words they cover.
+comes at most once from each task, no frequent window makes a bucket large. The places of removed windows travel packed
+by buckets of documents. Last, each document meets its own removed windows, and gives up the words they cover.
 
 Null text has no words. Rows with equal doc_id are ordered by a hash of their text; rows that are equal in both count
 as one document, and none of them loses words to the other. A null doc_id comes first. An empty table
-gives no rows. Extra columns are ignored, or kept by ``dedup``.
+gives no rows. Extra columns are ignored, or kept by ``dedup``,
+which replaces columns named n_words or n_removed.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import SECOND_BASE, Scratch, Words, mix64, parallelism, span_hashes, text_slices
 
@@ -157,19 +159,32 @@ def _first_of_each(rows: np.ndarray) -> np.ndarray:
     return (rows["doc"] == rows["doc"][head]) & (rows["tie"] == rows["tie"][head]) & (rows["start"] == rows["start"][head])
 
 
-def _removed(rows: np.ndarray) -> pa.RecordBatch:
-    """A row per document with the starts of its removed windows."""
-    order = np.lexsort((rows["start"], rows["tie"], rows["doc"]))
-    rows = rows[order]
-    new = np.flatnonzero(np.concatenate([[True], (rows["doc"][1:] != rows["doc"][:-1]) | (rows["tie"][1:] != rows["tie"][:-1])])) if len(rows) else np.zeros(0, np.int64)
-    starts = rows["start"].astype("<i4")
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(new), -1), pa.int32()), pa.array(rows["doc"][new], pa.int64()), pa.array(rows["tie"][new], pa.int32()), pa.array([x.tobytes() for x in np.split(starts, new[1:])] if len(new) else [], pa.binary())],
-        names=["bucket", "doc", "tie", "data"],
-    )
+def _removed(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The places of removed windows, packed into one row for each bucket of documents (-1, -2, ...), column by column."""
+    bucket = (mix64(rows["doc"].astype(np.uint64) ^ rows["tie"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((rows["start"], rows["tie"], rows["doc"], bucket))
+    rows, bucket = rows[order], bucket[order]
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    parts = np.split(rows, at[1:]) if len(at) else []
+    return pa.RecordBatch.from_arrays([pa.array(-1 - bucket[at], pa.int32()), pa.array([b"".join(x[c].tobytes() for c in ("doc", "tie", "start")) for x in parts], pa.binary())], names=["bucket", "data"])
 
 
-_ROWS = "bucket int, doc long, tie int, data binary"
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document with the sorted starts of its removed windows; all of a document's are in one bucket."""
+    held: dict[int, list[bytes]] = {}
+    for b in batches:
+        for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist(), strict=True):
+            held.setdefault(bucket, []).append(data)
+    for bucket in sorted(held):
+        parts = held.pop(bucket)
+        doc, tie, start = (np.concatenate([np.frombuffer(x, kind, len(x) // 16, at * (len(x) // 16)) for x in parts]) for kind, at in (("<i8", 0), ("<i4", 8), ("<i4", 12)))
+        order = np.lexsort((start, tie, doc))
+        doc, tie, start = doc[order], tie[order], start[order]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])]))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(tie[new]), pa.array([x.tobytes() for x in np.split(start, new[1:])], pa.binary())], names=["doc", "tie", "starts"])
+
+
+_ROWS = "bucket int, data binary"
 
 
 def _candidates(bits, width_log: int, buckets: int, window: int):
@@ -187,13 +202,13 @@ def _candidates(bits, width_log: int, buckets: int, window: int):
         def flush() -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(held)
             first = _first_of_each(rows)
-            yield _removed(rows[~first])
+            yield _removed(rows[~first], buckets)
             rows = rows[first]
             bucket = (rows["hash"] % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.array([x.tobytes() for x in np.split(rows, at[1:])] if len(at) else [], pa.binary())], names=["bucket", "doc", "tie", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([x.tobytes() for x in np.split(rows, at[1:])] if len(at) else [], pa.binary())], names=["bucket", "data"])
 
         for batch, raw in text_slices(batches):
             words = Words(raw)
@@ -221,20 +236,24 @@ def _two_hashes(words: Words, starts: np.ndarray, window: int) -> tuple[np.ndarr
     return span_hashes(words.hash, starts, starts + window), (span_hashes(words.hash, starts, starts + window, SECOND_BASE) >> np.uint64(32)).astype(np.uint32)
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(buckets: int):
     """All rows of the buckets of this partition: passes removed windows on, and finds those that another task has earlier."""
-    held: dict[int, list[np.ndarray]] = {}
-    for b in batches:
-        gone = b.filter(pc.equal(b.column("bucket"), -1))
-        if len(gone):
-            yield gone
-        for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist(), strict=True):
-            if bucket >= 0:
-                held.setdefault(bucket, []).append(np.frombuffer(data, _WINDOW_BYTES))
-    for bucket in sorted(held):
-        rows = np.concatenate(held.pop(bucket))
-        first = _first_of_each(rows)
-        yield _removed(rows[~first])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            gone = b.filter(pc.less(b.column("bucket"), 0))
+            if len(gone):
+                yield gone
+            for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist(), strict=True):
+                if bucket >= 0:
+                    held.setdefault(bucket, []).append(np.frombuffer(data, _WINDOW_BYTES))
+        for bucket in sorted(held):
+            rows = np.concatenate(held.pop(bucket))
+            first = _first_of_each(rows)
+            yield _removed(rows[~first], buckets)
+
+    return run
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -247,7 +266,7 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 # --------------------------------------------------------------------------- the operator
 def removed_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
-    """doc, tie, parts (binary, int32 starts): the windows to remove, gathered by document."""
+    """doc, tie, starts (int32, as bytes): the windows to remove, by document."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketches = scratch.write(source.select("text").mapInArrow(_sketch(window), "row int, range int, n long, cells binary, twice binary"), "sketches")
@@ -262,42 +281,41 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     scratch.drop("sketches")
     buckets = max(parallelism(spark), int(anchors) * (WINDOW - GRAM + 1) // 2 // WINDOWS_PER_BUCKET + 1)
     found = source.mapInArrow(_candidates(shared, width_log, buckets, window), _ROWS)
-    key = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc", "tie"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    settled = found.repartition(buckets, key).mapInArrow(_settle, _ROWS)
-    removed = scratch.write(settled.select("doc", "tie", "data"), "removed")
-    return removed.groupBy("doc", "tie").agg(F.collect_list("data").alias("parts"))  # one document's windows
+    settled = scratch.write(found.repartition(buckets, "bucket").mapInArrow(_settle(buckets), _ROWS), "removed")
+    return settled.repartition(buckets, "bucket").mapInArrow(_gather, "doc long, tie int, starts binary")
 
 
 def _joined(docs: DataFrame, scratch: Scratch, window: int) -> DataFrame:
-    removed = removed_windows(docs, scratch, window).withColumnRenamed("doc", "__doc").withColumnRenamed("tie", "__tie").withColumnRenamed("parts", "__parts")
+    removed = removed_windows(docs, scratch, window).withColumnRenamed("doc", "__doc").withColumnRenamed("tie", "__tie").withColumnRenamed("starts", "__starts")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     tie = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int")
     return docs.join(removed, (doc == F.col("__doc")) & (tie == F.col("__tie")), "left").drop("__doc", "__tie")
 
 
-def _keep(parts: list[bytes] | None, text: bytes, window: int) -> tuple[int, int, bytes]:
+def _keep(starts: bytes | None, text: bytes, window: int) -> tuple[int, int, bytes]:
     words = text.split()  # bytes split at exactly the white space of the words' definition
-    if not parts:
+    if not starts:
         return len(words), 0, b" ".join(words)
-    gone = covered(len(words), np.concatenate([np.frombuffer(p, "<i4") for p in parts]), window)
+    gone = covered(len(words), np.frombuffer(starts, "<i4"), window)
     return len(words), int(gone.sum()), b" ".join(itertools.compress(words, (~gone).tolist()))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
     """All columns of docs, text without the removed words, and n_words and n_removed."""
     scratch = scratch or Scratch(docs.sparkSession, "substring")
+    docs = docs.drop("n_words", "n_removed")
     joined = _joined(docs, scratch, window)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in text_slices(batches):
-            kept = [_keep(p, x, window) for p, x in zip(batch.column("__parts").to_pylist(), raw, strict=True)]
+            kept = [_keep(p, x, window) for p, x in zip(batch.column("__starts").to_pylist(), raw, strict=True)]
             # a text that loses nothing stays as it is, white space included
             texts = [k[2].decode() if k[1] else None if null else x.decode() for k, x, null in zip(kept, raw, batch.column("text").is_null().to_pylist(), strict=True)]
             columns = [pa.array(texts, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], names=[*names, "n_words", "n_removed"])
 
-    return joined.mapInArrow(run, docs.schema.add("n_words", "long").add("n_removed", "long"))
+    return joined.mapInArrow(run, StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType())]))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +325,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in text_slices(batches):
-            kept = [_keep(p, x, WINDOW) for p, x in zip(batch.column("__parts").to_pylist(), raw, strict=True)]
+            kept = [_keep(p, x, WINDOW) for p, x in zip(batch.column("__starts").to_pylist(), raw, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([hashlib.sha256(k[2]).hexdigest() for k in kept])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return _joined(docs, Scratch(spark, "substring"), WINDOW).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
