@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import lean_batches, text_slices
 
 CACHE_WORDS = 150_000
 # Scripts in which Python's and the library's Unicode tables agree on letters, digits and case.
@@ -169,6 +169,7 @@ def codec(path: str) -> Codec:
 
 
 def _source(docs: DataFrame) -> DataFrame:
+    lean_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+ARROW_BATCH = "8m"
 SLICE_BYTES = 1 << 21  # text handled by one numpy pass; a longer single document is one slice
 
 
@@ -37,6 +38,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Batches of whole texts that go to Python stay small, so that a task's memory doesn't follow the length of its texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage and outlive executors.
 
@@ -44,6 +50,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        lean_batches(spark)
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.close)
@@ -169,14 +176,18 @@ def byte_tokenizer(path: str):
     The file's vocabulary runs through tiktoken's merge loop, which gives the same ids several times faster when
     ids follow the merge order; a file in which they don't, and texts whose regex search overflows, go to the library itself.
     """
-    from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.no_truncation()
-    own.no_padding()
+    @functools.lru_cache(1)
+    def library():  # loaded only where it is needed, as a worker's memory is small
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        own.no_truncation()
+        own.no_padding()
+        return own
 
     def slow(text: str) -> np.ndarray:
-        return np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(library().encode(text, add_special_tokens=False).ids, np.uint32)
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
