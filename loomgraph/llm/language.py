@@ -22,8 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import mix64, text_slices
+from .common import lean_batches, mix64, text_slices
 
 N = 4
 MAX_DOCS = 2000  # documents of each language that learn() reads, about
@@ -96,6 +97,7 @@ def _probes(grams: np.ndarray) -> list[np.ndarray]:
 
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Filter:
     """docs: doc_id, text, lang; rows without lang are left out. The driver gets a count per language and at most 1 / MIN_SHARE n-grams of each."""
+    lean_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and doc_id is not null")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -142,7 +144,13 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
             lang, score = decide(shared.value, raw)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, docs.schema.add("lang_pred", "string").add("lang_score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
+
+
+def identified(docs: DataFrame, model: Filter) -> DataFrame:
+    """The documents in which a learned language was found, with the columns they came with."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return predict(rows, model).where("lang_pred <> 'und' and lang_score > 0").select("row.*")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
