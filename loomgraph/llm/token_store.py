@@ -68,6 +68,13 @@ _STAGED = pa.schema([("key", pa.int64()), ("kind", pa.string()), ("digest", pa.b
 _STAGED_SQL = "key long, kind string, digest binary, payload binary, doc_id long, n_tokens long, lens array<int>, digests array<binary>, leaf binary"
 
 
+_FOLDERS = {
+    "objects": "digest binary, payload binary, doc_id long, n_tokens long, lens array<int>, digests array<binary>, leaf binary, kind string",
+    "recipes": "doc_id long, n_tokens long, lens array<int>, digests array<binary>, leaf binary, local_start long, row long, shard int",
+    "manifest": "shard int, n_docs long, n_tokens long, root binary, shard_start long",
+}
+
+
 def _stage(tokenizer: str, end_id: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = byte_tokenizer(tokenizer), set()
@@ -168,7 +175,7 @@ class TokenStore:
         return self
 
     def _read(self, folder: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{folder}")
+        return self.spark.read.schema(_FOLDERS[folder]).parquet(f"{self.path}/{folder}")
 
     def _roots(self, leaf) -> DataFrame:
         """A row per shard; a shard holds one range of documents, and 32 bytes of each come to the task that folds it."""

@@ -8,7 +8,8 @@ size is fixed by ``BUCKETS``) and reads every whole text once.
 
 Null and empty texts have no features and get the score of the bias. Rows with equal doc_id are scored one by one.
 A null doc_id is not held out. Without toxic or without clean labelled rows, every score is the share of toxic rows (0 if
-there are no labels). Extra columns are ignored by ``score`` and kept by ``keep_clean``.
+there are no labels). Extra columns are kept, whatever their
+names by ``keep_clean``; ``score`` asks for a free name.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import text_slices
+from .common import lean_batches, text_slices
 
 ORDERS = (3, 4, 5)
 BUCKETS_LOG = 20
@@ -76,20 +78,19 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Model:
     prior = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if toxic.all() or not toxic.any():
         return Model(np.zeros(BUCKETS, np.float32), prior)
-    docs, buckets = [], []
-    for begin in range(0, len(texts), 500):
-        d, b = _features(texts[begin : begin + 500])
-        docs.append((d + begin).astype(np.int32))
-        buckets.append(b.astype(np.int32))
-    doc, bucket = np.concatenate(docs), np.concatenate(buckets)
-    del docs, buckets
-    p = np.bincount(bucket[toxic[doc]], minlength=BUCKETS).astype(float)
-    q = np.bincount(bucket[~toxic[doc]], minlength=BUCKETS).astype(float)
+    parts = [(i, texts[i : i + 200]) for i in range(0, len(texts), 200)]
+    p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for begin, part in parts:  # counts first, so that memory holds the features of use only
+        d, b = _features(part)
+        held = toxic[d + begin]
+        p += np.bincount(b[held], minlength=BUCKETS)
+        q += np.bincount(b[~held], minlength=BUCKETS)
     n_p, n_q = toxic.sum(), (~toxic).sum()
     ratio = np.log((p + SMOOTHING) / (n_p + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (n_q + 2 * SMOOTHING))
     ratio[(p + q < MIN_ROWS) | (np.abs(ratio) < MIN_RATIO)] = 0
-    held = ratio[bucket] != 0
-    doc, bucket = doc[held], bucket[held]
+    found = [(d + begin, b) for begin, part in parts for d, b in [_features(part, ratio != 0)]]
+    doc, bucket = (np.concatenate([x[k] for x in found]).astype(np.int32) for k in (0, 1))
+    del found
     scale = ratio[bucket]
     y, w, b = toxic.astype(float), np.zeros(BUCKETS), 0.0
     g2, gb2 = np.full(BUCKETS, 1e-8), 1e-8
@@ -124,24 +125,23 @@ def scores(model: Model, raw: list[bytes]) -> np.ndarray:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs and score, from 0 to 1."""
     spark = docs.sparkSession
+    lean_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats
     names = docs.columns
+    if "score" in names:
+        raise ValueError("the documents have a column score already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in text_slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(shared.value, raw), pa.float64())], names=[*names, "score"])
 
-    schema = docs.schema.add("score", "double") if "score" not in names else None
-    if schema is None:
-        raise ValueError("the documents have a column score already")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents scored below the threshold, with the columns they came with."""
-    slim = docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs
-    kept = score(slim, model).where(F.col("score") < threshold).drop("score")
-    return kept.withColumnRenamed("__score", "score") if "score" in docs.columns else kept
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return score(rows, model).where(F.col("score") < threshold).select("row.*")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
