@@ -95,8 +95,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 10, checkp
         incoming = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("incoming"))
         loose = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))  # one row
         ranks = base.join(incoming, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("incoming", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if (i + 1) % checkpoint_every == 0 and i + 1 < iterations and has_checkpoints(ranks):
-            ranks = ranks.checkpoint()
+        if i + 1 < iterations:  # both the next sum and the next dangling mass read it; a lost executor's part is computed again
+            ranks = ranks.checkpoint() if (i + 1) % checkpoint_every == 0 and has_checkpoints(ranks) else ranks.persist()
     return ranks.select("id", "rank")
 
 

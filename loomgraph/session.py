@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .catalog import GraphCatalog
 from .model import MapGraph, TableGraph
-from .operators import algorithms, knowledge, vector_search
+from .operators import algorithms, knowledge, link_prediction, vector_search
 from .plans import compiler
 from .sources import files
+from .streaming.triangles import TriangleStream, edge_stream
 
 
 def _pairs(graph: MapGraph | TableGraph) -> DataFrame:
@@ -37,14 +38,27 @@ class GraphSession:
     def add(self, name: str, graph: MapGraph | TableGraph, path: str = "", edges: DataFrame | None = None) -> int:
         return self.catalog.register(name, path, graph, edges).id
 
-    def add_edge_list(self, name: str, path: str, directed: bool = True, partitions: int = 2) -> int:
-        e = files.edge_list(self.spark, path)
+    def add_pairs(self, name: str, e: DataFrame, path: str = "", directed: bool = True, partitions: int = 2) -> int:
+        """A graph without properties from (src, dst)."""
         ids = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        vertices = algorithms.hash_partition(ids, partitions).select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("label"), F.create_map(F.lit("id"), F.col("id").cast("string")).alias("props"), "pid")
+        pid = F.pmod(F.coalesce(F.col("id").try_cast("long"), F.xxhash64("id")), F.lit(partitions)).cast("int").alias("pid")
+        vertices = ids.select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("label"), F.create_map(F.lit("id"), F.col("id").cast("string")).alias("props"), pid)
         src, dst = F.col("src").cast("string"), F.col("dst").cast("string")
-        edges = e.distinct().select(F.concat_ws("-", src, dst).alias("eid"), src.alias("src"), dst.alias("dst"), F.lit(None).cast("string").alias("type"), F.create_map().cast("map<string,string>").alias("props"))
+        edges = e.select("src", "dst").distinct().select(F.concat_ws("-", src, dst).alias("eid"), src.alias("src"), dst.alias("dst"), F.lit(None).cast("string").alias("type"), F.create_map().cast("map<string,string>").alias("props"))
         return self.catalog.register(name, path, MapGraph(vertices, edges, directed, name), e, partitions=partitions).id
 
+    def add_edge_list(self, name: str, path: str, directed: bool = True, partitions: int = 2) -> int:
+        return self.add_pairs(name, files.edge_list(self.spark, path), path, directed, partitions)
+
+    def add_attributed_edge_list(self, name: str, path: str, attributes: str, dtype: str | None = None) -> int:
+        """An edge list whose vertices hold their attributes as the property ``features``, joined by commas."""
+        key = self.add_edge_list(name, path)
+        entry, features = self.catalog.get(key), files.text_attributes(self.spark, attributes, dtype)
+        f = features.select(F.col("vertex_id").cast("string").alias("id"), F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("f"))
+        v = entry.graph.vertices.join(f, "id", "left").withColumn("props", F.when(F.col("f").isNotNull(), F.map_concat("props", F.create_map(F.lit("features"), F.col("f")))).otherwise(F.col("props"))).drop("f")
+        entry.graph = MapGraph(v.select("id", "label", "props", "pid"), entry.graph.edges, entry.graph.directed, name)
+        return key
+
     def add_property_graph(self, name: str, path: str, directed: bool = True, partitions: int = 2) -> int:
         return self.add(name, files.property_graph_json(self.spark, path, partitions, directed), path)
 
@@ -80,6 +94,14 @@ class GraphSession:
             "egnt": lambda: algorithms.egonets(edges()),
             "pgrnk": lambda: algorithms.pagerank(edges(), float(args[1]) if len(args) > 1 else 0.85, int(args[2]) if len(args) > 2 else 10),
             "predict": lambda: algorithms.neighbour_scores(edges()),
+            "train": lambda: f"auc {link_prediction.train(edges()).auc:.4f}",
+            "adgr-cust": lambda: f"graph {self.add_attributed_edge_list(args[0], args[1], args[2], args[3] if len(args) > 3 else None)}",
+            "adrdf": lambda: f"graph {self.add_pairs(args[0], files.rdf_xml(self.spark, args[1])[0], args[1])}",
+            "process_dataset": lambda: f"graph {self.add_pairs(args[0], files.citation_json(self.spark, args[1])[0], args[1])}",
+            "constructkg": lambda: f"graph {self.construct_knowledge_graph(args[0], self.spark.read.text(args[1]).select(F.monotonically_increasing_id().alias('doc_id'), F.col('value').alias('text')))}",
+            "adstrmk": lambda: self.start_stream(args[0], args[1], args[2]),
+            "strian": lambda: self.streams[args[0]].recount() if args[1:] == ["0"] else self.streams[args[0]].total(),
+            "stopstrian": lambda: self.stop_stream(args[0]),
             "cypher": lambda: self.cypher(args[0], "|".join(args[1:])) or "done",
             "adgr": lambda: f"graph {self.add_edge_list(args[0], args[1])}",
             "adhdfs": lambda: f"graph {self.add_property_graph(args[0], args[1])}",
@@ -97,6 +119,12 @@ class GraphSession:
             raise ValueError(f"there is no command {name}")
         return commands[name]()
 
+    def start_stream(self, name: str, folder: str, state: str) -> str:
+        """Edge records of the folder's files go into a triangle count kept under state."""
+        self.streams[name] = s = TriangleStream(self.spark, f"{state}/state")
+        s.start(edge_stream(self.spark, folder), f"{state}/checkpoint", name=name)
+        return f"stream {name}"
+
     def stop_stream(self, name: str | None) -> str:
         found = [q for q in self.spark.streams.active if name in (None, q.name, str(q.id))]
         if len(found) != 1:

@@ -60,8 +60,10 @@ class TriangleStream:
     def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.state}/{table}/batch={batch_id}")
 
-    def start(self, edges: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+    def start(self, edges: DataFrame, checkpoint: str, name: str | None = None, **trigger) -> StreamingQuery:
         writer = edges.select("src", "dst").writeStream.foreachBatch(self.step).option("checkpointLocation", checkpoint)
+        if name:
+            writer = writer.queryName(name)
         return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
     def edges(self) -> DataFrame:
@@ -75,7 +77,7 @@ class TriangleStream:
 
     def recount(self) -> DataFrame:
         """Mode 0: all triangles of the edges so far, from scratch."""
-        return triangles(self.edges()).agg(F.count("*").alias("n_triangles"))
+        return triangles(self.edges().select(F.col("a").alias("src"), F.col("b").alias("dst"))).agg(F.count("*").alias("n_triangles"))
 
 
 def new_triangles(new: DataFrame, edges: DataFrame) -> DataFrame:

@@ -179,6 +179,26 @@ def test_session_commands(spark, tmp_path, people):
     assert isinstance(s.catalog.get("people").graph, MapGraph)
 
 
+def test_more_commands(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("\n".join(f"{i} {(i + d) % 40}" for i in range(40) for d in (1, 2, 3)))
+    (tmp_path / "a.txt").write_text("0 1.5 2\n1 2.5 3\n")
+    (tmp_path / "t.txt").write_text("Ann knows Bob well. Bob likes tea.")
+    (tmp_path / "in").mkdir()
+    record = '{"source":{"id":"%d","properties":{}},"destination":{"id":"%d","properties":{}},"properties":{}}'
+    for b in range(0, 30, 3):  # ten rings of three, an end mark last
+        (tmp_path / "in" / f"{b}.txt").write_text("\n".join(record % e for e in ((b, b + 1), (b + 1, b + 2), (b + 2, b))) + "\n-1\n")
+    s = GraphSession(spark)
+    s.run_command(f"adgr-cust|g|file://{tmp_path}/e.txt|file://{tmp_path}/a.txt")
+    assert s.run_command("cypher|g|MATCH (n) WHERE n.id = 1 RETURN n.features").first()[0] == "2.5,3.0"
+    assert s.run_command("train|g").startswith("auc ")
+    s.run_command(f"constructkg|k|file://{tmp_path}/t.txt")
+    assert s.run_command("cypher|k|MATCH (a)-[r:knows]->(b) RETURN a.name, b.name").first()[:] == ("Ann", "Bob well")
+    assert s.run_command(f"adstrmk|s|file://{tmp_path}/in|file://{tmp_path}/st") == "stream s"
+    s.spark.streams.active[0].processAllAvailable()
+    assert s.run_command("strian|s|1").first()[0] == s.run_command("strian|s|0").first()[0] == 10
+    assert s.run_command("stopstrian|s") == "done"
+
+
 def test_filters_reach_the_scan(spark, sf):
     from loomgraph.queries import QUERIES
 
