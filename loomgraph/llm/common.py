@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 ARROW_BATCH = "8m"
+HASH_BYTES = 1 << 20
 SLICE_BYTES = 1 << 21  # text handled by one numpy pass; a longer single document is one slice
 
 
@@ -149,7 +150,12 @@ class Words:
         space = _SPACE[buf]
         edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
         self.begin, self.end = edge[0::2], edge[1::2]
-        self.hash = span_hashes(_BYTE[buf], self.begin, self.end)
+        self.hash = np.empty(len(self.begin), U64)
+        cut = np.searchsorted(self.end, np.arange(HASH_BYTES, len(buf), HASH_BYTES))  # eight bytes for each byte of a part, not of all texts
+        for i, j in zip([0, *cut], [*cut, len(self.begin)], strict=True):
+            if i < j:
+                at = self.begin[i]
+                self.hash[i:j] = span_hashes(_BYTE[buf[at : self.end[j - 1]]], self.begin[i:j] - at, self.end[i:j] - at)
         lengths = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
         starts = np.cumsum(lengths) - lengths
         self.first = np.searchsorted(self.begin, starts)  # index of each document's first word

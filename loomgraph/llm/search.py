@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, parallelism
+from .common import SLICE_BYTES, Scratch, Words, parallelism
 from .lm_scoring import _blocks, _pack, _totals, _unpack
 
 K1, B = 1.2, 0.75
@@ -41,13 +41,21 @@ _GAPS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
 
 def _terms(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by document, then term: document, term hash, frequency; and each document's length."""
-    words = Words([_GAPS.sub(" ", x.decode().lower()).encode() for x in raw])
-    h = words.hash >> np.uint64(64 - _HASH)
-    order = np.lexsort((h, words.doc))
-    doc, h = words.doc[order], h[order]
-    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
-    return doc[new], h[new], np.diff(new, append=len(h)), words.count
+    """Sorted by document, then term: document, term hash, frequency; and each document's length. Texts are cut to terms slice by slice."""
+    found: list[tuple[np.ndarray, ...]] = []
+    begin = size = 0
+    for i, x in enumerate(raw):
+        size += len(x)
+        if size < SLICE_BYTES and i + 1 < len(raw):
+            continue
+        words = Words([_GAPS.sub(" ", y.decode().lower()).encode() for y in raw[begin : i + 1]])
+        h = words.hash >> np.uint64(64 - _HASH)
+        order = np.lexsort((h, words.doc))
+        doc, h = words.doc[order], h[order]
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
+        found.append(((doc[new] + begin).astype(np.int32), h[new], np.diff(new, append=len(h)).astype(np.uint32), words.count))
+        begin, size = i + 1, 0
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 # --------------------------------------------------------------------------- index
@@ -57,7 +65,7 @@ _INDEX = "block long, ids binary, lengths binary, terms binary, sizes binary, do
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, ids, raw in _blocks(batches):
         doc, term, count, length = _terms(raw)
-        order = np.lexsort((doc, term))
+        order = np.argsort(term, kind="stable")  # documents ascend already
         terms, sizes = np.unique(term, return_counts=True)
         row = [block, np.array(ids, "<i8").tobytes(), length.astype("<u4").tobytes(), _pack(np.diff(terms, prepend=np.uint64(0)), 6), _pack(sizes, 4), doc[order].astype("<u2").tobytes(), _pack(count[order], 4), len(ids), int(length.sum())]
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["block", "ids", "lengths", "terms", "sizes", "docs", "counts", "n", "words"])
