@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import lean_batches, text_slices
 
-CACHE_WORDS = 150_000
+CACHE_WORDS = 500_000  # about 100 MB
 # Scripts in which Python's and the library's Unicode tables agree on letters, digits and case.
 _UNUSUAL = regex.compile(r"[^\x00-ɏͰ-ͳΑ-ωЀ-џ‐-‧‰-⁞₠-₵]")
 
@@ -148,13 +148,14 @@ class Codec:
         split = [list(self.parts(t)) for t in texts]
         cache = self.cache
         new = list(dict.fromkeys(w for parts in split for special, words in parts if not special for w in words if w not in cache))
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(dict.fromkeys(w for parts in split for special, words in parts if not special for w in words))
         for w, ids in zip(new, self.merge(new), strict=True):
             cache[w] = np.array(ids, "<i4").tobytes()
         special = {t: np.array([i], "<i4").tobytes() for t, i in self.special.items()}
-        return [np.frombuffer(b"".join([x for is_special, words in parts for x in map((special if is_special else cache).__getitem__, words)]), "<i4") for parts in split]
+        out = [np.frombuffer(b"".join([x for is_special, words in parts for x in map((special if is_special else cache).__getitem__, words)]), "<i4") for parts in split]
+        if len(cache) > CACHE_WORDS:  # what came first is what is frequent; later words last for their slice
+            for w in new:
+                del cache[w]
+        return out
 
     # ---- ids to text
     def decode(self, ids: Iterable[int]) -> str:
