@@ -106,15 +106,28 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
-    """docs: doc_id, text. labels: doc_id, toxic (0 or 1; null: no label). At most 2 * max_per_class texts come to the driver."""
+    """docs: doc_id, text. labels: doc_id, toxic (0 or 1; null: no label). One task holds at most 2 * max_per_class texts."""
     labels = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)")
     counts = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = labels.where("toxic = 1").orderBy(*order).limit(max_per_class).unionAll(labels.where("toxic = 0").orderBy(*order).limit(max_per_class))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # bounded by max_per_class
-    rows = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").sort("doc_id", "text", "toxic").limit(2 * max_per_class).collect()
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit([r.text.encode() for r in rows], np.array([r.toxic for r in rows]), share)
+    lean_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # bounded by max_per_class
+    rows = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").sort("doc_id", "text", "toxic").limit(2 * max_per_class)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column("text").cast(pa.binary()).to_pylist()
+            toxic += b.column("toxic").to_pylist()
+        if texts:
+            model = fit(texts, np.array(toxic), share)
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["weights", "bias"])
+
+    # one task fits the sample; only the weights come to the driver
+    found = rows.mapInArrow(learn, "weights binary, bias double").first()
+    return Model(np.frombuffer(bytes(found.weights), np.float32), found.bias) if found else fit([], np.zeros(0), share)
 
 
 def scores(model: Model, raw: list[bytes]) -> np.ndarray:
