@@ -89,6 +89,8 @@ def in_tiles(rows: DataFrame, compare, extra: str) -> DataFrame:
             np.fill_diagonal(linked, False)
             if table.column("i")[0] != table.column("j")[0]:
                 linked &= side[:, None] != side[None, :]
+            if not linked.any():
+                return
             count = linked @ weight
             a, b = np.nonzero(np.triu(linked))
             root = local_roots(len(ids), a, b)

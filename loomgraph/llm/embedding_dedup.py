@@ -1,9 +1,15 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings by sorted projection passes and an exact join by cells.
 
-Each pass orders the vectors of a label by the concatenated signs of random projections and compares each vector with
-the next ``REACH`` in that order, by exact cosine. Verified pairs of all passes are united; inside each component all
-pairs are then compared in tiles, so that a window too short for a dense group loses none of its links. Vectors that
-are equal value by value are compared once, as a class with a weight.
+1. Each pass orders the vectors of a label by the concatenated signs of random projections and compares each vector with
+   the next ``REACH`` in that order, by exact cosine. Verified pairs of all passes are united. Passes can miss links, so
+   they only tell dense groups apart: a group has one representative, whatever its size.
+2. About one representative in ``CELL`` is a pivot. A vector is at home in the cell of its nearest pivot and a guest in
+   each lower cell whose border it could reach across with a link: for a linked pair at home in two cells, the one of the
+   higher cell is a guest of the other (a link is at most sqrt(2 - 2 threshold) long, and no link is longer than the way
+   to the border). So every pair that may be linked meets in exactly one cell, and is compared there in tiles.
+
+Links, and with them components, are complete by step 2, whatever the passes found. Vectors that are equal value by value
+are compared once, as a class with a weight.
 
 Vectors that are null, zero, or hold null or non-finite values, and rows without label, link with nothing. Vectors of
 different length don't link. Rows with a null vec_id take no part (no component). Rows with equal vec_id count as one
@@ -26,6 +32,7 @@ from .components import components, in_tiles, local_roots, tiles
 THRESHOLD = 0.98
 PASSES, REACH = 12, 24
 BITS = 63  # signs in a sort key
+CELL, PIVOTS = 4096, 2048  # representatives for a pivot; pivots of a label, about, at most
 BLOCK = 1024  # vectors on either side of a tile
 
 
@@ -100,11 +107,83 @@ def _neighbours(threshold: float):
     return run
 
 
+def _units(raw: list[bytes]) -> np.ndarray:
+    v = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _place(pivots: dict[tuple[int, int], np.ndarray], threshold: float):
+    """A row for each vector at home, and one for each cell that it is a guest of."""
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold))
+    apart = {k: np.sqrt(np.maximum(0.0, 2 - 2 * p @ p.T)) for k, p in pivots.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, len(whole), BLOCK):
+                b = whole.slice(begin, BLOCK)
+                raw = b.column("vec").to_pylist()
+                label, size = b.column("label").to_numpy(), np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+                row, cell, home = [np.arange(len(b))], [np.zeros(len(b), np.int64)], [np.ones(len(b), bool)]
+                for key in {*zip(label.tolist(), size.tolist(), strict=True)} & pivots.keys():
+                    at = np.flatnonzero((label == key[0]) & (size == key[1]))
+                    near = _units([raw[i] for i in at]) @ pivots[key].T
+                    own = near.argmax(1)
+                    cell[0][at] = own
+                    gap = near[np.arange(len(at)), own][:, None] - near
+                    i, c = np.nonzero((gap <= reach * apart[key][own] + 1e-6) & (np.arange(near.shape[1]) < own[:, None]))
+                    row.append(at[i])
+                    cell.append(c)
+                    home.append(np.zeros(len(i), bool))
+                r, c, h = (np.concatenate(x) for x in (row, cell, home))
+                for k in range(0, len(r), 8 * BLOCK):
+                    at = pa.array(r[k : k + 8 * BLOCK])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("label").take(at), pa.array(size).take(at), pa.array(c[k : k + 8 * BLOCK]), pa.array(h[k : k + 8 * BLOCK]), b.column("id").take(at), b.column("weight").take(at), b.column("vec").take(at)],
+                        names=["label", "size", "cell", "home", "id", "weight", "vec"],
+                    )
+
+    return run
+
+
+def _pivots(heads: DataFrame, found: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """Unit vectors of each label and length that has two pivots or more."""
+    keys = ["label", "size"]
+    alone = heads.join(found.where("id <> component").select("id"), "id", "left_anti").withColumn("size", F.expr("length(vec) div 8"))
+    sizes = alone.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    step = F.greatest(F.lit(CELL), F.ceil(F.col("n") / PIVOTS))
+    chosen: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+    for r in alone.join(sizes, keys).where(F.pmod(F.xxhash64("id"), step) == 0).select(*keys, "id", "vec").toLocalIterator():
+        chosen.setdefault((r.label, r.size), []).append((r.id, bytes(r.vec)))
+    return {k: _units([v for _, v in sorted(x)]) for k, x in chosen.items() if len(x) > 1}
+
+
+def _meetings(placed: DataFrame) -> DataFrame:
+    """Tiles in which each vector at home meets the others at home, and the guests, of its cell once."""
+    keys = ["label", "size", "cell"]
+    blocks = [F.ceil(F.count_if(x) / F.lit(BLOCK)).cast("int").alias(name) for x, name in ((F.col("home"), "homes"), (~F.col("home"), "guests"))]
+    cells = placed.groupBy(*keys).agg(F.min(F.when(F.col("home"), F.col("id"))).alias("component"), *blocks).where("component is not null")
+    rows = placed.join(cells, keys)
+    home = tiles(rows.where("home").select("component", "id", "weight", "vec"), BLOCK)
+    across = rows.where("guests > 0").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int"))
+    across = across.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("guests")).otherwise(F.col("homes")) - 1)))
+    i, j = (F.when(F.col("home"), F.col(x)).otherwise(F.col(y)) for x, y in (("own", "other"), ("other", "own")))
+    across = across.select("component", "id", "weight", "vec", i.alias("i"), (-1 - j).alias("j"), (~F.col("home")).cast("int").alias("side"))
+    return home.select(*across.columns).unionByName(across)
+
+
 def _close(threshold: float):
     def compare(table: pa.Table) -> np.ndarray:
         v = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(len(table), -1)
         norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-        return v @ v.T / (norm[:, None] * norm[None, :]) >= threshold
+        if table.column("i")[0] == table.column("j")[0]:
+            return v @ v.T / (norm[:, None] * norm[None, :]) >= threshold
+        side = table.column("side").to_numpy()
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        hit = v[x] @ v[y].T / (norm[x][:, None] * norm[y][None, :]) >= threshold
+        out = np.zeros((len(v), len(v)), bool)
+        out[np.ix_(x, y)], out[np.ix_(y, x)] = hit, hit.T
+        return out
 
     return compare
 
@@ -121,9 +200,12 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, scratch: S
     order = ["turn", "label", "size", "key", "id"]
     passes = heads.mapInArrow(_keys, "turn int, label long, size int, key long, id long, vec binary")
     pairs = passes.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order).mapInArrow(_neighbours(threshold), "a long, b long")
-    found = scratch.write(components(pairs, scratch, "links"), "components")
-    members = heads.join(found, "id").select("component", "id", "weight", "vec")
-    counts = in_tiles(tiles(members, BLOCK), _close(threshold), "vec").where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
+    dense = scratch.write(components(pairs, scratch, "dense-links"), "dense")
+    placed = scratch.write(heads.mapInArrow(_place(_pivots(heads, dense), threshold), "label long, size long, cell long, home boolean, id long, weight long, vec binary"), "placed")
+    links = scratch.write(in_tiles(_meetings(placed), _close(threshold), "vec"), "links")
+    scratch.drop("placed")
+    found = scratch.write(components(links.where("b is not null").select("a", "b"), scratch, "components-of"), "components")
+    counts = links.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     per_class = classes.join(found, "id", "left").join(counts.withColumnRenamed("a", "id"), "id", "left")
     per_class = per_class.select("k1", "k2", F.coalesce("component", "id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"))
     out = rows.select("vec_id", "k1", "k2").join(per_class, ["k1", "k2"], "left")

@@ -197,6 +197,42 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_embeddings(df.limit(0)).count() == 0
 
 
+def brute_components(v, threshold=0.98):
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = v @ v.T >= threshold
+    np.fill_diagonal(linked, False)
+    return linked.sum(1), components.local_roots(len(v), *np.nonzero(linked))
+
+
+def embedding_rows(spark, v):
+    got = embedding_dedup.near_embeddings(spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()
+    return np.array([(r.n_links, r.component_id) for r in sorted(got, key=lambda r: r.vec_id)]).T
+
+
+def test_a_star_of_embeddings_is_one_component(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(64)
+    base /= np.linalg.norm(base)
+    off = rng.standard_normal((3000, 64))
+    off -= np.outer(off @ base, base)
+    cos = rng.uniform(0.981, 0.987, 3000)[:, None]
+    v = np.concatenate([base[None], cos * base + np.sqrt(1 - cos**2) * off / np.linalg.norm(off, axis=1, keepdims=True)])
+    count, root = brute_components(v)
+    n, c = embedding_rows(spark, v)
+    assert not root.any() and (c == root).all() and (n == count).all()
+
+
+def test_embeddings_are_linked_across_cells(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL", 8)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "PASSES", 1)
+    monkeypatch.setattr(embedding_dedup, "REACH", 1)
+    v = np.random.default_rng(9).standard_normal((1500, 5)) + 0.7
+    count, root = brute_components(v)
+    n, c = embedding_rows(spark, v)
+    assert count.sum() > 2000 and (n == count).all() and (c == root).all()
+
+
 # --------------------------------------------------------------------------- 4
 def test_bpe_is_the_library(docs, odd, empty):
     lib = library(WORD)
