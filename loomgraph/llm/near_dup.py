@@ -2,7 +2,7 @@
 
 Documents whose sets of word ``SHINGLE``-grams have a Jaccard similarity of ``threshold`` or more are linked.
 
-1. Each document gets ``HASHES`` min-hashes. A tree of the forest orders documents by a label of ``DEPTH`` of them; a
+1. Each document gets min-hashes, ``DEPTH`` for each of ``TREES`` trees at most, none in two trees. A tree of the forest orders documents by a label of ``DEPTH`` of them; a
    node of its prefix trie holds the documents that share a prefix. From the full label, prefixes are shortened until a
    pair at the threshold meets in some tree with the target recall. Documents with equal sets are one class from here on.
 2. Nodes of up to ``NODE`` classes propose all their pairs, of which those whose min-hashes differ too much are left
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, Words, mix64, span_hashes, text_slices
-from .components import components, in_tiles, tiles
+from .components import components, in_tiles, local_roots, tiles
 
 SHINGLE, THRESHOLD = 5, 0.8
-HASHES, TREES, DEPTH = 128, 32, 8
+TREES, DEPTH = 32, 8
+HASHES = TREES * DEPTH  # no hash is in two trees, so that trees match independently
+SKETCH = 128  # min-hashes that the estimate compares
 TARGET_RECALL = 0.9999
 NODE = 64  # classes in a node that proposes pairs
 SLACK = 4.5  # standard deviations of the min-hash estimate that a pair may fall short
@@ -43,10 +45,14 @@ def prefix_length(threshold: float, target: float = TARGET_RECALL) -> int:
     return depth
 
 
+def labels(depth: int) -> np.ndarray:
+    """trees × depth: the min-hashes of each tree's label."""
+    return np.arange(TREES * depth).reshape(TREES, depth)
+
+
 _RNG = np.random.default_rng(31337)
 _A = _RNG.integers(0, 2**63, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, HASHES, dtype=np.int64).astype(np.uint64)
-_LABELS = np.stack([_RNG.permutation(HASHES)[:DEPTH] for _ in range(TREES)])  # min-hashes of each tree's label
 
 
 def shingles(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +70,10 @@ def shingles(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(doc[new], minlength=len(raw))
 
 
-def min_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """documents × HASHES; every document has a shingle."""
-    out = np.empty((len(first), HASHES), np.uint32)
-    for k in range(HASHES):
+def min_hashes(h: np.ndarray, first: np.ndarray, n: int = HASHES) -> np.ndarray:
+    """documents × n; every document has a shingle."""
+    out = np.empty((len(first), n), np.uint32)
+    for k in range(n):
         out[:, k] = np.minimum.reduceat(h * _A[k] + _B[k], first) >> np.uint64(32)
     return out
 
@@ -81,14 +87,14 @@ def _sign(depth: int):
                 continue
             first = np.cumsum(n[has]) - n[has]
             k1, k2 = (np.add.reduceat(mix64(h ^ np.uint64(x)), first).astype(np.int64) for x in (0x51ED270B27B4F3CF, 0xA0761D6478BD642F))
-            sig = min_hashes(h, first)
+            sig = min_hashes(h, first, max(SKETCH, TREES * depth))
             nodes = np.empty((len(has), TREES), np.int64)
             for t in range(TREES):
                 x = np.full(len(has), np.uint64(t + 1))
-                for k in _LABELS[t, :depth]:
+                for k in labels(depth)[t]:
                     x = mix64(x * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, k].astype(np.uint64))
                 nodes[:, t] = x.astype(np.int64)
-            sketch = (sig & np.uint32(255)).astype(np.uint8)
+            sketch = (sig[:, :SKETCH] & np.uint32(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(has)), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(np.arange(0, nodes.size + 1, TREES, dtype=np.int32), nodes.ravel()), pa.array([r.tobytes() for r in sketch], pa.binary())],
                 names=["doc_id", "k1", "k2", "nodes", "sketch"],
@@ -98,14 +104,18 @@ def _sign(depth: int):
 
 
 def _alike(threshold: float):
-    """Leaves out pairs whose estimate is more than SLACK deviations below the threshold."""
+    """Leaves out pairs whose estimate is more than SLACK deviations below the threshold; of the rest, a forest that joins the same documents."""
     chance = threshold + (1 - threshold) / 256
-    least = HASHES * threshold - SLACK * np.sqrt(HASHES * chance * (1 - chance))
+    least = SKETCH * threshold - SLACK * np.sqrt(SKETCH * chance * (1 - chance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("x", "y"))
-            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("x", "y"))
+            hit = (x == y).sum(1) >= least
+            ids, at = np.unique(np.concatenate([b.column(c).to_numpy()[hit] for c in ("a", "b")]), return_inverse=True)
+            root = local_roots(len(ids), at[: hit.sum()], at[hit.sum() :])
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[root[moved]], pa.int64()), pa.array(ids[moved], pa.int64())], names=["a", "b"])
 
     return run
 

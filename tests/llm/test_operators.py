@@ -149,6 +149,36 @@ def test_prefixes_shorten_until_the_recall():
     assert 1 - (1 - 0.8**d) ** near_dup.TREES >= near_dup.TARGET_RECALL
 
 
+def test_trees_reach_the_recall_by_simulated_signatures():
+    rng, n, missed = np.random.default_rng(12), 4, 0
+    label = near_dup.labels(near_dup.prefix_length(0.8))
+    for _ in range(n):
+        same = rng.random((50_000, near_dup.HASHES), np.float32) < 0.8
+        missed += int((~same[:, label].all(2).any(1)).sum())
+    assert missed / (n * 50_000) <= 1 - near_dup.TARGET_RECALL
+
+
+def test_min_hashes_agree_as_independent_ones():
+    rng, pairs = np.random.default_rng(13), 4000
+    shared, own = rng.integers(0, 2**63, (pairs, 80)), rng.integers(0, 2**63, (2, pairs, 10))  # Jaccard 0.8
+    a, b = (near_dup.min_hashes(np.concatenate([shared, x], 1).astype(np.uint64).ravel(), np.arange(pairs) * 90) for x in own)
+    label = near_dup.labels(near_dup.prefix_length(0.8))
+    trees = (a == b)[:, label].all(2).sum(1)
+    p = 0.8 ** label.shape[1]
+    assert trees.mean() == pytest.approx(len(label) * p, rel=0.02)
+    assert trees.var() == pytest.approx(len(label) * p * (1 - p), rel=0.1)  # larger if trees share hashes
+
+
+def test_alike_pairs_go_on_as_a_forest():
+    import pyarrow as pa
+
+    pairs = [(a, b) for b in range(30) for a in range(b)]
+    same = [bytes(near_dup.SKETCH)] * len(pairs)
+    batch = pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "x": same, "y": same})
+    (out,) = near_dup._alike(0.8)(iter([batch]))
+    assert len(out) == 29 and components.local_roots(30, out.column("a").to_numpy(), out.column("b").to_numpy()).max() == 0
+
+
 # --------------------------------------------------------------------------- 2
 def test_scores_against_brute_force(docs, empty):
     texts = [words(t) for t in TEXTS]
