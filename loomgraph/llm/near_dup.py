@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding (in place of an LSH forest).
 
 Documents whose sets of word ``SHINGLE``-grams have a Jaccard similarity of ``threshold`` or more are linked.
 
-1. Each document gets min-hashes, ``DEPTH`` for each of ``TREES`` trees at most, none in two trees. A tree of the forest orders documents by a label of ``DEPTH`` of them; a
-   node of its prefix trie holds the documents that share a prefix. From the full label, prefixes are shortened until a
-   pair at the threshold meets in some tree with the target recall. Documents with equal sets are one class from here on.
+1. Each document gets min-hashes, ``DEPTH`` for each of ``TREES`` trees at most, none in two trees. A tree is a band:
+   its key hashes all its min-hashes, and a node holds the documents of equal key. The length of a key is fixed by the
+   threshold: the longest with which a pair at the threshold meets in some tree with the target recall. Documents with equal sets are one class from here on.
 2. Nodes of up to ``NODE`` classes propose all their pairs, of which those whose min-hashes differ too much are left
    out. A larger node proposes its members as one group, by a star to its least member; no pair of it is spelled out.
 3. Proposals make groups (connected components). Inside each, all pairs are verified exactly on their full shingle
