@@ -101,6 +101,53 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
             yield batch.slice(begin), raw[begin:]
 
 
+def with_part(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the number of the partition they are read in."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.spark_partition_id().alias("part"))
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], docs: int, size: int, text: str = "text") -> Iterator[tuple[int, list, list[bytes]]]:
+    """(block, doc_ids, texts): neighbouring rows, ``docs`` of them or ``size`` bytes of text at most; a longer text is a block of its own.
+
+    The block's number holds the partition (column ``part``, see ``with_part``) and its place there, so it is the same
+    whenever the same partition is read.
+    """
+    first = block = 0
+    ids, raw, held = [], [], 0
+    for batch in batches:
+        first = batch.column("part")[0].as_py() << 32 if len(batch) else first
+        for i, x in zip(batch.column("doc_id").to_pylist(), batch.column(text).cast(pa.binary()).to_pylist(), strict=True):
+            x = x or b""
+            if raw and (len(raw) == docs or held + len(x) > size):
+                yield first | block, ids, raw
+                block, ids, raw, held = block + 1, [], [], 0
+            ids.append(i)
+            raw.append(x)
+            held += len(x)
+    if raw:
+        yield first | block, ids, raw
+
+
+# --------------------------------------------------------------------------- packed integers
+def pack_ints(x: np.ndarray, width: int) -> bytes:
+    """Integers by byte planes, so that compression drops the empty ones."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack_ints(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of the ranges [begin, end), and the range of each."""
+    n = end - begin
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n - begin, n), of
+
+
 # --------------------------------------------------------------------------- word hashing
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

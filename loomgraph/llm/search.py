@@ -1,21 +1,28 @@
 """Exact BM25 top-k search over an inverted index with block-max pruning.
 
-Index: documents are taken in shards of ``SHARD_DOCS`` neighbouring rows. A shard's index holds, for each of its terms,
-the postings (document, frequency) in document order. Document frequencies, the number of documents and their mean length
-are those of all shards: the shards' counts are added up by ranges of the term hash and joined back to each shard.
-
-Search: a shard's documents form blocks of ``BLOCK_DOCS``, and each term knows its greatest impact in each block. The sum
-of a query's greatest impacts bounds every score of a block (block-max WAND, a block at a time). The blocks with the
-greatest bounds are scored first, which raises the query's threshold, the k-th best score so far over all shards the
-task has seen; then only blocks whose bound reaches the threshold are scored. No document that could enter is left out. Each
-task returns its k best per query, and merging them is exact because all scores use the same global statistics.
-
-Queries go out in rounds of at most ``ROUND_BYTES``, so that what is broadcast does not grow with the query set.
-
-Terms are runs of letters, digits and combining marks of the lower-cased text. Ties in score go to the smaller doc_id.
+Index: documents are taken in shards of ``SHARD_DOCS`` neighbouring rows, or fewer with ``SHARD_BYTES`` of text (a longer
+text is a shard of its own). A shard is one row of the index table and holds, for each of its terms, the postings
+(document, frequency) in document order. Similar documents get neighbouring places in a shard, so that the blocks of
+``BLOCK_DOCS`` places have low greatest impacts. Document frequencies, the number of documents and their mean length are
+those of all shards: the shards' counts are added up by term and joined to the terms of the queries.
+
+Search, in each shard: the sum of a query's greatest impacts in a block bounds every score in it. Blocks are taken in
+waves from the greatest bound on; a block below the query's threshold is never scored. In the blocks of a wave each
+document has a closer bound, and only those that reach the threshold are scored, in double precision. After each wave
+the threshold rises to the k-th best score so far over all shards that the task has seen. It does not start at zero:
+before the search, each query is answered from ``SEEDS`` shards, and the k-th best score there is a true lower bound of
+the k-th best of all. No document that could enter is left out. Each task returns its k best per query, and merging
+them is exact because all scores use the same global statistics.
+
+Queries go out in rounds of at most ``ROUND_BYTES``, so that what is broadcast does not grow with the query set. A shard
+is read where its row is stored; the index is never shuffled.
+
+Terms are runs of letters, digits and combining marks of the lower-cased text, known by 64 bits of hash: of 1e9 distinct
+terms about 0.03 pairs are expected to share one. Ties in score go to the smaller doc_id.
 Null and empty texts have no terms: as queries they find nothing. Documents that share no term with a query are not
-returned. Rows with a null doc_id are neither found nor used as queries. Rows with equal doc_id are found one by one.
-Extra columns are ignored. An empty table gives no rows.
+returned. Rows with a null doc_id are neither found nor used as queries. Rows with equal doc_id are found one by one;
+queries that share a doc_id are answered one by one, under the same query_id.
+Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,15 +35,19 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, Words, parallelism
-from .lm_scoring import _blocks, _pack, _totals, _unpack
+from .common import SLICE_BYTES, Scratch, Words, pack_ints, parallelism, ranges, text_blocks, unpack_ints, with_part
 
 K1, B = 1.2, 0.75
-SHARD_DOCS, BLOCK_DOCS = 8192, 64
-QUERIES_PER_PART = 256
+SHARD_DOCS, SHARD_BYTES = 8192, 16 << 20
+BLOCK_DOCS = 16
+DENSE = 1024  # terms of a shard, at most, whose postings are kept as columns, and
+DENSE_SHARE = 64  # in how many documents, one of these, such a term occurs at least
+CLUSTERS, TURNS = 64, 3  # of similar documents
+WAVES = (8, 64)  # blocks per query of the first waves; the last takes the rest
+ROUNDING = 1e-4  # relative error of a sum of DENSE products in single precision, and more
+SEEDS = 1
+PART_QUERIES, PART_BYTES = 256, 2 << 20
 ROUND_BYTES = 32 << 20
-FIRST_BLOCKS = 8  # scored before the threshold is used
-_HASH = 48
 _GAPS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
 
@@ -49,9 +60,8 @@ def _terms(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         if size < SLICE_BYTES and i + 1 < len(raw):
             continue
         words = Words([_GAPS.sub(" ", y.decode().lower()).encode() for y in raw[begin : i + 1]])
-        h = words.hash >> np.uint64(64 - _HASH)
-        order = np.lexsort((h, words.doc))
-        doc, h = words.doc[order], h[order]
+        order = np.lexsort((words.hash, words.doc))
+        doc, h = words.doc[order], words.hash[order]
         new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
         found.append(((doc[new] + begin).astype(np.int32), h[new], np.diff(new, append=len(h)).astype(np.uint32), words.count))
         begin, size = i + 1, 0
@@ -59,191 +69,312 @@ def _terms(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 # --------------------------------------------------------------------------- index
-_INDEX = "block long, ids binary, lengths binary, terms binary, sizes binary, docs binary, counts binary, n long, words long"
+_INDEX = "shard long, ids binary, lengths binary, terms binary, sizes binary, docs binary, counts binary, n long, words long"
+
+
+def _frequent(sizes: np.ndarray, n: int) -> np.ndarray:
+    """The terms kept as columns."""
+    chosen = np.flatnonzero(sizes >= max(2, n // DENSE_SHARE))
+    return np.sort(chosen[np.argsort(-sizes[chosen], kind="stable")[:DENSE]])
+
+
+def _by_likeness(doc: np.ndarray, place: np.ndarray, sizes: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """An order of the documents in which those with like frequent terms, and among them those of like length, are neighbours."""
+    n = len(length)
+    columns = _frequent(sizes, n)
+    if n <= 2 * BLOCK_DOCS or not len(columns):
+        return np.argsort(length, kind="stable")
+    number = np.full(len(sizes), -1)
+    number[columns] = np.arange(len(columns))
+    on = number[place] >= 0
+    m = np.zeros((n, len(columns)), np.float32)
+    m[doc[on], number[place[on]]] = count[on] / (count[on] + K1) * np.log1p(n / sizes[place[on]])
+    m /= np.maximum(np.sqrt(np.einsum("ij,ij->i", m, m)), 1e-9)[:, None]
+    centres = m[:: max(1, n // CLUSTERS)][:CLUSTERS].copy()
+    own = np.zeros(n, np.int64)
+    for _ in range(TURNS):
+        own = (m @ centres.T).argmax(1)
+        for k in np.unique(own):
+            mean = m[own == k].sum(0)
+            centres[k] = mean / max(float(np.sqrt(mean @ mean)), 1e-9)
+    return np.lexsort((length, own))
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, ids, raw in _blocks(batches):
+    for shard, ids, raw in text_blocks(batches, SHARD_DOCS, SHARD_BYTES):
         doc, term, count, length = _terms(raw)
-        order = np.argsort(term, kind="stable")  # documents ascend already
-        terms, sizes = np.unique(term, return_counts=True)
-        row = [block, np.array(ids, "<i8").tobytes(), length.astype("<u4").tobytes(), _pack(np.diff(terms, prepend=np.uint64(0)), 6), _pack(sizes, 4), doc[order].astype("<u2").tobytes(), _pack(count[order], 4), len(ids), int(length.sum())]
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["block", "ids", "lengths", "terms", "sizes", "docs", "counts", "n", "words"])
+        terms, place, sizes = np.unique(term, return_inverse=True, return_counts=True)
+        order = _by_likeness(doc, place, sizes, count, length)
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        doc = moved[doc]
+        at = np.lexsort((doc, place))
+        row = [shard, np.array(ids, "<i8")[order].tobytes(), length[order].astype("<u4").tobytes(), pack_ints(np.diff(terms, prepend=np.uint64(0)), 8), pack_ints(sizes, 4), doc[at].astype("<u2").tobytes(), pack_ints(count[at], 4), len(ids), int(length.sum())]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["shard", "ids", "lengths", "terms", "sizes", "docs", "counts", "n", "words"])
 
 
-def _asked(shards: int):
-    """Each index asks the ranges of the term table for the frequencies of its terms."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of each shard: in how many of its documents it is."""
+    for b in batches:
+        for terms, sizes in zip(b.column("terms").to_pylist(), b.column("sizes").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(unpack_ints(terms, 8)).view(np.int64)), pa.array(unpack_ints(sizes, 4).astype(np.int64))], names=["term", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, terms, sizes in zip(*(b.column(c).to_pylist() for c in ("block", "terms", "sizes")), strict=True):
-                terms, sizes = np.cumsum(_unpack(terms, 6)), _unpack(sizes, 4)
-                cut = np.searchsorted(terms, [-(-(s << _HASH) // shards) for s in range(shards)])
-                rows = [(s, block, len(g), _pack(np.diff(g, prepend=np.uint64(0)), 6), _pack(c, 4)) for s, (g, c) in enumerate(zip(np.split(terms, cut[1:]), np.split(sizes, cut[1:]), strict=True)) if len(g)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "block", "n", "grams", "counts"])
 
-    return run
+# --------------------------------------------------------------------------- queries
+_PART = "part long, ids binary, sizes binary, terms binary, place binary, counts binary"
 
 
-class _Shard:
-    def __init__(self, row: dict, frequencies: np.ndarray, n_docs: int, mean: float):
+def _query_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries in parts; a part lists its terms once, and each query refers to them."""
+    for part, ids, raw in text_blocks(batches, PART_QUERIES, PART_BYTES):
+        doc, term, count, _ = _terms(raw)
+        terms, place = np.unique(term, return_inverse=True)
+        row = [part, np.array(ids, "<i8").tobytes(), np.bincount(doc, minlength=len(ids)).astype("<u4").tobytes(), terms.astype("<u8").tobytes(), place.astype("<u4").tobytes(), count.astype("<u4").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "ids", "sizes", "terms", "place", "counts"])
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part, terms in zip(b.column("part").to_pylist(), b.column("terms").to_pylist(), strict=True):
+            t = np.frombuffer(terms, "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), part)), pa.array(t)], names=["part", "term"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of one part: its terms that documents have, and their document frequencies."""
+    current, found, known = None, [], []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([current]), pa.array([np.concatenate(found).tobytes()]), pa.array([np.concatenate(known).tobytes()])], names=["part", "known", "frequencies"])
+
+    for b in batches:
+        part, term, n = (b.column(c).to_numpy() for c in ("part", "term", "n"))
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for begin, end in zip(edges, edges[1:], strict=False):
+            if begin == end:
+                continue
+            if part[begin] != current:
+                yield from flush()
+                current, found, known = int(part[begin]), [], []
+            found.append(term[begin:end].copy())
+            known.append(n[begin:end].copy())
+    yield from flush()
+
+
+class _Part:
+    """Queries with the weight of each of their terms, their thresholds, and the best documents so far."""
+
+    def __init__(self, row: dict, n_docs: int, k: int):
+        self.part, self.k = row["part"], k
         self.ids = np.frombuffer(row["ids"], "<i8")
-        length = np.frombuffer(row["lengths"], "<u4").astype(float)
-        self.terms = np.cumsum(_unpack(row["terms"], 6))
-        sizes = _unpack(row["sizes"], 4).astype(np.int64)
-        self.docs = np.frombuffer(row["docs"], "<u2").astype(np.int64)
-        tf = _unpack(row["counts"], 4).astype(float)
-        idf = np.log1p((n_docs - frequencies + 0.5) / (frequencies + 0.5))
-        self.impact = np.repeat(idf, sizes) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / max(mean, 1e-9)))
-        # entries: runs of postings of one term in one block
-        term = np.repeat(np.arange(len(sizes)), sizes)
-        block = self.docs // BLOCK_DOCS
-        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
-        self.entry_begin, self.entry_end = begin, np.append(begin[1:], len(term))
-        self.entry_block = block[begin]
-        self.entry_max = np.maximum.reduceat(self.impact, begin) if len(begin) else np.zeros(0)
-        self.term_entry = np.searchsorted(term[begin], np.arange(len(sizes) + 1))
-        self.blocks = -(-len(self.ids) // BLOCK_DOCS)
-
-    def best(self, term: np.ndarray, weight: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of this shard that may be among a query's k best above floor, with their scores. term: places in self.terms."""
-        entries, of = _ranges(self.term_entry[term], self.term_entry[term + 1])
-        bound = np.bincount(self.entry_block[entries], self.entry_max[entries] * weight[of], self.blocks) * (1 + 1e-9)
-        todo = np.flatnonzero((bound > 0) & (bound >= floor))
-        todo = todo[np.argsort(-bound[todo], kind="stable")]
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        step = FIRST_BLOCKS
-        while len(todo):
-            chosen = np.zeros(self.blocks, bool)
-            chosen[todo[:step]] = True
-            todo = todo[step:]
-            hit = chosen[self.entry_block[entries]]
-            postings, at = _ranges(self.entry_begin[entries[hit]], self.entry_end[entries[hit]])
-            total = np.bincount(self.docs[postings], self.impact[postings] * weight[of[hit]][at], len(self.ids))
-            found = np.flatnonzero((total > 0) & (total >= floor))
-            docs, scores = np.concatenate([docs, found]), np.concatenate([scores, total[found]])
-            if len(scores) >= k:
-                floor = max(floor, np.partition(scores, -k)[-k])
-                keep = scores >= floor
-                docs, scores = docs[keep], scores[keep]
-            todo = todo[bound[todo] >= floor]
-            step = len(todo)
-        return self.ids[docs], scores
-
-
-def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All integers of the ranges, and the range of each."""
-    n = end - begin
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n - begin, n), of
+        sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+        self.terms = np.frombuffer(row["terms"], "<u8")
+        self.place = np.frombuffer(row["place"], "<u4").astype(np.int64)
+        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        f = np.zeros(len(self.terms))
+        if row["known"]:
+            f[np.searchsorted(self.terms, np.frombuffer(row["known"], "<u8"))] = np.frombuffer(row["frequencies"], "<i8")
+        idf = np.where(f > 0, np.log1p((n_docs - f + 0.5) / (f + 0.5)), 0.0)
+        self.weight = np.frombuffer(row["counts"], "<u4") * idf[self.place]
+        self.floor = np.frombuffer(row["floor"], "<f8").copy() if row.get("floor") else np.zeros(len(sizes))
+        self.best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in sizes]
+
+    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = (np.concatenate(x) for x in zip(self.best[q], (ids, scores), strict=True))
+        top = np.lexsort((ids, -scores))[: self.k]
+        self.best[q] = ids[top], scores[top]
+        if len(top) == self.k:
+            self.floor[q] = max(self.floor[q], scores[top[-1]])
 
 
 # --------------------------------------------------------------------------- search
-def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+class _Shard:
+    def __init__(self, row: dict, mean: float):
+        self.ids = np.frombuffer(row["ids"], "<i8")
+        n = len(self.ids)
+        length = np.frombuffer(row["lengths"], "<u4").astype(float)
+        self.terms = np.cumsum(unpack_ints(row["terms"], 8))
+        sizes = unpack_ints(row["sizes"], 4).astype(np.int64)
+        docs = np.frombuffer(row["docs"], "<u2")
+        tf = unpack_ints(row["counts"], 4).astype(float)
+        impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / max(mean, 1e-9)))[docs])  # less idf, which the queries bring
+        term = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.blocks = -(-n // BLOCK_DOCS)
+        # frequent terms: a column of impacts each; and each block's greatest
+        columns = _frequent(sizes, n)
+        self.column = np.full(len(sizes), -1)
+        self.column[columns] = np.arange(len(columns))
+        column = self.column[term]
+        on = column >= 0
+        self.impacts = np.zeros((self.blocks * BLOCK_DOCS, len(columns)), np.float32)
+        self.impacts[docs[on], column[on]] = impact[on]
+        self.greatest = self.impacts.reshape(self.blocks, BLOCK_DOCS, -1).max(1)
+        # other terms: an entry for each block that holds one, with the greatest impact there
+        t, b, x = term[~on], docs[~on] // BLOCK_DOCS, impact[~on]
+        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(t)), bool), (t[1:] != t[:-1]) | (b[1:] != b[:-1])]))
+        self.entry_block = b[begin].astype(np.int64)
+        self.entry_max = np.maximum.reduceat(x, begin) if len(begin) else np.zeros(0)
+        self.term_entry = np.searchsorted(t[begin], np.arange(len(sizes) + 1))
+        # the postings by document
+        order = np.argsort(docs, kind="stable")
+        self.doc_term, self.doc_impact = term[order], impact[order]
+        self.doc_begin = np.searchsorted(docs[order], np.arange(n + 1))
+        self.weight = np.zeros(len(sizes))  # of a query's terms, while it is scored
+
+    def visit(self, queries: _Part) -> None:
+        if not len(self.terms):
+            return
+        nq, nb = len(queries.ids), self.blocks
+        at = np.minimum(np.searchsorted(self.terms, queries.terms), len(self.terms) - 1)
+        at = np.where(self.terms[at] == queries.terms, at, -1)[queries.place]
+        here = (at >= 0) & (queries.weight > 0)
+        at, of, weight = at[here], queries.of[here], queries.weight[here]
+        column = self.column[at]
+        on = column >= 0
+        w = np.zeros((nq, self.impacts.shape[1]), np.float32)
+        w[of[on], column[on]] = weight[on]
+        entries, which = ranges(self.term_entry[at[~on]], self.term_entry[at[~on] + 1])
+        rare = np.bincount(of[~on][which] * nb + self.entry_block[entries], self.entry_max[entries] * weight[~on][which], nq * nb).reshape(nq, nb) * (1 + 1e-9)
+        bound = (w @ self.greatest.T) * (1 + ROUNDING) + rare
+        rank = np.empty((nq, nb), np.int64)
+        np.put_along_axis(rank, np.argsort(-bound, 1, kind="stable"), np.arange(nb)[None], 1)
+        own = np.searchsorted(of, np.arange(nq + 1))
+        done = 0
+        for upto in (*WAVES, nb):
+            todo = (rank >= done) & (rank < upto) & (bound > 0) & (bound >= queries.floor[:, None])
+            done = max(done, upto)
+            found_q, found_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for b in np.flatnonzero(todo.any(0)):
+                who = np.flatnonzero(todo[:, b])
+                upper = (w[who] @ self.impacts[b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS].T) * (1 + ROUNDING) + rare[who, b][:, None]
+                i, j = np.nonzero((upper > 0) & (upper >= queries.floor[who][:, None]))
+                found_q.append(who[i])
+                found_d.append(j + b * BLOCK_DOCS)
+            q, d = np.concatenate(found_q), np.concatenate(found_d)
+            q, d = q[d < len(self.ids)], d[d < len(self.ids)]
+            order = np.argsort(q, kind="stable")
+            q, d = q[order], d[order]
+            edges = [0, *(np.flatnonzero(np.diff(q)) + 1).tolist(), len(q)]
+            for begin, end in zip(edges, edges[1:], strict=False):
+                if begin < end:
+                    k = int(q[begin])
+                    terms = slice(own[k], own[k + 1])
+                    self._score(queries, k, at[terms], weight[terms], d[begin:end])
+
+    def _score(self, queries: _Part, q: int, terms: np.ndarray, weight: np.ndarray, docs: np.ndarray) -> None:
+        self.weight[terms] = weight
+        for begin in range(0, len(docs), 1024):  # a document's postings at a time are few
+            part = docs[begin : begin + 1024]
+            postings, of = ranges(self.doc_begin[part], self.doc_begin[part + 1])
+            score = np.bincount(of, self.doc_impact[postings] * self.weight[self.doc_term[postings]], len(part))
+            hit = (score > 0) & (score >= queries.floor[q])
+            if hit.any():
+                queries.add(q, self.ids[part[hit]], score[hit])
+        self.weight[terms] = 0
+
+
+def _floors(seeds, k: int, n_docs: int, mean: float):
+    """Answers each part from the seed shards; the k-th best score becomes its queries' threshold."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = None
+        for b in batches:
+            shards = [_Shard(row, mean) for row in seeds.value] if shards is None else shards
+            out = []
+            for row in b.to_pylist():
+                queries = _Part(row, n_docs, k)
+                for shard in shards:
+                    shard.visit(queries)
+                out.append(queries.floor.tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "floor"])
 
-def _query_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, ids, raw in _blocks(batches):
-        for begin in range(0, len(ids), QUERIES_PER_PART):
-            doc, term, count, _ = _terms(raw[begin : begin + QUERIES_PER_PART])
-            n = np.bincount(doc, minlength=len(ids[begin : begin + QUERIES_PER_PART]))
-            row = [block << 20 | begin, np.array(ids[begin : begin + QUERIES_PER_PART], "<i8").tobytes(), n.astype("<u4").tobytes(), term.astype("<u8").tobytes(), count.astype("<u4").tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "ids", "sizes", "terms", "counts"])
+    return run
 
 
 def _search(shared, k: int, n_docs: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(p, np.frombuffer(i, "<i8"), np.frombuffer(s, "<u4").astype(np.int64), np.frombuffer(t, "<u8"), np.frombuffer(c, "<u4").astype(float)) for p, i, s, t, c in shared.value]
-        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        current, replies, index = None, [], None
-
-        def visit() -> None:
-            if index is None:
-                return
-            shard = _Shard(index, np.concatenate([np.zeros(0), *(_unpack(t, 5).astype(float) for _, t in sorted(replies))]), n_docs, mean)
-            for p, (_, ids, sizes, terms, counts) in enumerate(parts):
-                place = np.minimum(np.searchsorted(shard.terms, terms), max(0, len(shard.terms) - 1))
-                here = shard.terms[place] == terms if len(shard.terms) else np.zeros(len(terms), bool)
-                end = np.cumsum(sizes)
-                for q, (a, b) in enumerate(zip(end - sizes, end, strict=True)):
-                    own = here[a:b]
-                    if own.any():
-                        old = best.get((p, q))
-                        floor = float(old[1][-1]) if old is not None and len(old[1]) == k else 0.0
-                        docs, scores = shard.best(place[a:b][own], counts[a:b][own], k, floor)
-                        if len(docs):
-                            best[p, q] = _top(docs, scores, k) if old is None else _top(np.concatenate([old[0], docs]), np.concatenate([old[1], scores]), k)
-
+        parts = None
         for b in batches:
-            for row in b.to_pylist():
-                if row["block"] != current:
-                    visit()
-                    current, replies, index = row["block"], [], None
-                if row["shard"] is None:
-                    index = row
-                else:
-                    replies.append((row["shard"], row["totals"]))
-        visit()
-        for p, (part, ids, *_) in enumerate(parts):
-            rows = [(np.full(len(d), ids[q]), d, s) for q in range(len(ids)) if (p, q) in best for d, s in [best[p, q]]]
+            for i in range(len(b)):
+                parts = [_Part(row, n_docs, k) for row in shared.value] if parts is None else parts
+                shard = _Shard(b.slice(i, 1).to_pylist()[0], mean)
+                for queries in parts:
+                    shard.visit(queries)
+        for queries in parts or []:
+            rows = [(np.full(len(d), queries.ids[q]), d, s, np.full(len(d), q)) for q, (d, s) in enumerate(queries.best) if len(d)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, *(np.concatenate(c).tobytes() for c in zip(*rows, strict=True)))], names=["part", "queries", "docs", "scores"])
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (queries.part, *(np.concatenate(c).tobytes() for c in zip(*rows, strict=True)))], names=["part", "queries", "docs", "scores", "rows"])
 
     return run
 
 
 def _merged(k: int):
+    """Neighbouring rows of one part: the k best of each of its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        current: int | None = None
+        best: list[np.ndarray] = []  # query row, query, document, score
+
+        def cut() -> None:
+            nonlocal best
+            order = np.lexsort((best[2], -best[3], best[0]))
+            best = [x[order] for x in best]
+            first = np.flatnonzero(np.diff(best[0], prepend=-1))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+            best = [x[rank < k] for x in (*best[:4], rank + 1)]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if best:
+                cut()
+                yield pa.RecordBatch.from_arrays([pa.array(best[1]), pa.array(best[4]), pa.array(best[2]), pa.array(best[3])], names=["query_id", "rank", "doc_id", "score"])
+
         for b in batches:
             for r in b.to_pylist():
-                held.setdefault(r["part"], []).append((np.frombuffer(r["queries"], "<i8"), np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["scores"], "<f8")))
-        for part in sorted(held):
-            q, d, s = (np.concatenate(c) for c in zip(*held.pop(part), strict=True))
-            order = np.lexsort((d, -s, q))
-            q, d, s = q[order], d[order], s[order]
-            first = np.flatnonzero(np.diff(q, prepend=q[0] - 1))
-            rank = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) + 1
-            top = rank <= k
-            yield pa.RecordBatch.from_arrays([pa.array(q[top]), pa.array(rank[top]), pa.array(d[top]), pa.array(s[top])], names=["query_id", "rank", "doc_id", "score"])
+                if r["part"] != current:
+                    yield from flush()
+                    current, best = r["part"], []
+                more = [np.frombuffer(r[c], t) for c, t in (("rows", "<i8"), ("queries", "<i8"), ("docs", "<i8"), ("scores", "<f8"))]
+                best = [np.concatenate(x) for x in zip(best[:4], more, strict=True)] if best else more
+                if len(best[0]) > 1 << 20:
+                    cut()
+        yield from flush()
 
     return run
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, scratch: Scratch | None = None) -> DataFrame:
-    """query_id, rank, doc_id, score: the k best documents for each query; both tables: doc_id (unique in queries), text."""
+    """query_id, rank, doc_id, score: the k best documents for each query; both tables: doc_id, text."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "search")
 
-    def tagged(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-        return rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), SHARD_DOCS.bit_length() - 1))
-
-    index = scratch.write(tagged(docs).mapInArrow(_index, _INDEX), "index")
-    n_docs, words = index.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    ranges = parallelism(spark)
-    asked = index.select("block", "terms", "sizes").mapInArrow(_asked(ranges), "shard int, block long, n long, grams binary, counts binary")
-    totals = asked.repartition(ranges, "shard").mapInArrow(_totals, "block long, shard int, n long, totals binary").select("block", "shard", "totals")
-    names = ["ids", "lengths", "terms", "sizes", "docs", "counts"]
-    whole = index.select("block", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("totals"), *names)
-    whole = whole.unionByName(totals.select("*", *[F.lit(None).cast("binary").alias(c) for c in names])).repartition(ranges, "block").sortWithinPartitions("block", "shard")
-    whole = scratch.write(whole, "whole")
-    scratch.drop("index")
-    parts = scratch.write(tagged(queries).mapInArrow(_query_parts, "part long, ids binary, sizes binary, terms binary, counts binary"), "queries")
+    def texts(df: DataFrame) -> DataFrame:
+        return with_part(df).where("doc_id is not null")
+
+    index = scratch.write(texts(docs).mapInArrow(_index, _INDEX), "index")
+    n_docs, words = (int(x) for x in index.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first())
+    mean = words / max(1, n_docs)
+    parts = scratch.write(texts(queries).mapInArrow(_query_parts, _PART), "parts")
+    frequencies = index.select("terms", "sizes").mapInArrow(_counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    wanted = parts.select("part", "terms").mapInArrow(_wanted, "part long, term long")  # a term comes once from each part
+    known = wanted.join(frequencies, "term").repartition(parallelism(spark), "part").sortWithinPartitions("part", "term").mapInArrow(_gathered, "part long, known binary, frequencies binary")
+    seeds = [r.shard for r in index.where("n >= 1").select("shard").orderBy(F.xxhash64("shard")).limit(SEEDS).collect()]
+    seeds = [r.asDict() for r in index.where(F.col("shard").isin(seeds)).collect()]  # SEEDS shards, each bounded by SHARD_BYTES or one text
+    shared = spark.sparkContext.broadcast(seeds)
+    ready = parts.join(known, "part", "left").repartition(parallelism(spark), "part").mapInArrow(_floors(shared, k, n_docs, mean), f"{_PART}, known binary, frequencies binary, floor binary")
+    ready = scratch.write(ready, "queries")
+    shared.unpersist()
     rounds, held, size = [], [], 0
 
     def go() -> None:
         shared = spark.sparkContext.broadcast(list(held))  # ROUND_BYTES and one part at most
-        hits = whole.repartition(ranges, "block").sortWithinPartitions("block", "shard").mapInArrow(_search(shared, k, int(n_docs), words / max(1, n_docs)), "part long, queries binary, docs binary, scores binary")
+        hits = index.mapInArrow(_search(shared, k, n_docs, mean), "part long, queries binary, docs binary, scores binary, rows binary")
         rounds.append(scratch.write(hits, f"hits-{len(rounds)}"))
         shared.unpersist()
 
-    for r in parts.toLocalIterator():
-        held.append(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r))
-        size += sum(len(x) for x in held[-1][1:])
+    for r in ready.toLocalIterator():
+        held.append(r.asDict())
+        size += sum(len(x) for x in held[-1].values() if isinstance(x, (bytes, bytearray)))
         if size >= ROUND_BYTES:
             go()
             held, size = [], 0
@@ -252,7 +383,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, scratch: Scratch |
     hits = rounds[0]
     for more in rounds[1:]:
         hits = hits.unionByName(more)
-    return hits.repartition(ranges, "part").mapInArrow(_merged(k), "query_id long, rank long, doc_id long, score double")
+    return hits.repartition(parallelism(spark), "part").sortWithinPartitions("part").mapInArrow(_merged(k), "query_id long, rank long, doc_id long, score double")
 
 
 def every_50th(doc_id: Column) -> Column:
@@ -263,4 +394,4 @@ def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
-    return search(docs, docs.where(every_50th(F.col("doc_id"))))
+    return search(docs, docs.where(every_50th(F.col("doc_id").cast("long"))))
