@@ -144,20 +144,63 @@ def test_large_groups_go_by_tiles(spark, monkeypatch):
 
 
 def test_prefixes_shorten_until_the_recall():
-    assert near_dup.prefix_length(0.8, 0.9999) < near_dup.prefix_length(0.8, 0.99) <= near_dup.DEPTH
-    d = near_dup.prefix_length(0.8)
-    assert 1 - (1 - 0.8**d) ** near_dup.TREES >= near_dup.TARGET_RECALL
-
-
-def test_trees_reach_the_recall_by_simulated_signatures():
+    assert near_dup.prefix_length(0.6) < near_dup.prefix_length(0.7) < near_dup.prefix_length(0.8) <= near_dup.DEEPEST - near_dup.MORE
+    shortest, longest = near_dup.lengths_of_use(0.8)
+    sizes = np.ones((near_dup.TREES, longest - shortest + 1))
+    usual = near_dup.rest_at(sizes, shortest, longest, 0.8)
+    assert (usual == near_dup.prefix_length(0.8)).all() and near_dup.recall(usual, 0.8) >= near_dup.TARGET_RECALL
+    for dense in (3, 12, 25, 32):  # dense trees keep longer prefixes as far as the others make up for it
+        sizes[:dense] = 5000 - np.arange(dense)[:, None]
+        at = near_dup.rest_at(sizes, shortest, longest, 0.8)
+        assert near_dup.recall(at, 0.8) >= near_dup.TARGET_RECALL
+        assert at[:dense].mean() > usual[0] if dense < 20 else (at >= shortest).all()
+    assert near_dup.rest_at(sizes, shortest, longest, 0.8)[0] >= near_dup.rest_at(sizes, shortest, longest, 0.8)[31]
+
+
+@pytest.mark.parametrize("jaccard", [0.80, 0.85, 0.90])
+def test_trees_reach_the_recall_by_simulated_signatures(jaccard):
     rng, n, missed = np.random.default_rng(12), 4, 0
     label = near_dup.labels(near_dup.prefix_length(0.8))
     for _ in range(n):
-        same = rng.random((50_000, near_dup.HASHES), np.float32) < 0.8
+        same = rng.random((50_000, near_dup.HASHES), np.float32) < jaccard
         missed += int((~same[:, label].all(2).any(1)).sum())
     assert missed / (n * 50_000) <= 1 - near_dup.TARGET_RECALL
 
 
+@pytest.mark.parametrize("jaccard", [0.80, 0.85, 0.90])
+def test_labels_of_real_sets_meet(jaccard):
+    """Pairs of sets with that similarity share the prefix they come to rest at in some tree, by the hashes of use."""
+    rng, pairs, size = np.random.default_rng(14), 3000, 90
+    both = round(jaccard * size)
+    shared, own = rng.integers(0, 2**63, (pairs, both)), rng.integers(0, 2**63, (2, pairs, size - both))
+    shortest, longest = near_dup.lengths_of_use(0.8)
+    cut = 16 * (longest - near_dup.prefix_length(0.8))
+    sides = []
+    for part in (0, 1):
+        mine = own[part][:, : (size - both) // 2 + part * ((size - both) % 2)]  # the union has `size` members
+        sets = np.concatenate([shared, mine], 1).astype(np.uint64)
+        sig = near_dup.min_hashes(sets.ravel(), np.arange(pairs) * sets.shape[1])
+        sides.append(near_dup.tree_labels(sig, shortest, longest))
+    (ka, ra), (kb, rb) = sides
+    assert ((ka == kb) & (ra >> cut == rb >> cut)).any(1).mean() >= 0.999
+
+
+def test_walk_over_sorted_labels_finds_all_shared_prefixes():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(15)
+    shortest, longest = 5, 8
+    rows = [(int(rng.integers(3)), int.from_bytes(rng.integers(0, 3, 3).astype(">u2").tobytes(), "big"), i) for i in range(400)]
+    want: dict[tuple, list[int]] = collections.defaultdict(list)
+    for key, rest, i in rows:
+        for k in range(shortest, longest + 1):
+            want[key, k, rest >> 16 * (longest - k)].append(i)
+    rows.sort()
+    batches = [pa.RecordBatch.from_pydict({"key": [r[0] for r in part], "rest": [r[1] for r in part], "n": [1] * len(part), "head": [r[2] for r in part]}) for part in (rows[i : i + 7] for i in range(0, 400, 7))]
+    got = {(r["key"], r["length"], r["prefix"]): (r["n"], r["head"]) for out in near_dup._walk(shortest, longest)(iter(batches)) for r in out.to_pylist()}
+    assert got == {k: (len(v), min(v)) for k, v in want.items() if len(v) > 1}
+
+
 def test_min_hashes_agree_as_independent_ones():
     rng, pairs = np.random.default_rng(13), 4000
     shared, own = rng.integers(0, 2**63, (pairs, 80)), rng.integers(0, 2**63, (2, pairs, 10))  # Jaccard 0.8
@@ -206,6 +249,19 @@ def test_scores_against_brute_force(docs, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_scores_of_repeated_and_null_ids(odd):
+    rows = sorted((r.doc_id or 0, r.n_words, round(r.score, 9)) for r in lm_scoring.score(odd).collect())
+    assert [r[:2] for r in rows] == [(0, 0), (0, 60), (1, 60), (1, 60), (1, 61), (2, 61)]
+    assert rows[0][2] == 0 and rows[1][2] == rows[2][2] == rows[3][2] < 0
+
+
+def test_scores_do_not_depend_on_blocks_and_ranges(docs, monkeypatch):
+    """Workers run the module as it is, so blocks are made small by the number of partitions, ranges by their bytes."""
+    want = {i: r.score for i, r in by_id(lm_scoring.score(docs)).items()}
+    monkeypatch.setattr(lm_scoring, "RANGE_BYTES", 2000)
+    assert {i: r.score for i, r in by_id(lm_scoring.score(docs.repartition(9))).items()} == pytest.approx(want, rel=1e-12)
+
+
 # --------------------------------------------------------------------------- 3
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(5)
@@ -285,28 +341,70 @@ def test_bpe_on_random_characters():
 
 
 # --------------------------------------------------------------------------- 5
-def test_search_against_brute_force(docs, odd, empty, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK_DOCS", 2)
-    monkeypatch.setattr(search, "FIRST_BLOCKS", 1)
-    bags = [collections.Counter(regex.findall(r"[\p{L}\p{M}\p{N}]+", (t or "").lower())) for t in TEXTS]
+def brute_search(texts, queries, k):
+    """query -> [(doc, score)]: by score, then doc."""
+    bags = [collections.Counter(regex.findall(r"[\p{L}\p{M}\p{N}]+", (t or "").lower())) for t in texts]
     sizes = [sum(b.values()) for b in bags]
     mean, n, df = sum(sizes) / len(bags), len(bags), collections.Counter(w for b in bags for w in b)
-    queries = docs.where("doc_id % 3 = 0")
-    got = collections.defaultdict(list)
-    for r in search.search(docs, queries, k=4).collect():
-        got[r.query_id].append((r["rank"], r.doc_id, r.score))
-    for q in range(0, len(TEXTS), 3):
-        want = []
+    out = {}
+    for q in queries:
+        found = []
         for i, b in enumerate(bags):
             s = sum(m * math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sizes[i] / mean)) for w, m in bags[q].items() if w in b)
             if s:
-                want.append((-s, i))
-        scores = [s for _, _, s in sorted(got[q])]
-        assert scores == pytest.approx([-s for s, _ in sorted(want)[:4]], rel=1e-9)
-    assert search.search(empty, empty).count() == 0
+                found.append((-round(s, 9), i, s))
+        out[q] = [(i, s) for _, i, s in sorted(found)[:k]]
+    return out
+
+
+def test_search_against_brute_force(docs, odd, empty):
+    got = collections.defaultdict(list)
+    for r in search.search(docs, docs.where("doc_id % 3 = 0"), k=4).collect():
+        got[r.query_id].append((r["rank"], r.doc_id, r.score))
+    for q, want in brute_search(TEXTS, range(0, len(TEXTS), 3), 4).items():
+        assert [i for _, i, _ in sorted(got[q])] == [i for i, _ in want]  # equal texts tie, and the smaller doc_id comes first
+        assert [s for *_, s in sorted(got[q])] == pytest.approx([s for _, s in want], rel=1e-9)
+    assert search.search(empty, empty).count() == 0 and search.search(docs, empty).count() == 0
     assert {r.doc_id for r in search.search(odd, odd.where("doc_id = 2")).collect()} == {1, 2}
 
 
+def test_search_prunes_and_stays_exact(monkeypatch):
+    """Shards, blocks, waves and thresholds at small sizes, run without Spark."""
+    import pyarrow as pa
+
+    for name, value in (("SHARD_DOCS", 150), ("BLOCK_DOCS", 4), ("DENSE", 12), ("WAVES", (1, 5)), ("PART_QUERIES", 7), ("CLUSTERS", 6)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(21)
+    dialects = [[f"{d}w{i}" for i in range(120)] for d in "abc"]
+    texts = [" ".join(v[min(119, int(rng.paretovariate(0.7)))] for _ in range(rng.randrange(1, 60))) for v in (rng.choice(dialects) for _ in range(700))]
+    texts += [texts[i] for i in range(0, 60, 5)] + [None, "", "!"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "part": [0] * len(texts)})
+    index = [r for b in search._index(iter([batch])) for r in b.to_pylist()]
+    assert len(index) > 3
+    asked = list(range(0, len(texts), 9))
+    parts = [r for b in search._query_parts(iter([batch.take(pa.array(asked))])) for r in b.to_pylist()]
+    df = collections.Counter()
+    for b in search._counted(iter([pa.RecordBatch.from_pylist(index)])):
+        df.update(dict(zip(b.column("term").to_pylist(), b.column("n").to_pylist(), strict=True)))
+    n, mean = sum(r["n"] for r in index), sum(r["words"] for r in index) / sum(r["n"] for r in index)
+    shards, scored = [search._Shard(r, mean) for r in index], []
+    whole = search._Shard._score
+    monkeypatch.setattr(search._Shard, "_score", lambda self, p, q, t, w, d: (scored.append(len(d)), whole(self, p, q, t, w, d)))
+    got = {}
+    for row in parts:
+        t = [x for x in np.frombuffer(row["terms"], "<i8").tolist() if x in df]
+        row |= {"known": np.array(t, "<i8").tobytes(), "frequencies": np.array([df[x] for x in t], "<i8").tobytes()}
+        first = search._Part(row, n, 5)
+        shards[0].visit(first)
+        queries = search._Part(row | {"floor": first.floor.tobytes()}, n, 5)
+        for shard in shards:
+            shard.visit(queries)
+        got |= {int(i): list(zip(d.tolist(), s.tolist(), strict=True)) for i, (d, s) in zip(queries.ids, queries.best, strict=True)}
+    for q, want in brute_search(texts, asked, 5).items():
+        assert [i for i, _ in got[q]] == [i for i, _ in want] and [s for _, s in got[q]] == pytest.approx([s for _, s in want], rel=1e-9)
+    assert sum(scored) < 0.5 * len(asked) * len(texts)
+
+
 # --------------------------------------------------------------------------- 6
 def test_toxicity_on_held_out_rows(spark, sf):
     d, labels = spark.read.parquet(f"{sf[:-5]}0.01/documents.parquet"), spark.read.parquet(f"{sf[:-5]}0.01/labels.parquet")
