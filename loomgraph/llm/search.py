@@ -40,12 +40,12 @@ from .common import SLICE_BYTES, Scratch, Words, pack_ints, parallelism, ranges,
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_BYTES = 8192, 16 << 20
 BLOCK_DOCS = 16
-DENSE = 1024  # terms of a shard, at most, whose postings are kept as columns, and
-DENSE_SHARE = 64  # in how many documents, one of these, such a term occurs at least
+DENSE = 2048  # terms of a shard, at most, whose postings are kept as columns, and
+DENSE_SHARE = 128  # in how many documents, one of these, such a term occurs at least
 CLUSTERS, TURNS = 64, 3  # of similar documents
-WAVES = (8, 64)  # blocks per query of the first waves; the last takes the rest
+WAVES = (32,)  # blocks per query of the first waves; the last takes the rest
 ROUNDING = 1e-4  # relative error of a sum of DENSE products in single precision, and more
-SEEDS = 1
+SEEDS = 3
 PART_QUERIES, PART_BYTES = 256, 2 << 20
 ROUND_BYTES = 32 << 20
 _GAPS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
@@ -211,9 +211,10 @@ class _Shard:
         self.impacts[docs[on], column[on]] = impact[on]
         self.greatest = self.impacts.reshape(self.blocks, BLOCK_DOCS, -1).max(1)
         # other terms: an entry for each block that holds one, with the greatest impact there
-        t, b, x = term[~on], docs[~on] // BLOCK_DOCS, impact[~on]
+        t, self.rare_doc, self.rare_impact = term[~on], docs[~on].astype(np.int64), impact[~on]
+        b, x = self.rare_doc // BLOCK_DOCS, self.rare_impact
         begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(t)), bool), (t[1:] != t[:-1]) | (b[1:] != b[:-1])]))
-        self.entry_block = b[begin].astype(np.int64)
+        self.entry_begin, self.entry_block = np.append(begin, len(t)), b[begin]
         self.entry_max = np.maximum.reduceat(x, begin) if len(begin) else np.zeros(0)
         self.term_entry = np.searchsorted(t[begin], np.arange(len(sizes) + 1))
         # the postings by document
@@ -235,8 +236,10 @@ class _Shard:
         w = np.zeros((nq, self.impacts.shape[1]), np.float32)
         w[of[on], column[on]] = weight[on]
         entries, which = ranges(self.term_entry[at[~on]], self.term_entry[at[~on] + 1])
-        rare = np.bincount(of[~on][which] * nb + self.entry_block[entries], self.entry_max[entries] * weight[~on][which], nq * nb).reshape(nq, nb) * (1 + 1e-9)
-        bound = (w @ self.greatest.T) * (1 + ROUNDING) + rare
+        rare_q, rare_w, at_block = of[~on][which], weight[~on][which], self.entry_block[entries]
+        bound = np.bincount(rare_q * nb + at_block, self.entry_max[entries] * rare_w, nq * nb).reshape(nq, nb) * (1 + 1e-9)
+        bound += (w @ self.greatest.T) * (1 + ROUNDING)
+        size = nb * BLOCK_DOCS
         rank = np.empty((nq, nb), np.int64)
         np.put_along_axis(rank, np.argsort(-bound, 1, kind="stable"), np.arange(nb)[None], 1)
         own = np.searchsorted(of, np.arange(nq + 1))
@@ -244,10 +247,14 @@ class _Shard:
         for upto in (*WAVES, nb):
             todo = (rank >= done) & (rank < upto) & (bound > 0) & (bound >= queries.floor[:, None])
             done = max(done, upto)
+            # the other terms' part of each document's score, in the blocks of this wave
+            hit = todo[rare_q, at_block]
+            postings, which = ranges(self.entry_begin[entries[hit]], self.entry_begin[entries[hit] + 1])
+            rare = np.bincount(rare_q[hit][which] * size + self.rare_doc[postings], self.rare_impact[postings] * rare_w[hit][which], nq * size).reshape(nq, nb, BLOCK_DOCS)
             found_q, found_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for b in np.flatnonzero(todo.any(0)):
                 who = np.flatnonzero(todo[:, b])
-                upper = (w[who] @ self.impacts[b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS].T) * (1 + ROUNDING) + rare[who, b][:, None]
+                upper = (w[who] @ self.impacts[b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS].T) * (1 + ROUNDING) + rare[who, b] * (1 + 1e-9)
                 i, j = np.nonzero((upper > 0) & (upper >= queries.floor[who][:, None]))
                 found_q.append(who[i])
                 found_d.append(j + b * BLOCK_DOCS)
@@ -278,16 +285,14 @@ def _floors(seeds, k: int, n_docs: int, mean: float):
     """Answers each part from the seed shards; the k-th best score becomes its queries' threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = None
         for b in batches:
-            shards = [_Shard(row, mean) for row in seeds.value] if shards is None else shards
-            out = []
-            for row in b.to_pylist():
-                queries = _Part(row, n_docs, k)
-                for shard in shards:
+            parts = [_Part(row, n_docs, k) for row in b.to_pylist()]
+            for row in seeds.value if parts else []:  # one shard is held at a time
+                shard = _Shard(row, mean)
+                for queries in parts:
                     shard.visit(queries)
-                out.append(queries.floor.tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "floor"])
+                del shard
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p.floor.tobytes() for p in parts], pa.binary())], names=[*b.schema.names, "floor"])
 
     return run
 
