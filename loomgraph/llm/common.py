@@ -128,6 +128,21 @@ def text_blocks(batches: Iterator[pa.RecordBatch], docs: int, size: int, text: s
         yield first | block, ids, raw
 
 
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple]:
+    """(value, rows): neighbouring rows of one value, as tuples of the other columns; one run is held at a time."""
+    current, held = None, []
+    for b in batches:
+        others = [b.column(c).to_pylist() for c in b.schema.names if c != key]
+        for value, *row in zip(b.column(key).to_pylist(), *others, strict=True):
+            if value != current and held:
+                yield current, held
+                held = []
+            current = value
+            held.append(tuple(row))
+    if held:
+        yield current, held
+
+
 # --------------------------------------------------------------------------- packed integers
 def pack_ints(x: np.ndarray, width: int) -> bytes:
     """Integers by byte planes, so that compression drops the empty ones."""
@@ -141,6 +156,35 @@ def unpack_ints(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeeze(data: bytes) -> bytes:
+    """Compressed, with the length in front."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def spread_keys(n: int) -> np.ndarray:
+    """n integers, one for each of n partitions: the integer at place p goes to partition p of repartition(n, key).
+
+    Spark deals rows by Murmur3 of the key; whole numbers from 0 on are tried until each partition has one.
+    """
+
+    def turned(x: np.ndarray, bits: int) -> np.ndarray:
+        return x << np.uint32(bits) | x >> np.uint32(32 - bits)
+
+    x = np.arange(64 * n + 1024, dtype=np.uint32)
+    h = turned(turned(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    places = (h ^ h >> np.uint32(16)).view(np.int32) % n
+    found, first = np.unique(places, return_index=True)
+    keys = np.arange(n, dtype=np.int32)
+    keys[found] = x[first]
+    return keys
+
+
 def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All integers of the ranges [begin, end), and the range of each."""
     n = end - begin
@@ -222,6 +266,19 @@ SECOND_BASE = _BASE[1]
 
 
 # --------------------------------------------------------------------------- byte-level tokenizer
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies (printable ones for themselves, the others from U+0100 on)."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the greatest id of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+
+
 @functools.lru_cache(4)
 def byte_tokenizer(path: str):
     """Text to ids (numpy array) for a byte-level BPE file of the tokenizers library.
@@ -245,8 +302,7 @@ def byte_tokenizer(path: str):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, vocab = spec["model"], spec["model"]["vocab"]
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    of_char = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    of_char = byte_alphabet()
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     in_order = all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) and len(vocab) == 256 + len(merges)
     plain = spec.get("normalizer") is None and spec["pre_tokenizer"].get("type") == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] and not model.get("ignore_merges")
@@ -263,8 +319,8 @@ def byte_tokenizer(path: str):
     def ids(text: str) -> np.ndarray:
         try:
             return fast.encode_to_numpy(text, allowed_special="all")
-        except BaseException as e:  # the Rust side panics on very long runs of white space
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as e:  # the Rust side panics on very long runs of white space; its class can't be imported
+            if type(e).__name__ != "PanicException":
                 raise
             return slow(text)
 

@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, pack_ints, parallelism, text_blocks, unpack_ints, with_part
+from .common import Scratch, Words, expand, pack_ints, parallelism, runs, spread_keys, squeeze, text_blocks, unpack_ints, with_part
 
 ORDER = 3
 ALPHA = 0.4
-BLOCK_DOCS, BLOCK_BYTES = 2048, 6 << 20
+BLOCK_DOCS, BLOCK_BYTES = 2048, 4 << 20
 RANGE_BYTES = 8 << 20  # text of the corpus for one range of hashes, about
 
 
@@ -73,91 +73,79 @@ class _Block:
         return np.bincount(words.doc, np.log(value), docs)
 
 
-def _requests(order: int, ranges: int):
+def _requests(order: int, ranges: int, tasks: int):
     begins = np.array([-(-(r << 64) // ranges) for r in range(ranges)], np.uint64)
+    keys = spread_keys(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, raw in text_blocks(batches, BLOCK_DOCS, BLOCK_BYTES):
             own = _Block(raw, order)
-            words = len(own.words.doc)
-            grams, counts = np.unique(own.joined, return_counts=True)
+            words, joined = len(own.words.doc), own.joined
             del own
+            grams, counts = np.unique(joined, return_counts=True)
+            del joined
             cut = [*np.searchsorted(grams, begins).tolist(), len(grams)]
-            rows = [(-1, block, words, b"", b"")]
+            rows = [(-1, -1, block, words, b"", b"")]
             for r in range(ranges):
                 if cut[r] < cut[r + 1]:
                     g, c = grams[cut[r] : cut[r + 1]], counts[cut[r] : cut[r + 1]]
-                    rows.append((r, block, len(g), pack_ints(np.diff(g, prepend=begins[r]), 8), pack_ints(c, 4)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "block", "n", "grams", "counts"])
+                    rows.append((int(keys[r % tasks]), r, block, len(g), squeeze(pack_ints(np.diff(g, prepend=begins[r]), 8)), squeeze(pack_ints(c, 4))))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["task", "range", "block", "n", "grams", "counts"])
 
     return run
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbouring rows of one range: for each block, the totals of the n-grams it listed. One range is held at a time."""
-    current: int | None = None
-    held: list[tuple[int, bytes, bytes]] = []
-
-    def reply(blocks: list[int], of: int, n: list[int], totals: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([of] * len(blocks), pa.int32()), pa.array(n, pa.int64()), pa.array(totals, pa.binary())], names=["block", "range", "n", "totals"])
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        blocks, grams, counts = zip(*held, strict=True)
-        held.clear()
-        grams = [np.cumsum(unpack_ints(g, 8)) for g in grams]
-        sizes = [len(g) for g in grams]
-        _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([unpack_ints(c, 4) for c in counts]))[inverse].astype(np.uint64)
-        yield reply(list(blocks), current, sizes, [pack_ints(x, 5) for x in np.split(total, np.cumsum(sizes)[:-1])])
-
-    for b in batches:
-        for of, block, n, grams, counts in zip(*(b.column(c).to_pylist() for c in ("range", "block", "n", "grams", "counts")), strict=True):
-            if of != current:
-                yield from flush()
-                current = of
-            if of < 0:
-                yield reply([block], -1, [n], [b""])
-            else:
-                held.append((block, grams, counts))
-    yield from flush()
+    for of, rows in runs(batches, "range"):
+        blocks, n, grams, counts = zip(*rows, strict=True)
+        if of < 0:
+            totals = [b""] * len(blocks)
+        else:
+            grams = [np.cumsum(unpack_ints(expand(g), 8)) for g in grams]
+            _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([unpack_ints(expand(c), 4) for c in counts]))[inverse].astype(np.uint64)
+            totals = [squeeze(pack_ints(x, 5)) for x in np.split(total, np.cumsum(n)[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([of] * len(blocks), pa.int32()), pa.array(n, pa.int64()), pa.array(totals, pa.binary())], names=["block", "range", "n", "totals"])
+
+
+_TEXTS = "block long, range int, totals binary, ids array<long>, sizes array<long>, texts binary"
 
 
 def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents with the number of their block, as _requests cuts them."""
+    """A row for each block, cut as _requests cuts them, with its documents."""
     for block, ids, raw in text_blocks(batches, BLOCK_DOCS, BLOCK_BYTES):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block)), pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["block", "doc_id", "text"])
+        columns = [pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in raw]], pa.list_(pa.int64())), pa.array([squeeze(b"".join(raw))])]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "range", "totals", "ids", "sizes", "texts"])
 
 
 def _score(order: int, n_words: int):
+    def one(ids: list, raw: list[bytes], answers: list[tuple]) -> pa.RecordBatch:
+        own = _Block(raw, order)
+        grams, inverse = np.unique(own.joined, return_inverse=True)
+        own.joined = None
+        inverse, n_grams = inverse.astype(np.int32), len(grams)
+        del grams
+        totals = np.concatenate([np.zeros(0, np.uint64), *(unpack_ints(expand(t), 5) for _, t in sorted(answers))])
+        if len(totals) != n_grams:
+            raise ValueError("the documents were not read in the same blocks twice; write them to a table first")
+        score = own.scores(order, totals, inverse, n_words, len(raw))
+        n = own.words.count
+        mean = pa.array(score / np.maximum(n, 1), mask=n == 0)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(score), mean], names=["doc_id", "n_words", "score", "mean"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(rows: list[tuple], ids: list, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
-            if not raw:
-                return
-            own = _Block(raw, order)
-            grams, inverse = np.unique(own.joined, return_inverse=True)
-            totals = np.concatenate([np.zeros(0, np.uint64), *(unpack_ints(t, 5) for _, t in sorted(rows))])
-            if len(totals) != len(grams):
-                raise ValueError("the documents were not read in the same blocks twice; write them to a table first")
-            del grams
-            score = own.scores(order, totals, inverse, n_words, len(raw))
-            n = own.words.count
-            mean = pa.array(score / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(score), mean], names=["doc_id", "n_words", "score", "mean"])
-
-        block, replies, ids, raw = None, [], [], []
-        for b in batches:
-            for k, of, totals, i, x in zip(*(b.column(c).to_pylist() for c in ("block", "range", "totals", "doc_id", "text")), strict=True):
-                if k != block:
-                    yield from one(replies, ids, raw)
-                    block, replies, ids, raw = k, [], [], []
-                if of is None:
-                    ids.append(i)
-                    raw.append(x)
-                elif of >= 0:
-                    replies.append((of, totals))
-        yield from one(replies, ids, raw)
+        for _, rows in runs(batches, "block"):
+            raw: list[bytes] = []
+            for _, _, _, sizes, texts in rows:
+                if texts is not None:
+                    whole, end = expand(texts), np.cumsum(sizes).tolist()
+                    raw = [whole[e - n : e] for e, n in zip(end, sizes, strict=True)]
+            ids = next((x[2] for x in rows if x[4] is not None), [])
+            answers = [(x[0], x[1]) for x in rows if x[0] is not None and x[0] >= 0]
+            if raw:
+                yield one(ids, raw, answers)
 
     return run
 
@@ -170,13 +158,12 @@ def score(docs: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -
     size = int(source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     ranges = max(parallelism(spark), -(-size // RANGE_BYTES))
     tasks = max(parallelism(spark), ranges // 2)
-    asked = source.mapInArrow(_requests(order, ranges), "range int, block long, n long, grams binary, counts binary")
-    answered = asked.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(_totals, "block long, range int, n long, totals binary")
+    asked = source.mapInArrow(_requests(order, ranges, tasks), "task int, range int, block long, n long, grams binary, counts binary")
+    answered = asked.repartition(tasks, "task").sortWithinPartitions("range").select("range", "block", "n", "grams", "counts").mapInArrow(_totals, "block long, range int, n long, totals binary")
     answered = scratch.write(answered, "totals")
     n_words = int(answered.where("range = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    rows = answered.select("block", "range", "totals", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text"))
-    texts = source.mapInArrow(_tagged, "block long, doc_id long, text binary")
-    rows = rows.unionByName(texts.select("block", F.lit(None).cast("int").alias("range"), F.lit(None).cast("binary").alias("totals"), "doc_id", "text"))
+    rows = answered.where("range >= 0").select("block", "range", "totals", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("sizes"), F.lit(None).cast("binary").alias("texts"))
+    rows = rows.unionByName(source.mapInArrow(_tagged, _TEXTS))
     return rows.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_score(order, n_words), "doc_id long, n_words long, score double, mean double")
 
 
