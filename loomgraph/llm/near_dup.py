@@ -10,8 +10,8 @@ Documents whose sets of word ``SHINGLE``-grams have a Jaccard similarity of ``th
    probability ``TARGET_RECALL``. A tree in which the document's next shorter prefix is shared by more than ``NODE``
    classes waits: the other trees are shortened further in its place, and only if the recall is still short are such dense
    trees shortened too, the smallest node first. So dense neighbourhoods are told apart by longer prefixes at the same recall.
-3. A node that some document came to rest at, with up to ``NODE`` classes, proposes all its pairs, of which those whose
-   min-hashes differ too much are left out. A larger one proposes its members as one group, by a star to its least member; no pair
+3. A node that some document came to rest at, with up to ``NODE`` classes, compares the min-hashes of all its pairs and
+   proposes those that do not differ too much (a forest of them leaves). A larger one proposes its members as one group, by a star to its least member; no pair
    of it is spelled out.
 4. Proposals make groups (connected components). Inside each, all pairs are verified exactly on their full shingle
    sets, in tiles of two blocks, with bit maps over the shingles that a tile shares. Only link counts and stars leave.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, mix64, parallelism, span_hashes, text_slices
+from .common import Scratch, Words, mix64, parallelism, runs, span_hashes, text_slices
 from .components import components, in_tiles, local_roots, tiles
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -212,19 +212,30 @@ def _choose(shortest: int, longest: int, threshold: float):
 
 
 # --------------------------------------------------------------------------- proposals
-def _alike(threshold: float):
-    """Leaves out pairs whose estimate is more than SLACK deviations below the threshold; of the rest, a forest that joins the same documents."""
+def _agree(threshold: float):
+    """Neighbouring rows of one node: its members in connected pieces, by the pairs whose estimate is at most SLACK deviations below the threshold.
+
+    A forest leaves that joins the same documents; the pairs, NODE² / 2 at most, are compared where the node is.
+    """
     chance = threshold + (1 - threshold) / 256
     least = SKETCH * threshold - SLACK * np.sqrt(SKETCH * chance * (1 - chance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("x", "y"))
-            hit = (x == y).sum(1) >= least
-            ids, at = np.unique(np.concatenate([b.column(c).to_numpy()[hit] for c in ("a", "b")]), return_inverse=True)
-            root = local_roots(len(ids), at[: hit.sum()], at[hit.sum() :])
-            moved = np.flatnonzero(root != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[root[moved]], pa.int64()), pa.array(ids[moved], pa.int64())], names=["a", "b"])
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, rows in runs(batches, "node"):
+            ids = np.array([x[0] for x in rows])
+            sketches = np.frombuffer(b"".join(x[1] for x in rows), np.uint8).reshape(-1, SKETCH)
+            a, b = np.triu_indices(len(ids), 1)
+            hit = (sketches[a] == sketches[b]).sum(1) >= least
+            root = local_roots(len(ids), a[hit], b[hit])
+            moved = np.flatnonzero(ids[root] != ids)
+            found_a.append(ids[root[moved]])
+            found_b.append(ids[moved])
+            if len(found_a) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+                found_a, found_b = [], []
+        if found_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
 
     return run
 
@@ -276,11 +287,9 @@ def _proposed(heads: DataFrame, threshold: float, scratch: Scratch) -> DataFrame
     chosen = members.groupBy("id").agg(*own).mapInArrow(_choose(shortest, longest, threshold), "key long, length int, prefix long").distinct()
     met = scratch.write(members.join(chosen, node), "met")
     stars = met.where((F.col("n") > NODE) & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    small = met.where(F.col("n") <= NODE).groupBy(*node).agg(F.collect_set("id").alias("ids"))  # NODE ids at most
-    pairs = small.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.expr("filter(ids, x -> x > a)")).alias("b")).distinct()
-    sketch = heads.select("id", "sketch")
-    pairs = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    return pairs.mapInArrow(_alike(threshold), "a long, b long").unionByName(stars)
+    small = met.where(F.col("n") <= NODE).select(F.xxhash64(*node).alias("node"), "id").join(heads.select("id", "sketch"), "id")
+    pieces = small.select("node", "id", "sketch").repartition(parallelism(spark), "node").sortWithinPartitions("node", "id").mapInArrow(_agree(threshold), "a long, b long")
+    return pieces.unionByName(stars)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:

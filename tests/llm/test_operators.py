@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from loomgraph.llm import bpe, components, embedding_dedup, language, lm_scoring, near_dup, packing, search, substring, token_store, toxicity  # noqa: E402
+from loomgraph.llm import bpe, common, components, embedding_dedup, language, lm_scoring, near_dup, packing, search, substring, token_store, toxicity  # noqa: E402
 from loomgraph.llm.common import Scratch, Words, byte_tokenizer  # noqa: E402
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -215,11 +215,11 @@ def test_min_hashes_agree_as_independent_ones():
 def test_alike_pairs_go_on_as_a_forest():
     import pyarrow as pa
 
-    pairs = [(a, b) for b in range(30) for a in range(b)]
-    same = [bytes(near_dup.SKETCH)] * len(pairs)
-    batch = pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "x": same, "y": same})
-    (out,) = near_dup._alike(0.8)(iter([batch]))
-    assert len(out) == 29 and components.local_roots(30, out.column("a").to_numpy(), out.column("b").to_numpy()).max() == 0
+    other = bytes(255 - i % 7 for i in range(near_dup.SKETCH))
+    batch = pa.RecordBatch.from_pydict({"node": [5] * 31 + [6] * 2, "id": [*range(31), 40, 41], "sketch": [bytes(near_dup.SKETCH)] * 30 + [other] * 3})
+    (out,) = near_dup._agree(0.8)(iter([batch]))
+    a, b = out.column("a").to_numpy(), out.column("b").to_numpy()
+    assert len(out) == 30 and components.local_roots(30, a[a < 30], b[a < 30]).max() == 0 and (40, 41) in zip(a, b, strict=True) and 30 not in {*a, *b}
 
 
 # --------------------------------------------------------------------------- 2
@@ -591,3 +591,10 @@ def test_every_query_is_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_keys_are_spread_over_partitions(spark):
+    for n in (1, 7, 40):
+        df = spark.createDataFrame([(int(k),) for k in common.spread_keys(n)], "k int").repartition(n, "k")
+        assert [r[0] for r in df.select(F.spark_partition_id(), "k").orderBy(F.spark_partition_id()).collect()] == list(range(n))
+        assert [r[1] for r in df.select(F.spark_partition_id(), "k").orderBy(F.spark_partition_id()).collect()] == common.spread_keys(n).tolist()
