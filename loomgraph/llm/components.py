@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, parallelism
 
 
+SALTS = 16
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least member of each of n nodes' components under the links a[i] - b[i]."""
     root = np.arange(n)
@@ -61,8 +64,10 @@ def tiles(members: DataFrame, block: int) -> DataFrame:
 
     A component is dealt by hash into blocks of about ``block`` members; side is 0 for a row's part in block i, 1 in j.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    rows = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # the members of a large component meet it in SALTS tasks
+    rows = members.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(sizes, ["component", "salt"], "left").drop("salt")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")).drop("own", "other", "blocks")
 

@@ -11,9 +11,11 @@
 Links, and with them components, are complete by step 2, whatever the passes found. Vectors that are equal value by value
 are compared once, as a class with a weight.
 
-Vectors that are null, zero, or hold null or non-finite values, and rows without label, link with nothing. Vectors of
-different length don't link. Rows with a null vec_id take no part (no component). Rows with equal vec_id count as one
-vector if their values are equal. Extra columns are ignored. An empty table gives no rows.
+Vectors that are null, empty, zero, or hold null or non-finite values, and rows without label, link with nothing. Vectors of
+different length don't link; long ones are read whole. Vectors are scaled by powers of two before they are multiplied, which
+rounds nothing and keeps very small and very large ones exact. Rows with a null vec_id take no part (no component). Rows with equal
+vec_id are one vector, and each returns what holds for it; if their values or labels differ, the row of the least (label, digest) stands for all.
+A link at exactly the threshold counts. Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ def _neighbours(threshold: float):
             found_a, found_b = [], []
             for s in np.unique(size):
                 at = np.flatnonzero(size == s)
-                v = np.frombuffer(b"".join([raw[i] for i in at]), np.float64).reshape(len(at), s)
+                v = _scaled([raw[i] for i in at])
                 norm = np.sqrt(np.einsum("ij,ij->i", v, v))
                 for d in range(1, min(REACH, len(at) - 1) + 1):
                     x, y = at[:-d], at[d:]
@@ -107,9 +109,14 @@ def _neighbours(threshold: float):
     return run
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
+def _scaled(raw: list[bytes]) -> np.ndarray:
+    """Rows times powers of two, so that squares neither overflow nor vanish."""
     v = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
-    v = v / np.abs(v).max(1, keepdims=True)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
+def _units(raw: list[bytes]) -> np.ndarray:
+    v = _scaled(raw)
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
@@ -174,7 +181,7 @@ def _meetings(placed: DataFrame) -> DataFrame:
 
 def _close(threshold: float):
     def compare(table: pa.Table) -> np.ndarray:
-        v = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(len(table), -1)
+        v = _scaled(table.column("vec").to_pylist())
         norm = np.sqrt(np.einsum("ij,ij->i", v, v))
         if table.column("i")[0] == table.column("j")[0]:
             return v @ v.T / (norm[:, None] * norm[None, :]) >= threshold
@@ -193,9 +200,11 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, scratch: S
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "embeddings")
     rows = scratch.write(vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("long")).mapInArrow(_classes, "vec_id long, k1 long, k2 long, label long, vec binary"), "vectors")
-    classes = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("weight"))
-    classes = scratch.write(classes, "classes")
-    heads = rows.join(classes, ["k1", "k2"]).where("vec_id = id").select("id", "weight", "label", "vec")
+    of_id = rows.where("k1 is not null").groupBy("vec_id").agg(F.min(F.struct("label", "k1", "k2")).alias("of")).select("vec_id", "of.k1", "of.k2")
+    of_id = scratch.write(of_id, "of-id")
+    classes = scratch.write(of_id.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "classes")
+    # by id first: copies of one vector are spread over tasks
+    heads = rows.withColumnRenamed("vec_id", "id").join(classes, ["id", "k1", "k2"]).dropDuplicates(["id"]).select("id", "weight", "label", "vec")
     heads = scratch.write(heads, "heads")
     order = ["turn", "label", "size", "key", "id"]
     passes = heads.mapInArrow(_keys, "turn int, label long, size int, key long, id long, vec binary")
@@ -208,7 +217,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, scratch: S
     counts = links.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     per_class = classes.join(found, "id", "left").join(counts.withColumnRenamed("a", "id"), "id", "left")
     per_class = per_class.select("k1", "k2", F.coalesce("component", "id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    out = rows.select("vec_id", "k1", "k2").join(per_class, ["k1", "k2"], "left")
+    found = of_id.join(per_class, ["k1", "k2"]).drop("k1", "k2")
+    out = rows.select("vec_id").join(found, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
