@@ -9,7 +9,8 @@ answers the language with the most; its score is that language's part of all cor
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if nothing could be learned. A text
 without a known n-gram gets the first learned language by name, with score 0. Ties go to the first by name. Rows with
-equal doc_id are predicted one by one; a null doc_id is not held out. Extra columns are ignored, or kept by ``identified``.
+equal doc_id are predicted one by one; a null doc_id is not held out and not learned from. Very long texts are read whole, as slices of
+their own. Extra columns are kept, whatever their names, but ``predict`` replaces those named lang_pred, lang_score or lang_known. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ MAX_DOCS = 2000  # documents of each language that learn() reads, about
 MIN_SHARE = 2e-5
 PROBES = 3
 SLOTS_LOG = 20
+MIN_KNOWN = 0.2  # part of a text's n-grams that its language must hold, for identified()
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -121,36 +123,40 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Filter:
     return Filter.build({lang: frequent.gram[frequent.lang == lang].to_numpy().astype(np.uint64) for lang in counts})
 
 
-def decide(model: Filter, raw: list[bytes]) -> tuple[list[str], np.ndarray]:
+def decide(model: Filter, raw: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, scores, and which part of the text's n-grams the language holds."""
     grams, first, letters = _grams(raw)
     if not model.languages:
-        return ["und"] * len(raw), np.zeros(len(raw))
+        return ["und"] * len(raw), np.zeros(len(raw)), np.zeros(len(raw))
     shares = model.shares(grams, first)
     best = shares.argmax(1)
     total = shares.sum(1)
     score = np.where(letters & (total > 0), shares[np.arange(len(raw)), best] / np.where(total > 0, total, 1), 0.0)
-    return [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)], score
+    return [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)], score, np.where(letters, shares[np.arange(len(raw)), best], 0.0)
 
 
 def predict(docs: DataFrame, model: Filter) -> DataFrame:
-    """All columns of docs, and lang_pred and lang_score."""
+    """All columns of docs, and lang_pred, lang_score and lang_known; columns of these names that docs has are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # slots × 8 bytes
+    added = ["lang_pred", "lang_score", "lang_known"]
+    docs = docs.drop(*added)
     names = docs.columns
-    if {"lang_pred", "lang_score"} & set(names):
-        raise ValueError("the documents have a column lang_pred or lang_score already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in text_slices(batches):
-            lang, score = decide(shared.value, raw)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "lang_score"])
+            lang, score, known = decide(shared.value, raw)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=[*names, *added])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(c, t) for c, t in zip(added, (StringType(), DoubleType(), DoubleType()), strict=True)]]))
 
 
 def identified(docs: DataFrame, model: Filter) -> DataFrame:
-    """The documents in which a learned language was found, with the columns they came with."""
+    """The documents of which a learned language holds MIN_KNOWN of the n-grams or more, with the columns they came with.
+
+    Texts of random letters share a few per cent of their n-grams with a language; nearly all labelled documents share most.
+    """
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return predict(rows, model).where("lang_pred <> 'und' and lang_score > 0").select("row.*")
+    return predict(rows, model).where((F.col("lang_pred") != "und") & (F.col("lang_known") >= MIN_KNOWN)).select("row.*")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

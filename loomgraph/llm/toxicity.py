@@ -7,9 +7,9 @@ times ratio. The bias is set for the true share of toxic rows. ``score`` sends t
 size is fixed by ``BUCKETS``) and reads every whole text once.
 
 Null and empty texts have no features and get the score of the bias. Rows with equal doc_id are scored one by one.
-A null doc_id is not held out. Without toxic or without clean labelled rows, every score is the share of toxic rows (0 if
-there are no labels). Extra columns are kept, whatever their
-names by ``keep_clean``; ``score`` asks for a free name.
+A null doc_id is not held out and is never learned from. Very long texts are read whole, as slices of their own. Without toxic or without
+clean labelled rows, every score is the share of toxic rows (about 0 if there are no labels). Rows of the sample that tie in the hash
+order go by doc_id, then by text. Extra columns are kept, whatever their names, but ``score`` replaces a column of that name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -105,16 +105,27 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float) -> Model:
     return Model((w * ratio).astype(np.float32), b + prior - float(np.log(n_p / n_q)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
-    """docs: doc_id, text. labels: doc_id, toxic (0 or 1; null: no label). One task holds at most 2 * max_per_class texts."""
-    labels = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)")
-    counts = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def _labelled(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)")
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> DataFrame:
+    """doc_id, text, toxic: max_per_class labelled rows of each class at most, the first by a hash of doc_id."""
+    labels = _labelled(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = labels.where("toxic = 1").orderBy(*order).limit(max_per_class).unionAll(labels.where("toxic = 0").orderBy(*order).limit(max_per_class))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # bounded by max_per_class
+    rows = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    order = [F.xxhash64("doc_id"), "doc_id", "text"]  # repeated doc_ids bring more rows than labels
+    return rows.where("toxic = 1").orderBy(*order).limit(max_per_class).unionAll(rows.where("toxic = 0").orderBy(*order).limit(max_per_class))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
+    """docs: doc_id, text. labels: doc_id, toxic (0 or 1; null: no label). One task holds at most 2 * max_per_class texts."""
+    counts = {r.toxic: r.n for r in _labelled(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     lean_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # bounded by max_per_class
-    rows = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").sort("doc_id", "text", "toxic").limit(2 * max_per_class)
+    rows = sample(docs, labels, max_per_class).coalesce(1)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = [], []
@@ -136,13 +147,12 @@ def scores(model: Model, raw: list[bytes]) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and score, from 0 to 1."""
+    """All columns of docs and score, from 0 to 1; a column score that docs has is replaced."""
     spark = docs.sparkSession
     lean_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats
+    docs = docs.drop("score")
     names = docs.columns
-    if "score" in names:
-        raise ValueError("the documents have a column score already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in text_slices(batches):
