@@ -15,10 +15,9 @@ row set per task and hash bucket; a bucket finds the first place of each 96-bit
 comes at most once from each task, no frequent window makes a bucket large. The places of removed windows travel packed
 by buckets of documents. Last, each document meets its own removed windows, and gives up the words they cover.
 
-Null text has no words. Rows with equal doc_id are ordered by a hash of their text; rows that are equal in both count
-as one document, and none of them loses words to the other. A null doc_id comes first. An empty table
-gives no rows. Extra columns are ignored, or kept by ``dedup``,
-which replaces columns named n_words or n_removed.
+Null and empty texts have no words and stay as they are. Rows with equal doc_id are ordered by a hash of their text; rows that are equal in both count
+as one document, and none of them loses words to the other. A null doc_id comes first. A very long text is read whole, as a slice of its own. An empty table
+gives no rows. Extra columns are kept, whatever their names: by ``cut`` all of them, by ``dedup`` all but n_words and n_removed, which it replaces.
 """
 
 from __future__ import annotations
@@ -33,9 +32,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SECOND_BASE, Scratch, Words, mix64, parallelism, span_hashes, text_slices
+from .common import SECOND_BASE, Scratch, Words, mix64, parallelism, runs, span_hashes, text_slices
 
 WINDOW, GRAM = 20, 5
 DEPTH = 2  # rows of the sketch
@@ -171,12 +170,8 @@ def _removed(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document with the sorted starts of its removed windows; all of a document's are in one bucket."""
-    held: dict[int, list[bytes]] = {}
-    for b in batches:
-        for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist(), strict=True):
-            held.setdefault(bucket, []).append(data)
-    for bucket in sorted(held):
-        parts = held.pop(bucket)
+    for _, rows in runs(batches, "bucket"):
+        parts = [x for (x,) in rows]
         doc, tie, start = (np.concatenate([np.frombuffer(x, kind, len(x) // 16, at * (len(x) // 16)) for x in parts]) for kind, at in (("<i8", 0), ("<i4", 8), ("<i4", 12)))
         order = np.lexsort((start, tie, doc))
         doc, tie, start = doc[order], tie[order], start[order]
@@ -237,21 +232,23 @@ def _two_hashes(words: Words, starts: np.ndarray, window: int) -> tuple[np.ndarr
 
 
 def _settle(buckets: int):
-    """All rows of the buckets of this partition: passes removed windows on, and finds those that another task has earlier."""
+    """Neighbouring rows of one bucket: passes removed windows on, and finds those that another task has earlier. One bucket is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            gone = b.filter(pc.less(b.column("bucket"), 0))
-            if len(gone):
-                yield gone
-            for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist(), strict=True):
-                if bucket >= 0:
-                    held.setdefault(bucket, []).append(np.frombuffer(data, _WINDOW_BYTES))
-        for bucket in sorted(held):
-            rows = np.concatenate(held.pop(bucket))
+        def opened() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                gone = pc.less(b.column("bucket"), 0)
+                passed.extend([b.filter(gone)] if pc.any(gone).as_py() else [])
+                yield b.filter(pc.invert(gone))
+
+        passed: list[pa.RecordBatch] = []
+        for _, parts in runs(opened(), "bucket"):
+            yield from passed
+            passed.clear()
+            rows = np.concatenate([np.frombuffer(x, _WINDOW_BYTES) for (x,) in parts])
             first = _first_of_each(rows)
             yield _removed(rows[~first], buckets)
+        yield from passed
 
     return run
 
@@ -281,15 +278,19 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     scratch.drop("sketches")
     buckets = max(parallelism(spark), int(anchors) * (WINDOW - GRAM + 1) // 2 // WINDOWS_PER_BUCKET + 1)
     found = source.mapInArrow(_candidates(shared, width_log, buckets, window), _ROWS)
-    settled = scratch.write(found.repartition(buckets, "bucket").mapInArrow(_settle(buckets), _ROWS), "removed")
-    return settled.repartition(buckets, "bucket").mapInArrow(_gather, "doc long, tie int, starts binary")
+    settled = scratch.write(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), _ROWS), "removed")
+    return settled.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc long, tie int, starts binary")
 
 
 def _joined(docs: DataFrame, scratch: Scratch, window: int) -> DataFrame:
-    removed = removed_windows(docs, scratch, window).withColumnRenamed("doc", "__doc").withColumnRenamed("tie", "__tie").withColumnRenamed("starts", "__starts")
+    """row (the other columns of docs), doc_id, text, starts."""
+    removed = removed_windows(docs, scratch, window)
+    others = [c for c in docs.columns if c != "text"]
+    text = F.col("text").cast("string")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    tie = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int")
-    return docs.join(removed, (doc == F.col("__doc")) & (tie == F.col("__tie")), "left").drop("__doc", "__tie")
+    tie = F.crc32(F.coalesce(text, F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int")
+    rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), doc.alias("doc"), tie.alias("tie"))
+    return rows.join(removed, ["doc", "tie"], "left").select("row", "doc_id", "text", "starts")
 
 
 def _keep(starts: bytes | None, text: bytes, window: int) -> tuple[int, int, bytes]:
@@ -300,22 +301,32 @@ def _keep(starts: bytes | None, text: bytes, window: int) -> tuple[int, int, byt
     return len(words), int(gone.sum()), b" ".join(itertools.compress(words, (~gone).tolist()))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
-    """All columns of docs, text without the removed words, and n_words and n_removed."""
-    scratch = scratch or Scratch(docs.sparkSession, "substring")
-    docs = docs.drop("n_words", "n_removed")
-    joined = _joined(docs, scratch, window)
-    names = docs.columns
+def _cut(docs: DataFrame, window: int, scratch: Scratch | None) -> DataFrame:
+    """row (the other columns of docs), text without the removed words, n_words, n_removed."""
+    joined = _joined(docs, scratch or Scratch(docs.sparkSession, "substring"), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in text_slices(batches):
-            kept = [_keep(p, x, window) for p, x in zip(batch.column("__starts").to_pylist(), raw, strict=True)]
+            kept = [_keep(p, x, window) for p, x in zip(batch.column("starts").to_pylist(), raw, strict=True)]
             # a text that loses nothing stays as it is, white space included
             texts = [k[2].decode() if k[1] else None if null else x.decode() for k, x, null in zip(kept, raw, batch.column("text").is_null().to_pylist(), strict=True)]
-            columns = [pa.array(texts, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], names=[*names, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], names=["row", "text", "n_words", "n_removed"])
+
+    fields = [joined.schema["row"], StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]
+    return joined.select("row", "text", "starts").mapInArrow(run, StructType(fields))
+
 
-    return joined.mapInArrow(run, StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType())]))
+def cut(docs: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
+    """The columns of docs, and no other, with text without the removed words."""
+    rows = _cut(docs, window, scratch)
+    return rows.select([F.col("text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
+    """All columns of docs, text without the removed words, and n_words and n_removed."""
+    docs = docs.drop("n_words", "n_removed")
+    rows = _cut(docs, window, scratch)
+    return rows.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "n_words", "n_removed")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +336,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in text_slices(batches):
-            kept = [_keep(p, x, WINDOW) for p, x in zip(batch.column("__starts").to_pylist(), raw, strict=True)]
+            kept = [_keep(p, x, WINDOW) for p, x in zip(batch.column("starts").to_pylist(), raw, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([hashlib.sha256(k[2]).hexdigest() for k in kept])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _joined(docs, Scratch(spark, "substring"), WINDOW).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _joined(docs, Scratch(spark, "substring"), WINDOW).drop("row").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
