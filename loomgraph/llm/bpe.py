@@ -9,7 +9,8 @@ merges. A bounded cache carries encoded words from slice to slice.
 Normalization and splitting follow the file's own settings: texts within common scripts take a fast path, all others
 go through the library's normalizer and pre-tokenizer. Both give the same words.
 
-Null text is empty: no ids, empty decoded text. Rows with equal doc_id stay separate. Extra columns are ignored.
+Null text is empty: no ids, empty decoded text. Rows with equal or null doc_id stay separate. A very long text is read whole, as a slice of its own.
+Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean_batches, text_slices
+from .common import byte_alphabet, lean_batches, text_slices
 
 CACHE_WORDS = 500_000  # about 100 MB
 # Scripts in which Python's and the library's Unicode tables agree on letters, digits and case.
@@ -60,9 +61,7 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
         self.on_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in set(printable)]
-        self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
         self.cache: dict[str, bytes] = {}
 
     # ---- text to words

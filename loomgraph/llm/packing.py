@@ -7,8 +7,12 @@ All of this works on the histogram, whose size is bounded by the window; no row
 place follows from its rank among the remainders of its length, found from ranks inside hashed blocks plus the counts
 of the blocks before, so that one length that holds most documents is spread over tasks.
 
-Null text is an empty document and holds the end id alone. Rows with equal doc_id stay separate documents. Extra columns
-are ignored. An empty table gives no rows.
+Null text is an empty document and holds the end id alone. Rows with equal or null doc_id stay separate documents. A very long text is
+tokenized whole and cut into windows. Pieces that tie in length and in all columns are interchangeable. Extra columns
+are ignored, whatever their names. An empty table gives no rows.
+
+Enumeration is limited, not the rows: combinations are all pairs of lengths, and triples whose shortest length is a multiple of
+``TRIPLE_STEP``. What these don't use is packed by the greedy step.
 """
 
 from __future__ import annotations

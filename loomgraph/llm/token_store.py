@@ -12,7 +12,8 @@
 its digest and every shard against its Merkle root; a missing or changed chunk raises an error.
 
 Null text is an empty document (its only id is the end id). Rows with equal doc_id stay separate documents, ordered
-by their recipes; a null doc_id comes first. Extra columns are ignored. An empty table makes an empty store.
+by their recipes; a null doc_id comes first. A very long text is tokenized whole and cut to chunks as any other. Extra columns are ignored, whatever
+their names. An empty table makes an empty store.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_tokenizer, mix64, parallelism, shuffled_by, span_hashes, text_slices
+from .common import Scratch, byte_tokenizer, mix64, parallelism, shuffled_by, span_hashes, text_slices, vocabulary_size
 
 WINDOW = 16  # ids under the rolling hash
 CUT_MASK = 0xFF  # one cut in 256 ids on average
@@ -77,11 +78,13 @@ _FOLDERS = {
 
 def _stage(tokenizer: str, end_id: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = byte_tokenizer(tokenizer), set()
+        encode, seen, largest = byte_tokenizer(tokenizer), set(), int(np.iinfo(np.dtype(width)).max)
         for batch, raw in text_slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw, strict=True):
                 ids = np.append(encode(text.decode()), np.uint32(end_id))
+                if int(ids.max()) > largest:
+                    raise ValueError(f"id {int(ids.max())} does not fit a store of ids up to {largest}; give it the tokenizer's vocabulary")
                 data = ids.astype(width)
                 lens, digests, begin = [], [], 0
                 for end in cut_points(ids):
@@ -149,7 +152,7 @@ def shift_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 class TokenStore:
     def __init__(self, spark: SparkSession, path: str, vocabulary: int = 50257):
-        """vocabulary: ids are below it; up to 65,536 they take two bytes each, else four."""
+        """vocabulary: ids are below it (see ``vocabulary_size``); up to 65,536 they take two bytes each, else four. An id that does not fit raises an error."""
         self.spark, self.path = spark, path.rstrip("/")
         self.width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -266,5 +269,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     from .common import table
 
     scratch = Scratch(spark, "token-store")
-    store = TokenStore(spark, scratch.root).write(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), 2)
+    tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    store = TokenStore(spark, scratch.root, vocabulary_size(tokenizer)).write(table(spark, sf_dir, "documents"), tokenizer, 2)
     return store.read_lengths_and_crc()
