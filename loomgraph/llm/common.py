@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 ARROW_BATCH = "8m"
-HASH_BYTES = 1 << 20
-SLICE_BYTES = 1 << 21  # text handled by one numpy pass; a longer single document is one slice
+HASH_BYTES = 1 << 19
+SLICE_BYTES = 1 << 20  # text handled by one numpy pass; a longer single document is one slice
 
 
 # --------------------------------------------------------------------------- scratch tables
@@ -211,7 +211,7 @@ def _powers_of(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_of(base, 1 << max(20, int(n).bit_length()))
+    return _powers_of(base, 1 << max(19, int(n).bit_length()))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -44,9 +44,10 @@ DENSE = 2048  # terms of a shard, at most, whose postings are kept as columns, a
 DENSE_SHARE = 128  # in how many documents, one of these, such a term occurs at least
 CLUSTERS, TURNS = 64, 3  # of similar documents
 WAVES = (32,)  # blocks per query of the first waves; the last takes the rest
-ROUNDING = 1e-4  # relative error of a sum of DENSE products in single precision, and more
+ROUNDING = 2e-4  # relative error of sums of DENSE products in single precision, and more
+LIKENESS = 512  # frequent terms by which documents are found alike
 SEEDS = 3
-PART_QUERIES, PART_BYTES = 256, 2 << 20
+PART_QUERIES, PART_BYTES = 128, 1 << 20
 ROUND_BYTES = 32 << 20
 _GAPS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
@@ -72,16 +73,16 @@ def _terms(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 _INDEX = "shard long, ids binary, lengths binary, terms binary, sizes binary, docs binary, counts binary, n long, words long"
 
 
-def _frequent(sizes: np.ndarray, n: int) -> np.ndarray:
+def _frequent(sizes: np.ndarray, n: int, most: int) -> np.ndarray:
     """The terms kept as columns."""
     chosen = np.flatnonzero(sizes >= max(2, n // DENSE_SHARE))
-    return np.sort(chosen[np.argsort(-sizes[chosen], kind="stable")[:DENSE]])
+    return np.sort(chosen[np.argsort(-sizes[chosen], kind="stable")[:most]])
 
 
 def _by_likeness(doc: np.ndarray, place: np.ndarray, sizes: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
     """An order of the documents in which those with like frequent terms, and among them those of like length, are neighbours."""
     n = len(length)
-    columns = _frequent(sizes, n)
+    columns = _frequent(sizes, n, min(LIKENESS, DENSE))
     if n <= 2 * BLOCK_DOCS or not len(columns):
         return np.argsort(length, kind="stable")
     number = np.full(len(sizes), -1)
@@ -197,29 +198,34 @@ class _Shard:
         self.terms = np.cumsum(unpack_ints(row["terms"], 8))
         sizes = unpack_ints(row["sizes"], 4).astype(np.int64)
         docs = np.frombuffer(row["docs"], "<u2")
-        tf = unpack_ints(row["counts"], 4).astype(float)
-        impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / max(mean, 1e-9)))[docs])  # less idf, which the queries bring
+        tf = unpack_ints(row["counts"], 4).astype(np.uint32)
+        self.norm = K1 * (1 - B + B * length / max(mean, 1e-9))
+        # impacts less idf, which the queries bring; in single precision, for bounds. Scores are taken from tf and norm.
+        impact = tf.astype(np.float32)
+        impact *= np.float32(K1 + 1) / (impact + self.norm.astype(np.float32)[docs])
         term = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.blocks = -(-n // BLOCK_DOCS)
         # frequent terms: a column of impacts each; and each block's greatest
-        columns = _frequent(sizes, n)
-        self.column = np.full(len(sizes), -1)
-        self.column[columns] = np.arange(len(columns))
+        columns = _frequent(sizes, n, DENSE)
+        self.column = np.full(len(sizes), -1, np.int32)
+        self.column[columns] = np.arange(len(columns), dtype=np.int32)
         column = self.column[term]
         on = column >= 0
         self.impacts = np.zeros((self.blocks * BLOCK_DOCS, len(columns)), np.float32)
         self.impacts[docs[on], column[on]] = impact[on]
         self.greatest = self.impacts.reshape(self.blocks, BLOCK_DOCS, -1).max(1)
         # other terms: an entry for each block that holds one, with the greatest impact there
-        t, self.rare_doc, self.rare_impact = term[~on], docs[~on].astype(np.int64), impact[~on]
+        on = ~on
+        t, self.rare_doc, self.rare_impact = term[on], docs[on].astype(np.int32), impact[on]
+        del impact, column, on
         b, x = self.rare_doc // BLOCK_DOCS, self.rare_impact
         begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(t)), bool), (t[1:] != t[:-1]) | (b[1:] != b[:-1])]))
         self.entry_begin, self.entry_block = np.append(begin, len(t)), b[begin]
-        self.entry_max = np.maximum.reduceat(x, begin) if len(begin) else np.zeros(0)
+        self.entry_max = np.maximum.reduceat(x, begin) if len(begin) else np.zeros(0, np.float32)
         self.term_entry = np.searchsorted(t[begin], np.arange(len(sizes) + 1))
         # the postings by document
         order = np.argsort(docs, kind="stable")
-        self.doc_term, self.doc_impact = term[order], impact[order]
+        self.doc_term, self.doc_tf = term[order], tf[order]
         self.doc_begin = np.searchsorted(docs[order], np.arange(n + 1))
         self.weight = np.zeros(len(sizes))  # of a query's terms, while it is scored
 
@@ -237,8 +243,8 @@ class _Shard:
         w[of[on], column[on]] = weight[on]
         entries, which = ranges(self.term_entry[at[~on]], self.term_entry[at[~on] + 1])
         rare_q, rare_w, at_block = of[~on][which], weight[~on][which], self.entry_block[entries]
-        bound = np.bincount(rare_q * nb + at_block, self.entry_max[entries] * rare_w, nq * nb).reshape(nq, nb) * (1 + 1e-9)
-        bound += (w @ self.greatest.T) * (1 + ROUNDING)
+        bound = np.bincount(rare_q * nb + at_block, self.entry_max[entries] * rare_w, nq * nb).reshape(nq, nb)
+        bound = (bound + w @ self.greatest.T) * (1 + ROUNDING)
         size = nb * BLOCK_DOCS
         rank = np.empty((nq, nb), np.int64)
         np.put_along_axis(rank, np.argsort(-bound, 1, kind="stable"), np.arange(nb)[None], 1)
@@ -254,7 +260,7 @@ class _Shard:
             found_q, found_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for b in np.flatnonzero(todo.any(0)):
                 who = np.flatnonzero(todo[:, b])
-                upper = (w[who] @ self.impacts[b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS].T) * (1 + ROUNDING) + rare[who, b] * (1 + 1e-9)
+                upper = (w[who] @ self.impacts[b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS].T + rare[who, b]) * (1 + ROUNDING)
                 i, j = np.nonzero((upper > 0) & (upper >= queries.floor[who][:, None]))
                 found_q.append(who[i])
                 found_d.append(j + b * BLOCK_DOCS)
@@ -274,7 +280,8 @@ class _Shard:
         for begin in range(0, len(docs), 1024):  # a document's postings at a time are few
             part = docs[begin : begin + 1024]
             postings, of = ranges(self.doc_begin[part], self.doc_begin[part + 1])
-            score = np.bincount(of, self.doc_impact[postings] * self.weight[self.doc_term[postings]], len(part))
+            tf = self.doc_tf[postings].astype(float)
+            score = np.bincount(of, self.weight[self.doc_term[postings]] * (tf * (K1 + 1) / (tf + self.norm[part][of])), len(part))
             hit = (score > 0) & (score >= queries.floor[q])
             if hit.any():
                 queries.add(q, self.ids[part[hit]], score[hit])
