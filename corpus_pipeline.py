@@ -1,7 +1,12 @@
 """Cleaning and packing of ``documents`` in five stages, each a training-data operator.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; the result is written as Parquet and read again as the next
-stage's documents. All but the last return the columns of ``documents``.
+stage's documents. All but the last return the columns of ``documents``, whatever their names.
+
+Null and empty texts pass the toxicity stage (unless most labelled rows are toxic) and go in the language stage, as do texts
+without a letter. Of rows that are repeated whole, all stay or go together until the substrings stage, which treats them as one
+document; rows that share a doc_id with different texts share its fate in the near-duplicates stage. A null doc_id is never a
+duplicate of another; in the substrings stage it comes first. Very long texts are read whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text, without letters, or without an n-gram of a known language go."""
+    """Documents without text, without letters, or with few n-grams of the language found go."""
     return language.identified(docs, language.learn(docs))
 
 
@@ -30,8 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words or more that occur earlier go; n_chars follows the text."""
-    cut = substring.dedup(docs).select(*docs.columns)
-    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
+    cut = substring.cut(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,7 +67,10 @@ class RelTable:
     dst: str
     src_label: str
     dst_label: str
-    eid: Column | None = None  # default: no identity, each row is a relationship of its own
+    eid: Column | None = None  # default: rows that are equal in all columns are one relationship
+
+    def identity(self) -> Column:
+        return self.eid if self.eid is not None else F.xxhash64(*[F.col(c) for c in self.df.columns])
 
 
 @dataclass(frozen=True)
@@ -97,7 +100,7 @@ class TableGraph:
             if types and kind not in types:
                 continue
             for n, t in enumerate(tables):
-                eid = t.eid if t.eid is not None else F.monotonically_increasing_id()
+                eid = t.identity()
                 cols = {"eid": F.concat(F.lit(f"{kind}{n}:"), eid.cast("string")) if len(types) != 1 or len(tables) > 1 else eid.cast("string"), "src": F.col(t.src).cast("long"), "dst": F.col(t.dst).cast("long"), "src_label": F.lit(t.src_label), "dst_label": F.lit(t.dst_label), "type": F.lit(kind)}
                 parts.append(t.df.select(*[c.alias(f"{var}{SEP}{k}") for k, c in cols.items()], *[F.col(c).alias(f"{var}{SEP}{c}") for c in t.df.columns if c not in cols]))
         if not parts:
@@ -124,7 +127,7 @@ class TableGraph:
         for kind, tables in self.rel_tables.items():
             for n, t in enumerate(tables):
                 props = F.map_from_arrays(F.array(*[F.lit(c) for c in t.df.columns]), F.array(*[F.col(c).cast("string") for c in t.df.columns]))
-                eid = t.eid if t.eid is not None else F.monotonically_increasing_id()
+                eid = t.identity()
                 rels.append(t.df.select(F.concat(F.lit(f"{kind}{n}:"), eid.cast("string")).alias("eid"), F.concat(F.lit(t.src_label + ":"), F.col(t.src).cast("string")).alias("src"), F.concat(F.lit(t.dst_label + ":"), F.col(t.dst).cast("string")).alias("dst"), F.lit(kind).alias("type"), props.alias("props")))
         union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
         return MapGraph(union(nodes), union(rels), self.directed, self.name)

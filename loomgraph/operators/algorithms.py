@@ -147,6 +147,48 @@ def partition_statistics(edges: DataFrame, placement: DataFrame) -> DataFrame:
     return n.join(by, "pid", "left").select("pid", "n_vertices", zero("n_local").alias("n_local"), zero("n_cut").alias("n_cut"), F.when(zero("n_local") + zero("n_cut") > 0, F.col("n_cut") / (F.col("n_local") + F.col("n_cut"))).otherwise(0.0).alias("cut_ratio"))
 
 
+def label_partition(edges: DataFrame, n: int, rounds: int = 8, slack: float = 0.1) -> DataFrame:
+    """id, pid: parts of nearly equal size that cut few edges, by balanced label propagation; a scalable stand-in for multilevel partitioners.
+
+    Vertices start in parts by a hash. In each round a vertex would like the part where most of its neighbours are, if that is
+    more than in its own; of those who would move from one part to another, as many go as the other way round, and as many more as
+    keep every part below (1 + slack) of its share. Who goes is decided by gain, then by a hash. All steps are joins and aggregations.
+    """
+    c = canonical(edges)
+    sym = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    at = ids.withColumn("pid", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    total = ids.count()
+    limit = int((1 + slack) * total / n) + 1
+    for turn in range(rounds):
+        at = at.checkpoint() if has_checkpoints(at) else at.persist()
+        near = sym.join(at.select(F.col("id").alias("b"), "pid"), "b").groupBy(F.col("a").alias("id"), "pid").agg(F.count("*").alias("k"))
+        best = near.groupBy("id").agg(F.max(F.struct("k", (-F.col("pid")).alias("q"))).alias("best")).select("id", F.col("best.k").alias("k"), (-F.col("best.q")).alias("to"))
+        own = near.withColumnRenamed("k", "own").join(at, ["id", "pid"]).select("id", "own")
+        wish = at.join(best, "id").join(own, "id", "left").select("id", "pid", "to", (F.col("k") - F.coalesce("own", F.lit(0))).alias("gain")).where("to <> pid and gain > 0")
+        sizes = {r.pid: r.n for r in at.groupBy("pid").agg(F.count("*").alias("n")).collect()}  # n rows
+        asked = {(r.pid, r.to): r.n for r in wish.groupBy("pid", "to").agg(F.count("*").alias("n")).collect()}  # n² rows at most
+        room = {p: max(0, limit - sizes.get(p, 0)) for p in range(n)}
+        quota = []
+        for (p, q), k in sorted(asked.items()):
+            even = min(k, asked.get((q, p), 0))
+            more = min(k - even, room[q])
+            room[q] -= more
+            if even + more:
+                quota.append((p, q, (even + more) / k))
+        if not quota:
+            break
+        shares = edges.sparkSession.createDataFrame(quota, "pid int, to int, share double")
+        # the gains at which a share of the wishes is above, by quantile: no task ranks all wishes of a pair
+        draw = F.col("gain") + F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 21))
+        ranked = wish.withColumn("draw", draw)
+        cut = ranked.groupBy("pid", "to").agg(F.percentile_approx("draw", F.array(*[F.lit(x / 64) for x in range(65)]), 10000).alias("marks")).join(F.broadcast(shares), ["pid", "to"])
+        cut = cut.select("pid", "to", F.element_at("marks", 65 - F.floor(F.col("share") * 64).cast("int")).alias("least"))
+        moves = ranked.join(F.broadcast(cut), ["pid", "to"]).where("draw >= least").select("id", "to")
+        at = at.join(moves, "id", "left").select("id", F.coalesce("to", "pid").alias("pid"))
+    return at
+
+
 def stream_partition(edges: DataFrame, n: int, method: str, order: Column | str = "src", vertices: int | None = None) -> DataFrame:
     """id, pid by the one-pass partitioners "fennel" and "ldg", which look at each edge after all before it.
 
@@ -196,10 +238,30 @@ def stream_partition(edges: DataFrame, n: int, method: str, order: Column | str
     return ordered.groupBy("everything").applyInPandas(run, f"id {kind}, pid int")
 
 
+BUCKETS = 256  # of numbered(), at most; a bucket is sorted by one task, on disk if need be
+
+
+def numbered(values: DataFrame, key: str, first: int = 0) -> DataFrame:
+    """key and id, from first in the order of the distinct keys, without a task that sees them all.
+
+    Keys are dealt to buckets by quantiles of all of them, found once on the driver; buckets are then fixed by value, so that a
+    bucket that is computed again holds the same keys. Ranks inside a bucket and the sizes of the buckets before add up.
+    """
+    spark = values.sparkSession
+    n = min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = values.select(key)
+    draw = F.xxhash64(key, F.lit(1))
+    sample = keys.groupBy(F.pmod(F.xxhash64(key), F.lit(64 * n)).alias("h")).agg(F.min_by(F.col(key), draw).alias("k"))  # 64 keys a bucket, drawn by hashes
+    cuts = [r.k for r in sample.orderBy("k").collect()][63::64]
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    tagged = keys.withColumn("_bucket", bucket)
+    sizes = tagged.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))  # a row per bucket
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    return tagged.withColumn("_rank", rank).join(F.broadcast(starts), "_bucket").select(key, (F.col("_start") + F.col("_rank") - 1 + first).alias("id"))
+
+
 def dense_ids(edges: DataFrame) -> DataFrame:
-    """id, new_id from 0 in the order of the ids, without a task that sees them all: offsets of range partitions are added up."""
-    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().repartitionByRange("id").sortWithinPartitions("id")
-    tagged = ids.select("id", F.shiftright(F.monotonically_increasing_id(), 33).alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")).cache()
-    counts = tagged.groupBy("part").agg(F.count("*").alias("n"))
-    starts = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row per partition
-    return tagged.join(F.broadcast(starts), "part").select("id", (F.col("start") + F.col("row")).alias("new_id"))
+    """id, new_id from 0 in the order of the ids."""
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return numbered(ids.withColumnRenamed("id", "old"), "old").select(F.col("old").alias("id"), F.col("id").alias("new_id"))

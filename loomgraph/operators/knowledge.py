@@ -1,4 +1,7 @@
-"""Knowledge graphs from text: chunks, a pluggable extractor of tuples, canonical ids, and the graph."""
+"""Knowledge graphs from text: chunks or sentences, a pluggable extractor of tuples, canonical ids, and the graph.
+
+``extract_in_parts`` writes the tuples part by part and can be stopped and taken up again.
+"""
 
 from __future__ import annotations
 
@@ -21,12 +24,37 @@ def chunks(docs: DataFrame, size: int = 1000, key: str = "doc_id", text: str = "
     return rows.select(key, "chunk", (F.col("chunk") * size).alias("start"), F.substring("_t", F.col("chunk") * size + 1, F.lit(size)).alias("text"))
 
 
+def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, chunk, text: the whole text cut at full stops and line ends, so that no sentence is split between chunks."""
+    parts = docs.select(key, F.posexplode(F.split(F.col(text), r"[.\n]+")).alias("chunk", "text"))
+    return parts.where(F.trim("text") != "")
+
+
 def sentence_tuples(text: str) -> Iterator[Tuple5]:
-    """A deterministic stand-in for a model: three words in a row around a middle word make a tuple."""
-    for sentence in text.replace("\n", " ").split("."):
+    """A deterministic stand-in for a model: the first word of a sentence, its second, and all the others make a tuple."""
+    for sentence in text.replace("\n", ".").split("."):
         words = sentence.split()
         if len(words) >= 3:
-            yield words[0], words[1], " ".join(words[2:4]), "Entity", "Entity"
+            yield words[0], words[1], " ".join(words[2:]), "Entity", "Entity"
+
+
+def with_retries(extractor: Callable[[str], Iterator[Tuple5]], attempts: int = 3, pause: float = 1.0) -> Callable[[str], Iterator[Tuple5]]:
+    """The extractor, asked again after an error (each pause twice the one before); the last error is raised."""
+
+    def run(text: str) -> Iterator[Tuple5]:
+        import time
+
+        for attempt in range(attempts):
+            try:
+                found = list(extractor(text))
+                break
+            except Exception:
+                if attempt + 1 == attempts:
+                    raise
+                time.sleep(pause * 2**attempt)
+        yield from found
+
+    return run
 
 
 def extract(texts: DataFrame, extractor: Callable[[str], Iterator[Tuple5]] = sentence_tuples) -> DataFrame:
@@ -38,6 +66,24 @@ def extract(texts: DataFrame, extractor: Callable[[str], Iterator[Tuple5]] = sen
     return texts.select("text").mapInPandas(run, "subject string, predicate string, object string, subject_type string, object_type string")
 
 
+def extract_in_parts(texts: DataFrame, path: str, extractor: Callable[[str], Iterator[Tuple5]] = sentence_tuples, parts: int = 16, stopped: Callable[[], bool] = lambda: False) -> DataFrame | None:
+    """Tuples of all texts, written under path in so many parts, dealt by a hash of the text.
+
+    A part that is there already is not extracted again, so a run that failed or was stopped goes on where it ended. Returns
+    the tuples, or None if ``stopped`` said so before the last part.
+    """
+    spark = texts.sparkSession
+    jvm = spark.sparkContext._jvm
+    for part in range(parts):
+        done = jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}/_SUCCESS")
+        if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            continue
+        if stopped():
+            return None
+        extract(texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part), extractor).write.mode("overwrite").parquet(f"{path}/part={part}")
+    return spark.read.parquet(path).drop("part")
+
+
 def build(tuples: DataFrame) -> MapGraph:
     """Nodes by canonical id, so that mentions of one name and type meet; one relationship per distinct (subject, predicate, object)."""
     t = tuples.select(

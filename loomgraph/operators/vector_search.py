@@ -32,6 +32,7 @@ def beam_search(vectors: DataFrame, edges: DataFrame, query: list[float], type_v
     """
     q = _literal(query)
     known = vectors.select("id", "embedding")
+    edges = edges.select("eid", "src", "dst", "type")
     both = edges.unionByName(edges.select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"), "type").where("src <> dst"))
     if type_vectors is not None:
         types = type_vectors.select("type", cosine(F.col("embedding"), q).alias("type_score"))

@@ -10,18 +10,20 @@ hold: NOT negates, DISTINCT removes duplicates, ORDER BY ascends by default with
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import SEP, MapGraph, TableGraph
+from ..operators.algorithms import has_checkpoints
 from .syntax import Clause, Node, Path, Rel, parse
 
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect", "stdev", "stdevp", "percentilecont", "percentiledisc"}
-MAX_HOPS = 8  # of a variable-length pattern without an upper bound
 
 
 class CypherSemanticError(ValueError):
@@ -125,13 +127,7 @@ class Compiler:
     def do_match(self, env: Env, data: dict) -> Env:
         bound = dict(env.kinds)
         if data["optional"] and env.df is not None:
-            key = self.new("row")
-            left = env.df.withColumn(key, F.monotonically_increasing_id())
-            inner = self.match(Env(left, dict(env.kinds)), data["paths"], data["where"])
-            added = [c for c in inner.df.columns if c not in left.columns]
-            # rows without a match stay, with nulls; rows are told apart by key
-            rows = left.select(key, *[col(c) for c in env.df.columns]).join(inner.df.select(key, *[col(c) for c in added]).withColumnRenamed(key, key + "r"), col(key) == col(key + "r"), "left").drop(key, key + "r")
-            return Env(rows, inner.kinds)
+            return self.optional(env, data["paths"], data["where"])
         out = self.match(Env(env.df, bound), data["paths"], data["where"])
         if data["optional"]:  # a first clause: one row of nulls if nothing matches
             one = self.spark.range(1).select(F.lit(1).alias("_one"))
@@ -139,6 +135,44 @@ class Compiler:
             return Env(df, out.kinds)
         return out
 
+    def optional(self, env: Env, paths: list[Path], where) -> Env:
+        """Rows without a match stay, with nulls. The pattern is matched once for each distinct binding of the variables it
+        shares with the rows, and joined back by what identifies them, so that no order of rows matters."""
+        used = self.variables(paths) | self.variables(where)
+        shared = [v for v in env.kinds if v in used]
+        keys = [c for v in shared for c in self.identity(env, v)]
+        bindings = env.df.select([col(c) for c in env.df.columns if any(c == v or c.startswith(v + SEP) for v in shared)])
+        if not shared:
+            inner = self.match(Env(None, {}), paths, where)
+            return Env(env.df.join(inner.df, F.lit(True), "left"), env.kinds | inner.kinds)
+        inner = self.match(Env(bindings.dropDuplicates(keys), {v: env.kinds[v] for v in shared}), paths, where)
+        added = [c for c in inner.df.columns if c not in bindings.columns]
+        own = inner.df.select([col(c).alias(f"_k{i}") for i, c in enumerate(keys)] + [col(c) for c in added])
+        test = F.lit(True)
+        for i, c in enumerate(keys):
+            test = test & col(c).eqNullSafe(col(f"_k{i}"))
+        rows = env.df.join(own, test, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+        return Env(rows, env.kinds | inner.kinds)
+
+    @staticmethod
+    def identity(env: Env, var: str) -> list[str]:
+        """The columns that tell one binding of a variable from another."""
+        names = {"node": ("id", "label"), "rel": ("eid",), "rels": ("eids",), "path": ("ids",)}.get(env.kinds[var])
+        return [var] if names is None else [c for n in names if (c := f"{var}{SEP}{n}") in env.df.columns]
+
+    def variables(self, x) -> set[str]:
+        """Names of all variables in a pattern or expression."""
+        if isinstance(x, (Path, Node, Rel)):
+            parts = [x.nodes, x.rels] if isinstance(x, Path) else [x.props]
+            return {x.var} - {None} | self.variables(parts)
+        if isinstance(x, dict):
+            return self.variables(list(x.values()))
+        if isinstance(x, tuple) and len(x) == 2 and x[0] == "var":
+            return {x[1]}
+        if isinstance(x, tuple) and x and x[0] == "haslabel":
+            return {x[1]}
+        return set().union(*map(self.variables, x)) if isinstance(x, (list, tuple)) else set()
+
     def match(self, env: Env, paths: list[Path], where) -> Env:
         rels: list[tuple[Rel, str]] = []
         seek = self.seeks(where)
@@ -247,9 +281,12 @@ class Compiler:
         return Env(df.join(self.node_rows(b), self.graph.end_matches(b.var, rel.var, "dst")), kinds | {b.var: "node"})
 
     def expand_many(self, env: Env, a: Node, rel: Rel, b: Node, rels: list) -> Env:
-        """Hops from low to high as a union of joins; a relationship comes at most once in a walk."""
-        low, high = rel.hops[0], rel.hops[1] if rel.hops[1] is not None else MAX_HOPS
-        if high < low:
+        """Hops from low to high as a union of joins; a relationship comes at most once in a walk.
+
+        Without an upper bound hops go on until no walk gets longer; each is written or kept before the next, as its rows are counted.
+        """
+        low, high = rel.hops
+        if high is not None and high < low:
             raise CypherSemanticError("the upper bound of a variable-length pattern is below its lower bound")
         e, here, ids = rel.var, self.new("at"), f"{rel.var}{SEP}eids"
         ends = ["id", "label"] if self.graph.typed else ["id"]
@@ -259,12 +296,16 @@ class Compiler:
         for key, value in rel.props.items():
             step = step.where(self.compare("=", ("get", ("var", e), key), value, Env(step, {e: "rel"})))
         step = step.select(*[col(f"{e}{SEP}{x}") for x in ("eid", "src", "dst", *(["src_label", "dst_label"] if self.graph.typed else []))])
-        for hop in range(1, high + 1):
+        for hop in itertools.count(1) if high is None else range(1, high + 1):
             df = df.join(step, self.graph.end_matches(here, e, "src")).where(~F.array_contains(col(ids), col(f"{e}{SEP}eid")))
             moved = {f"{here}{SEP}id": col(f"{e}{SEP}dst"), ids: F.array_append(col(ids), col(f"{e}{SEP}eid"))}
             if self.graph.typed:
                 moved[f"{here}{SEP}label"] = col(f"{e}{SEP}dst_label")
             df = df.withColumns(moved).drop(*step.columns)
+            if high is None:
+                df = df.checkpoint() if has_checkpoints(df) else df.persist()
+                if hop >= low and reached and df.isEmpty():
+                    break
             if hop >= low:
                 reached.append(df)
         df = reached[0]
@@ -284,16 +325,50 @@ class Compiler:
             if e[0] == "pattern" or negated:
                 env = self.semi(env, e[1] if negated else e, negated)
             else:
-                env = Env(env.df.where(self.value(e, env)), env.kinds)
+                here = Env(env.df, env.kinds)
+                test = self.value(e, here)  # may join columns to the rows
+                env = Env(here.df.where(test), env.kinds)
         return env
 
-    def semi(self, env: Env, e, negated: bool) -> Env:
-        """EXISTS { pattern }: a semi-join (or anti-join) on the nodes that the pattern shares with the rows."""
-        _, paths, where = e
+    def shared_keys(self, env: Env, paths: list[Path], where) -> tuple[list[str], list[str]]:
         used = {n.var for p in paths for n in p.nodes}
         shared = sorted(v for v in used if env.kinds.get(v) == "node")
         if not shared:
-            raise CypherSemanticError("a pattern in WHERE must hold a variable of the query")
+            raise CypherSemanticError("a pattern in an expression must hold a variable of the query")
+        return shared, [c for v in shared for c in self.identity(env, v)]
+
+    def joined(self, env: Env, keys: list[str], found: DataFrame, name: str) -> None:
+        """Adds the column of that name to the rows, by the columns of their nodes; found holds keys renamed _k0, _k1, ... once each."""
+        test = F.lit(True)
+        for i, c in enumerate(keys):
+            test = test & (col(c) == col(f"_k{i}"))
+        env.df = env.df.join(found, test, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+    def e_pattern(self, env, paths, where):
+        """A pattern as a value: true where it has a match. One row for each binding comes from the pattern."""
+        shared, keys = self.shared_keys(env, paths, where)
+        name = self.new("found")
+        inner = self.match(Env(None, {}), paths, where)
+        found = inner.df.select([col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).distinct().withColumn(name, F.lit(True))
+        self.joined(env, keys, found, name)
+        return F.coalesce(col(name), F.lit(False))
+
+    def e_listed_pattern(self, env, path, where, value):
+        """[(a)-->(b) WHERE … | value]: the values of all matches, grouped by the nodes the pattern shares with the rows."""
+        shared, keys = self.shared_keys(env, [path], where)
+        name = self.new("listed")
+        inner = self.match(Env(None, {}), [path], where)
+        item = self.value(value, inner)
+        found = inner.df.select([col(c).alias(f"_k{i}") for i, c in enumerate(keys)] + [item.alias("_v")])
+        found = found.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.collect_list("_v").alias(name))
+        kind = found.schema[name].dataType
+        self.joined(env, keys, found, name)
+        return F.coalesce(col(name), F.array().cast(kind))
+
+    def semi(self, env: Env, e, negated: bool) -> Env:
+        """EXISTS { pattern }: a semi-join (or anti-join) on the nodes that the pattern shares with the rows."""
+        _, paths, where = e
+        shared, _ = self.shared_keys(env, paths, where)
         inner = self.match(Env(None, {}), paths, where)
         ends = ["id", "label"] if self.graph.typed else ["id"]
         keys = inner.df.select([col(f"{v}{SEP}{x}").alias(f"_x{SEP}{v}{SEP}{x}") for v in shared for x in ends])
@@ -305,8 +380,9 @@ class Compiler:
         return Env(env.df.join(keys, test, "left_anti" if negated else "left_semi"), env.kinds)
 
     def do_unwind(self, env: Env, data: dict) -> Env:
-        df = env.df if env.df is not None else self.spark.range(1).select()
-        value = self.value(data["value"], env)
+        here = Env(env.df if env.df is not None else self.spark.range(1).select(), env.kinds)
+        value = self.value(data["value"], here)
+        df = here.df
         return Env(df.select("*", F.explode(value).alias(data["var"])), env.kinds | {data["var"]: "value"})
 
     def do_with(self, env: Env, data: dict) -> Env:
@@ -592,9 +668,6 @@ class Compiler:
             out = F.when(t, v) if out is None else out.when(t, v)
         return out.otherwise(self.value(other, env)) if other is not None else out
 
-    def e_pattern(self, env, paths, where):
-        raise CypherSemanticError("a pattern may stand only as a condition of WHERE, alone, after NOT, or joined by AND")
-
     def e_call(self, env, name, args, distinct):
         kind = env.kinds.get(args[0][1]) if args and args[0][0] == "var" else None
         var = args[0][1] if kind else ""
@@ -634,6 +707,13 @@ class Compiler:
             c = _number(c)
         if name == "count":
             return F.count_distinct(c) if distinct else F.count(c)
+        if distinct and name not in ("collect", "sum", "min", "max"):
+            arg = self.new("arg")
+            env.df = (env.df if env.df is not None else self.spark.range(1).select()).withColumn(arg, _number(c) if name.startswith("percentile") else c)
+            if name.startswith("percentile"):
+                share = float(self.constant(args[1]))
+                return F.expr(f"percentile(DISTINCT `{arg}`, {share!r})") if name.endswith("cont") else F.array_sort(F.collect_set(arg))[F.greatest(F.ceil(F.size(F.collect_set(arg)) * share) - 1, F.lit(0)).cast("int")]
+            return F.expr(f"{ {'avg': 'avg', 'stdev': 'stddev_samp', 'stdevp': 'stddev_pop'}[name] }(DISTINCT `{arg}`)")
         if name == "collect":
             return F.collect_set(c) if distinct else F.collect_list(c)
         if name.startswith("percentile"):
@@ -665,7 +745,10 @@ class Compiler:
                 if r.direction == "any" or len(r.types) != 1:
                     raise CypherSemanticError("a new relationship needs a direction and one type")
                 a, b = (path.nodes[i], path.nodes[i + 1])[:: 1 if r.direction == "out" else -1]
-                edges = edges.unionByName(self.new_edges(env, r, a.var, b.var))
+                new = self.new_edges(env, r, a.var, b.var)
+                env.df = env.df.withColumns({f"{r.var}{SEP}{k}": c for k, c in new.items()})
+                env.kinds[r.var] = "rel"
+                edges = edges.unionByName(env.df.select(*[col(f"{r.var}{SEP}{k}").alias(k) for k in new]))
         self.graph = replace(g, vertices=vertices, edges=edges)
         return env
 
@@ -673,11 +756,15 @@ class Compiler:
         pairs = [x for k, v in props.items() for x in (F.lit(k), self.value(v, env).cast("string"))]
         return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
 
-    def new_edges(self, env: Env, r: Rel, a: str, b: str) -> DataFrame:
+    def new_edges(self, env: Env, r: Rel, a: str, b: str) -> dict[str, Column]:
         props = self.props_map(env, r.props | {"type": ("lit", r.types[0])})
         src, dst = col(f"{a}{SEP}id").cast("string"), col(f"{b}{SEP}id").cast("string")
-        eid = self.value(r.props["id"], env).cast("string") if "id" in r.props else F.concat_ws(":", src, F.lit(r.types[0]), dst, F.uuid())
-        return env.df.select(eid.alias("eid"), src.alias("src"), dst.alias("dst"), F.lit(r.types[0]).alias("type"), props.alias("props"))
+        if "id" in r.props:
+            eid = self.value(r.props["id"], env).cast("string")
+        else:  # one number for the clause, and one for the place among its edges of the same ends: the same however often the plan runs
+            among = Window.partitionBy(src, dst).orderBy(F.to_json(props))
+            eid = F.concat_ws(":", src, F.lit(r.types[0]), dst, F.lit(uuid.uuid4().hex), F.row_number().over(among).cast("string"))
+        return {"eid": eid, "src": src, "dst": dst, "type": F.lit(r.types[0]), "props": props}
 
     def do_merge(self, env: Env, data: dict) -> Env:
         path: Path = data["path"]
@@ -692,15 +779,31 @@ class Compiler:
                 env = self.bind_node(env, n)
             items = data["create"] if missing else data["match"]
             return self.do_set(env, {"items": items}) if items else env
-        if len(path.rels) != 1 or not all(env.has(n.var) for n in path.nodes):
-            raise CypherSemanticError("MERGE takes one node, or one relationship between bound nodes")
-        r = path.rels[0]
-        a, b = (n.var for n in path.nodes[:: -1 if r.direction == "in" else 1])
-        ends = [F.col("src") == col(f"{a}{SEP}id").cast("string"), F.col("dst") == col(f"{b}{SEP}id").cast("string")]
-        there = self.graph.edges.where(F.col("type") == r.types[0]).select("src", "dst")
-        new = self.new_edges(Env(env.df.join(there, ends[0] & ends[1], "left_anti"), env.kinds), r, a, b).dropDuplicates(["src", "dst"])
-        self.graph = replace(self.graph, edges=self.graph.edges.unionByName(new))
-        return env
+        return self.merge_pattern(env, path, data)
+
+    def merge_pattern(self, env: Env, path: Path, data: dict) -> Env:
+        """The whole pattern is matched; for bindings without a match all of it that is not bound is created, once for each binding."""
+        bound = [v for v in env.kinds if v in self.variables([path])]
+        before = Env(env.df, dict(env.kinds))
+        found = self.match(Env(before.df, dict(before.kinds)), [path], None)
+        if before.df is None:
+            made, missing = found.df.isEmpty(), Env(None, {})
+        else:
+            keys = [c for v in bound for c in self.identity(before, v)]
+            rows = before.df.dropDuplicates(keys) if keys else before.df.limit(1)
+            there = found.df.select([col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
+            test = F.lit(True)
+            for i, c in enumerate(keys):
+                test = test & col(c).eqNullSafe(col(f"_k{i}"))
+            missing, made = Env(rows.join(there, test, "left_anti"), dict(before.kinds)), True
+        turned = replace(path, rels=[replace(r, direction="out") if r.direction == "any" else r for r in path.rels])
+        if made:
+            made_rows = self.do_create(missing, {"paths": [turned]})
+            if data["create"]:
+                self.do_set(made_rows, {"items": data["create"]})
+        if data["match"] and (before.df is not None or not made):
+            self.do_set(found, {"items": data["match"]})
+        return self.match(Env(before.df, dict(before.kinds)), [path], None)
 
     def do_set(self, env: Env, data: dict) -> Env:
         self.graph = self.graph.to_map()
@@ -748,8 +851,7 @@ class Compiler:
             if env.kinds.get(var) != "node":
                 raise CypherSemanticError(f"{var} is not a node or relationship")
             gone = env.df.select(col(f"{var}{SEP}id").alias("_id")).distinct()
-            touching = edges.join(gone, (F.col("src") == F.col("_id")) | (F.col("dst") == F.col("_id")), "left_semi") if not data["detach"] else None
-            if touching is not None and not touching.isEmpty():
+            if not data["detach"] and any(not edges.join(gone, edges[end] == F.col("_id"), "left_semi").isEmpty() for end in ("src", "dst")):
                 raise CypherSemanticError("a node with relationships needs DETACH DELETE")
             vertices = vertices.join(gone, vertices["id"] == F.col("_id"), "left_anti")
             for end in ("src", "dst"):

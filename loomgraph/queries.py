@@ -5,7 +5,9 @@ Entries of ``CYPHER`` are (graph view, openCypher, SQL); the others are function
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from .functions.text import canonical_name
 from .functions.vectors import cosine
 from .model import MapGraph
 from .operators import algorithms, knowledge, vector_search
+from .operators import link_prediction as link_model
 from .plans import compiler
 from .session import PROCEDURES
 from .sources import files, views
@@ -103,6 +106,18 @@ CYPHER: dict[str, tuple[str, str, str]] = {
     "unwind": ("commerce", "UNWIND [3, 1, 2] AS x MATCH (r:Region) WHERE r.r_regionkey = x RETURN x, r.r_name AS name", "SELECT r_regionkey AS x, r_name AS name FROM region WHERE r_regionkey IN (1, 2, 3)"),
     "var_length_1_3": ("commerce", "MATCH (c:Customer)-[:PLACED|IN_NATION|IN_REGION*1..3]->(x) RETURN labels(x)[0] AS label, count(*) AS n", "SELECT 'Order' AS label, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT 'Nation', count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'Region', count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"),
     "named_path": ("commerce", "MATCH p = (c:Customer)-[:IN_NATION]->(:Nation)-[:IN_REGION]->(r:Region) RETURN c.c_custkey AS c, length(p) AS n, r.r_name AS r", "SELECT c_custkey AS c, CAST(2 AS BIGINT) AS n, r_name AS r FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"),
+    "aggregate_distinct": ("commerce", "MATCH (p:Part) RETURN p.p_brand AS brand, avg(DISTINCT p.p_size) AS a, stdev(DISTINCT p.p_size) AS s, sum(DISTINCT p.p_size) AS t", "SELECT p_brand AS brand, avg(DISTINCT p_size) AS a, stddev_samp(DISTINCT p_size) AS s, CAST(sum(DISTINCT p_size) AS BIGINT) AS t FROM part GROUP BY p_brand"),
+    "stdev_percentile": ("commerce", "MATCH (o:Order) RETURN o.o_orderpriority AS priority, round(stdev(o.o_totalprice), 4) AS s, round(stDevP(o.o_totalprice), 4) AS sp, round(percentileCont(o.o_totalprice, 0.3), 4) AS p", "SELECT o_orderpriority AS priority, round(stddev_samp(o_totalprice), 4) AS s, round(stddev_pop(o_totalprice), 4) AS sp, round(quantile_cont(o_totalprice, 0.3), 4) AS p FROM orders GROUP BY o_orderpriority"),
+    "optional_after_with": ("commerce", "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n OPTIONAL MATCH (c)-[:IN_NATION]->(k:Nation) WHERE n > 10 RETURN c.c_custkey AS c, n, k.n_name AS nation", "SELECT c_custkey AS c, n, CASE WHEN n > 10 THEN n_name END AS nation FROM (SELECT c_custkey, c_nationkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) JOIN nation ON c_nationkey = n_nationkey"),
+    "optional_repeated_rows": ("commerce", "MATCH (o:Order)-[:CONTAINS]->(p:Part) WITH p.p_brand AS brand, o AS o WHERE o.o_orderkey < 400 OPTIONAL MATCH (c:Customer)-[:PLACED]->(o) WHERE c.c_acctbal > 0 RETURN brand, o.o_orderkey AS o, c.c_custkey AS c", "SELECT p_brand AS brand, o_orderkey AS o, c_custkey AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 WHERE o_orderkey < 400"),
+    "var_length_open": ("commerce", "MATCH (c:Customer)-[:PLACED|CONTAINS|SUPPLIED_BY|IN_NATION|IN_REGION*]->(r:Region) WHERE c.c_custkey = 7 RETURN r.r_name AS r, count(*) AS n", "SELECT r_name AS r, count(*) AS n FROM (SELECT n_regionkey AS k FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 7 UNION ALL SELECT n_regionkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_partkey AS pk, l_suppkey AS sk FROM lineitem) ON pk = l_partkey JOIN part ON p_partkey = pk JOIN supplier ON s_suppkey = sk JOIN nation ON n_nationkey = s_nationkey WHERE o_custkey = 7) JOIN region ON r_regionkey = k GROUP BY r_name"),
+    "exists_or": ("commerce", "MATCH (c:Customer) WHERE c.c_acctbal < 0 OR EXISTS { MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 400000 } RETURN c.c_custkey AS c", "SELECT c_custkey AS c FROM customer WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"),
+    "exists_returned": ("commerce", "MATCH (c:Customer) RETURN c.c_custkey AS c, CASE WHEN (c)-[:PLACED]->(:Order {o_orderstatus: 'P'}) THEN 'some' ELSE 'none' END AS pending", "SELECT c_custkey AS c, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') THEN 'some' ELSE 'none' END AS pending FROM customer"),
+    "pattern_comprehension": ("commerce", "MATCH (n:Nation) WITH n, [(n)<-[:IN_NATION]-(c:Customer) WHERE c.c_acctbal < 0 | c.c_custkey] AS xs RETURN n.n_name AS nation, size(xs) AS n, any(x IN xs WHERE x > 50) AS late", "SELECT n_name AS nation, count(c_custkey) AS n, coalesce(bool_or(c_custkey > 50), false) AS late FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal < 0 GROUP BY n_name"),
+    "except": ("commerce", "MATCH (n:Nation) RETURN n.n_nationkey AS k EXCEPT MATCH (s:Supplier) RETURN s.s_nationkey AS k", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier"),
+    "except_all": ("commerce", "MATCH (c:Customer) RETURN c.c_nationkey AS k EXCEPT ALL MATCH (s:Supplier) RETURN s.s_nationkey AS k", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
+    "return_node": ("commerce", "MATCH (n:Nation) WITH n AS m WHERE m.n_nationkey < 9 WITH collect(m) AS ms UNWIND ms AS x RETURN x.n_nationkey AS k, x.n_name AS name", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey < 9"),
+    "unwind_stored_list": ("commerce", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, collect(n.n_name) AS names UNWIND names AS name RETURN r.r_name AS region, name", "SELECT r_name AS region, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "call_procedure": ("copurchase", "CALL algo.triangleCount() YIELD n_triangles AS n RETURN n", f"SELECT count(*) AS n FROM ({_TRI.format(e=_CO)})"),
 }
 
@@ -130,6 +145,10 @@ _NODES = "SELECT 'n' || n_nationkey AS id, n_name AS name FROM nation UNION ALL
 UPDATES: dict[str, tuple[str, str, str]] = {
     "create_nodes": ("CREATE (a:City {id: 'c1', name: 'Here'}), (b:City {id: 'c2', name: 'There'})", _ALL, f"{_NODES} UNION ALL SELECT 'c1', 'Here' UNION ALL SELECT 'c2', 'There'"),
     "create_edges": ("MATCH (n:Nation)-[:IN]->(r:Region) CREATE (r)-[:HOLDS]->(n)", "MATCH (r)-[:HOLDS]->(n) RETURN r.name AS r, n.name AS n", "SELECT r_name AS r, n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "create_then_match": ("MATCH (n:Nation)-[:IN]->(r:Region) CREATE (r)-[h:HOLDS]->(n), (r)-[g:HOLDS]->(n) WITH h AS h WHERE h.type = 'HOLDS' DELETE h", "MATCH (r)-[:HOLDS]->(n) RETURN r.name AS r, n.name AS n", "SELECT r_name AS r, n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "merge_relationship": ("MATCH (n:Nation)-[:IN]->(r:Region) MERGE (n)-[:IN]->(r)", "MATCH (n)-[:IN]->(r) RETURN r.name AS r, n.name AS n", "SELECT r_name AS r, n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "merge_pattern": ("MATCH (n:Nation) WHERE n.key < 3 MERGE (n)-[:HAS]->(f:Flag {id: n.name, name: n.name})", "MATCH (n)-[:HAS]->(f:Flag) RETURN id(n) AS id, f.name AS name", "SELECT 'n' || n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey < 3"),
+    "delete_plain": ("CREATE (a:City {id: 'c1', name: 'Here'}), (b:City {id: 'c2', name: 'There'}) WITH a AS a DELETE a", _ALL, f"{_NODES} UNION ALL SELECT 'c2', 'There'"),
     "merge": ("MERGE (a:City {id: 'c1', name: 'Here'}) ON CREATE SET a.made = 'yes' ON MATCH SET a.made = 'no'", "MATCH (n:City) RETURN n.name AS name, n.made AS made", "SELECT 'Here' AS name, 'yes' AS made"),
     "set_props": ("MATCH (n:Nation) WHERE n.key < 5 SET n.name = 'changed', n.extra = 7", "MATCH (n:Nation) RETURN id(n) AS id, n.name AS name, n.extra AS extra", "SELECT 'n' || n_nationkey AS id, CASE WHEN n_nationkey < 5 THEN 'changed' ELSE n_name END AS name, CASE WHEN n_nationkey < 5 THEN '7' END AS extra FROM nation"),
     "delete": ("MATCH (n:Nation) WHERE n.key >= 10 DETACH DELETE n", "MATCH (n:Nation)-[:IN]->(r) RETURN id(n) AS id, r.name AS r", "SELECT 'n' || n_nationkey AS id, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 10"),
@@ -144,7 +163,29 @@ def _event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+    """The vector of vec_id 0, or of the least vec_id of a table without it; of an empty table one zero."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "embedding").orderBy("vec_id").limit(1).collect()
+    return list(rows[0].embedding) if rows else [0.0]
+
+
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; it is removed when Python ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, path)
+    return path
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended before Python did
+        pass
 
 
 def pagerank_10(spark, sf_dir):
@@ -188,8 +229,7 @@ def _stream(run: Callable[[SparkSession, str, DataFrame], DataFrame]) -> Callabl
     """Writes the events as edge records to a folder, as a stream's source, and lets the stream read all of it."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()).rstrip("/")
-        root = f"{root}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
+        root = _shared_folder(spark, "stream")
         e = views.event_edges(spark, sf_dir)
         end = lambda c: F.struct(F.col(c).cast("string").alias("id"), F.create_map().cast("map<string,string>").alias("properties"))
         record = F.to_json(F.struct(end("src").alias("source"), end("dst").alias("destination"), F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("type"), F.col("type")).alias("properties")))
@@ -212,15 +252,14 @@ def _stream_dedup(spark, root, edges):
 
 
 def _stream_degree(spark, root, edges):
-    name = "degrees_" + root[-36:].replace("-", "_")
+    name = "degrees_" + root[-32:]
     q = stream.running_degrees(edges).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
 
 def edge_list_roundtrip(spark, sf_dir):
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()).rstrip("/")
-    path = f"{root}/edges-{spark.range(1).select(F.uuid()).first()[0]}"
+    path = _shared_folder(spark, "edges")
     files.write_edge_list(_event_graph(spark, sf_dir), path)
     return files.edge_list(spark, path)
 
@@ -230,7 +269,7 @@ def kg_canonicalise(spark, sf_dir):
 
 
 def kg_build(spark, sf_dir):
-    g = knowledge.build(knowledge.extract(knowledge.chunks(table(spark, sf_dir, "benchmark"), key="item_id")))
+    g = knowledge.build(knowledge.extract(knowledge.sentences(table(spark, sf_dir, "benchmark"), key="item_id")))
     return compiler.run(spark, g, "MATCH (a)-[r]->(b) RETURN type(r) AS type, count(*) AS n").rows
 
 
@@ -243,6 +282,63 @@ def link_prediction(spark, sf_dir):
     return s.select("a", "b", "common", F.round("jaccard", 8).alias("jaccard"), F.round("adamic_adar", 6).alias("adamic_adar"))
 
 
+def label_partition(spark, sf_dir):
+    return algorithms.label_partition(_event_graph(spark, sf_dir), 4)
+
+
+def link_prediction_trained(spark, sf_dir):
+    """Probabilities of unlinked pairs by a model trained on the same graph, with vectors of the vertices aggregated over sampled neighbours."""
+    e = _event_graph(spark, sf_dir).select("src", "dst")
+    vectors = table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), "embedding")
+    return link_model.train(e, vectors=vectors).predict(e, vectors).select("a", "b", F.round("probability", 6).alias("probability"))
+
+
+def rank_distribution(spark, sf_dir):
+    return algorithms.rank_distribution(algorithms.pagerank(_event_graph(spark, sf_dir)), 3)
+
+
+def graph_roundtrip(spark, sf_dir):
+    path = _shared_folder(spark, "graph")
+    files.write_graph(_people(spark, sf_dir), path)
+    return compiler.run(spark, files.read_graph(spark, path), "MATCH (n:Nation)-[r:IN]->(m) RETURN id(n) AS id, n.name AS n, m.name AS m, type(r) AS type").rows
+
+
+def property_graph_roundtrip(spark, sf_dir):
+    """Orders as edge records of JSON lines, read back as a property graph."""
+    path = _shared_folder(spark, "records")
+    end = lambda kind, c: F.struct(F.concat(F.lit(kind), F.col(c)).alias("id"), F.create_map(F.lit("label"), F.lit(kind), F.lit("key"), F.col(c).cast("string")).alias("properties"))
+    props = F.create_map(F.lit("id"), F.col("o_orderkey").cast("string"), F.lit("type"), F.lit("PLACED"), F.lit("status"), F.col("o_orderstatus"))
+    o = table(spark, sf_dir, "orders")
+    o.select(F.to_json(F.struct(end("Customer", "o_custkey").alias("source"), end("Order", "o_orderkey").alias("destination"), props.alias("properties"))).alias("value")).write.text(path)
+    return compiler.run(spark, files.property_graph_json(spark, path), "MATCH (c:Customer)-[r:PLACED]->(o:Order) WHERE r.status = 'P' RETURN c.key AS c, o.key AS o").rows
+
+
+def text_attributes_roundtrip(spark, sf_dir):
+    path = _shared_folder(spark, "attributes")
+    p = table(spark, sf_dir, "part")
+    p.select(F.concat_ws(" ", "p_partkey", "p_size", (F.col("p_size") * 300).cast("string")).alias("value")).write.text(path)
+    f = files.text_attributes(spark, path, "int32")
+    return f.select(F.col("vertex_id").alias("id"), F.col("features")[0].alias("a"), F.col("features")[1].alias("b"))
+
+
+def rdf_roundtrip(spark, sf_dir):
+    path = _shared_folder(spark, "rdf")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n.select(F.concat(F.col("n_name"), F.lit("\tin "), F.col("r_name")).alias("value")).write.text(path)
+    edges, nodes, predicates = files.rdf_triples(spark, path)
+    names = lambda c: nodes.select(F.col("id").alias(c), F.col("name").alias(c + "_name"))
+    found = edges.join(names("src"), "src").join(names("dst"), "dst").join(predicates.withColumnRenamed("id", "predicate"), "predicate")
+    return found.select(F.col("src_name").alias("s"), F.col("name").alias("p"), F.col("dst_name").alias("o"))
+
+
+def citation_roundtrip(spark, sf_dir):
+    """Orders as papers that cite the parts they hold."""
+    path = _shared_folder(spark, "citations")
+    o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("references"))
+    o.write.json(path)
+    return files.citation_json(spark, path)[0]
+
+
 def federated_mean(spark, sf_dir):
     """Weighted mean of each client's weights: sum(n * w) / sum(n)."""
     v = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "w"))
@@ -250,6 +346,10 @@ def federated_mean(spark, sf_dir):
     return client.groupBy("i").agg(F.round(F.sum(F.col("n") * F.col("w")) / F.sum("n"), 8).alias("weight"))
 
 
+def _canonical(sql: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({sql}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
 _DEG = f"SELECT src AS id, count(DISTINCT dst) AS degree FROM {_EV} GROUP BY src"
 _IN = f"SELECT dst AS id, count(DISTINCT src) AS degree FROM {_EV} GROUP BY dst"
 _IDS = f"(SELECT src AS id FROM {_EV} UNION SELECT dst FROM {_EV})"
@@ -263,6 +363,8 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "degree_distribution": (lambda s, d: algorithms.degree_distribution(algorithms.in_degree(_event_graph(s, d))), f"SELECT degree, count(*) AS n_vertices FROM ({_IN}) GROUP BY degree"),
     "hash_partition": (lambda s, d: algorithms.hash_partition(table(s, d, "part").select(F.col("p_partkey").alias("id")), 4), "SELECT p_partkey AS id, CAST(p_partkey % 4 AS INTEGER) AS pid FROM part"),
     "partition_stats": (partition_stats, f"WITH e AS (SELECT src % 4 AS p, dst % 4 AS q FROM {_EV}), v AS (SELECT id % 4 AS pid, count(*) AS n_vertices FROM {_IDS} GROUP BY 1), l AS (SELECT p AS pid, count(*) AS n FROM e WHERE p = q GROUP BY p), c AS (SELECT pid, count(*) AS n FROM (SELECT p AS pid FROM e WHERE p <> q UNION ALL SELECT q FROM e WHERE p <> q) GROUP BY pid) SELECT CAST(v.pid AS INTEGER) AS pid, n_vertices, coalesce(l.n, 0) AS n_local, coalesce(c.n, 0) AS n_cut, round(coalesce(c.n, 0) / (coalesce(l.n, 0) + coalesce(c.n, 0)), 9) AS cut_ratio FROM v LEFT JOIN l ON l.pid = v.pid LEFT JOIN c ON c.pid = v.pid"),
+    "label_partition": (label_partition, None),
+    "link_prediction_trained": (link_prediction_trained, None),
     "fennel_partition": (lambda s, d: algorithms.stream_partition(_event_graph(s, d), 4, "fennel", "event_id"), None),
     "ldg_partition": (lambda s, d: algorithms.stream_partition(_event_graph(s, d), 4, "ldg", "event_id"), None),
     "dense_ids": (lambda s, d: algorithms.dense_ids(_event_graph(s, d)), f"SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM {_IDS}"),
@@ -270,6 +372,12 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "triangle_list": (lambda s, d: algorithms.triangles(_event_graph(s, d)), _TRI.format(e=_EVC)),
     "egonet": (lambda s, d: algorithms.egonets(_event_graph(s, d)), f"WITH e AS (SELECT DISTINCT src, dst FROM {_EV}) SELECT src AS ego, src AS u, dst AS v FROM e UNION SELECT x.src, x.dst, y.dst FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = x.src AND z.dst = y.dst"),
     "common_neighbours": (link_prediction, f"WITH d AS (SELECT a AS id, count(*) AS deg FROM {_SYM} GROUP BY a), s AS (SELECT x.a AS a, y.a AS b, count(*) AS common, sum(1 / ln(deg)) AS aa FROM {_SYM} x JOIN {_SYM} y ON x.b = y.b AND x.a < y.a JOIN d ON d.id = x.b GROUP BY 1, 2) SELECT s.a, s.b, common, round(common / (da.deg + db.deg - common), 8) AS jaccard, round(aa, 6) AS adamic_adar FROM s JOIN d da ON da.id = s.a JOIN d db ON db.id = s.b WHERE NOT EXISTS (SELECT 1 FROM {_EVC} e WHERE e.a = s.a AND e.b = s.b)"),
+    "pagerank_distribution": (rank_distribution, _pagerank_sql(10).replace("SELECT id, round(rank, 8) AS rank FROM r10", "SELECT round(rank, 3) AS rank, count(*) AS n_vertices FROM r10 GROUP BY 1")),
+    "graph_roundtrip": (graph_roundtrip, "SELECT 'n' || n_nationkey AS id, n_name AS n, r_name AS m, 'IN' AS type FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "property_graph_roundtrip": (property_graph_roundtrip, "SELECT CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderkey AS VARCHAR) AS o FROM orders WHERE o_orderstatus = 'P'"),
+    "text_attributes_roundtrip": (text_attributes_roundtrip, "SELECT p_partkey AS id, p_size AS a, p_size * 300 AS b FROM part"),
+    "rdf_triples_roundtrip": (rdf_roundtrip, "SELECT n_name AS s, 'in' AS p, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "citation_roundtrip": (citation_roundtrip, "SELECT CAST(l_orderkey AS VARCHAR) AS src, CAST(l_partkey AS VARCHAR) AS dst FROM lineitem"),
     "pagerank_10": (pagerank_10, _pagerank_sql(10)),
     "knn_l2": (knn_l2, "SELECT e.vec_id, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) ** 2, 5) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), e.vec_id LIMIT 10"),
     "cosine_topk": (cosine_topk, "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id LIMIT 10"),
@@ -280,7 +388,7 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "stream_degree": (_stream(_stream_degree), f"SELECT src AS id, count(*) AS n_edges FROM {_EV} GROUP BY src"),
     "edge_list_export_roundtrip": (edge_list_roundtrip, f"SELECT src, dst FROM {_EV}"),
     "kg_canonicalise": (kg_canonicalise, "SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type || ' / -X-'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM part"),
-    "kg_build": (kg_build, None),
+    "kg_build": (kg_build, f"WITH w AS (SELECT regexp_extract_all(s, '\\S+') AS w FROM (SELECT unnest(regexp_split_to_array(text, '[.\\n]+')) AS s FROM benchmark)), t AS (SELECT DISTINCT {_canonical('w[1] || ' + chr(39) + '_Entity' + chr(39))} AS src, {_canonical('w[2]')} AS type, {_canonical('array_to_string(w[3:], ' + chr(39) + ' ' + chr(39) + ') || ' + chr(39) + '_Entity' + chr(39))} AS dst FROM w WHERE len(w) >= 3) SELECT type, count(*) AS n FROM t GROUP BY type"),
     "text_chunks": (text_chunks, "SELECT doc_id, CAST(c AS INTEGER) AS chunk, CAST(c * 500 AS INTEGER) AS start, length(substring(text, CAST(c * 500 + 1 AS BIGINT), 500)) AS n FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 500.0) AS BIGINT))) AS c FROM documents WHERE length(text) > 0)"),
     "federated_mean": (federated_mean, "SELECT CAST(i - 1 AS INTEGER) AS i, round(avg(CAST(w AS DOUBLE)), 8) AS weight FROM (SELECT unnest(embedding) AS w, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY i"),
 }
@@ -289,8 +397,7 @@ _VIEWS = {"commerce": views.commerce, "copurchase": views.copurchase_graph}
 
 def _cypher(view: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        procedures = PROCEDURES | {"algo.trianglecount": lambda g: algorithms.triangle_count(views.copurchase(spark, sf_dir))} if view == "copurchase" else PROCEDURES
-        return compiler.run(spark, _VIEWS[view](spark, sf_dir), text, procedures=procedures).rows
+        return compiler.run(spark, _VIEWS[view](spark, sf_dir), text, procedures=PROCEDURES).rows
 
     return run
 

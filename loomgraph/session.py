@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from .model import MapGraph, TableGraph
 from .operators import algorithms, knowledge, link_prediction, vector_search
 from .plans import compiler
 from .sources import files
-from .streaming.triangles import TriangleStream, edge_stream
+from .streaming.triangles import END_MARK, TriangleStream, kafka_lines, line_stream, parse
 
 
 def _pairs(graph: MapGraph | TableGraph) -> DataFrame:
@@ -33,6 +35,9 @@ class GraphSession:
     def __init__(self, spark: SparkSession):
         self.spark, self.catalog = spark, GraphCatalog(spark)
         self.streams: dict[str, object] = {}
+        self.models: dict[str, link_prediction.Trained] = {}
+        self.stopping: set[str] = set()
+        self.timings: list[tuple[str, str, float]] = []  # command, graph, seconds until the plan is ready or the result is there
 
     # ---- loading
     def add(self, name: str, graph: MapGraph | TableGraph, path: str = "", edges: DataFrame | None = None) -> int:
@@ -62,8 +67,21 @@ class GraphSession:
     def add_property_graph(self, name: str, path: str, directed: bool = True, partitions: int = 2) -> int:
         return self.add(name, files.property_graph_json(self.spark, path, partitions, directed), path)
 
-    def construct_knowledge_graph(self, name: str, docs: DataFrame, extractor=knowledge.sentence_tuples, size: int = 1000) -> int:
-        return self.add(name, knowledge.build(knowledge.extract(knowledge.chunks(docs, size), extractor)))
+    def construct_knowledge_graph(self, name: str, docs: DataFrame, extractor=knowledge.sentence_tuples, state: str | None = None, attempts: int = 1) -> int | None:
+        """A graph from the sentences of docs. With state, a folder, tuples are written part by part; a stopped or failed
+        construction is taken up by the same call. Returns None if it was stopped."""
+        texts = knowledge.sentences(docs)
+        extractor = knowledge.with_retries(extractor, attempts) if attempts > 1 else extractor
+        if state is None:
+            return self.add(name, knowledge.build(knowledge.extract(texts, extractor)))
+        self.stopping.discard(name)
+        tuples = knowledge.extract_in_parts(texts, state, extractor, stopped=lambda: name in self.stopping)
+        return None if tuples is None else self.add(name, knowledge.build(tuples), state)
+
+    def stop_construction(self, name: str) -> str:
+        """The construction of that graph ends after the part it is in; called from another thread."""
+        self.stopping.add(name)
+        return "done"
 
     # ---- queries
     def cypher(self, graph: int | str, text: str, **params) -> DataFrame | None:
@@ -82,6 +100,7 @@ class GraphSession:
 
     # ---- commands, parts separated by |
     def run_command(self, line: str) -> DataFrame | str:
+        began = time.perf_counter()
         name, *args = [x.strip() for x in line.split("|")]
         edges = lambda: self.catalog.get(args[0]).edges
         commands: dict[str, Callable[[], DataFrame | str]] = {
@@ -93,12 +112,16 @@ class GraphSession:
             "odd": lambda: algorithms.out_degree(edges()),
             "egnt": lambda: algorithms.egonets(edges()),
             "pgrnk": lambda: algorithms.pagerank(edges(), float(args[1]) if len(args) > 1 else 0.85, int(args[2]) if len(args) > 2 else 10),
-            "predict": lambda: algorithms.neighbour_scores(edges()),
-            "train": lambda: f"auc {link_prediction.train(edges()).auc:.4f}",
+            "predict": lambda: self.models[args[1]].predict(edges()) if len(args) > 1 else algorithms.neighbour_scores(edges()),
+            "train": lambda: self.train_links(args[0], args[1] if len(args) > 1 else None),
+            "admdl": lambda: self.add_model(args[0], args[1]),
+            "sbs": lambda: self.beam_search(args[0], self.spark.read.parquet(args[1]), [float(x) for x in args[2].split(",")]),
+            "sla": lambda: self.latencies(args[0] if args else None),
+            "stop-constructkg": lambda: self.stop_construction(args[0]),
             "adgr-cust": lambda: f"graph {self.add_attributed_edge_list(args[0], args[1], args[2], args[3] if len(args) > 3 else None)}",
             "adrdf": lambda: f"graph {self.add_pairs(args[0], files.rdf_xml(self.spark, args[1])[0], args[1])}",
             "process_dataset": lambda: f"graph {self.add_pairs(args[0], files.citation_json(self.spark, args[1])[0], args[1])}",
-            "constructkg": lambda: f"graph {self.construct_knowledge_graph(args[0], self.spark.read.text(args[1]).select(F.monotonically_increasing_id().alias('doc_id'), F.col('value').alias('text')))}",
+            "constructkg": lambda: f"graph {self.construct_knowledge_graph(args[0], self.spark.read.text(args[1]).select(F.xxhash64('value').alias('doc_id'), F.col('value').alias('text')), state=args[2] if len(args) > 2 else None)}",
             "adstrmk": lambda: self.start_stream(args[0], args[1], args[2]),
             "strian": lambda: self.streams[args[0]].recount() if args[1:] == ["0"] else self.streams[args[0]].total(),
             "stopstrian": lambda: self.stop_stream(args[0]),
@@ -117,17 +140,61 @@ class GraphSession:
         }
         if name not in commands:
             raise ValueError(f"there is no command {name}")
-        return commands[name]()
-
-    def start_stream(self, name: str, folder: str, state: str) -> str:
-        """Edge records of the folder's files go into a triangle count kept under state."""
+        out = commands[name]()
+        self.timings.append((name, args[0] if args else "", time.perf_counter() - began))
+        return out
+
+    def train_links(self, graph: str, path: str | None = None) -> str:
+        self.models[graph] = trained = link_prediction.train(self.catalog.get(graph).edges)
+        if path:
+            trained.save(path)
+        return f"auc {trained.auc:.4f}"
+
+    def add_model(self, name: str, path: str) -> str:
+        self.models[name] = link_prediction.Trained.load(path)
+        return f"model {name}"
+
+    def latencies(self, graph: str | None = None) -> DataFrame:
+        """command, graph, n, mean and longest seconds of this session's commands, which a service level can be held against."""
+        rows = [t for t in self.timings if graph in (None, t[1])]
+        df = self.spark.createDataFrame(rows, "command string, graph string, seconds double")
+        return df.groupBy("command", "graph").agg(F.count("*").alias("n"), F.avg("seconds").alias("mean"), F.max("seconds").alias("longest"))
+
+    def start_stream(self, name: str, source: str, state: str) -> str:
+        """Edge records go into a triangle count kept under state; source: a folder, or kafka:SERVERS/TOPIC.
+
+        A line that is the end mark stops the stream once its batch is done; started again, it goes on where it was.
+        """
+        if source.startswith("kafka:"):
+            servers, topic = source.removeprefix("kafka:").rsplit("/", 1)
+            lines = kafka_lines(self.spark, servers, topic)
+        else:
+            lines = line_stream(self.spark, source)
         self.streams[name] = s = TriangleStream(self.spark, f"{state}/state")
-        s.start(edge_stream(self.spark, folder), f"{state}/checkpoint", name=name)
+        ended: list[int] = []
+
+        def step(batch: DataFrame, batch_id: int) -> None:
+            s.step(parse(batch).select("src", "dst"), batch_id)
+            if not batch.where(F.trim("value") == END_MARK).isEmpty():
+                ended.append(batch_id)
+
+        query = lines.writeStream.foreachBatch(step).option("checkpointLocation", f"{state}/checkpoint").queryName(name).trigger(processingTime="1 second").start()
+
+        def watch() -> None:
+            while query.isActive:
+                done = query.lastProgress
+                if ended and done and done["batchId"] >= ended[0]:
+                    query.stop()
+                time.sleep(0.2)
+
+        threading.Thread(target=watch, daemon=True).start()
         return f"stream {name}"
 
     def stop_stream(self, name: str | None) -> str:
         found = [q for q in self.spark.streams.active if name in (None, q.name, str(q.id))]
         if len(found) != 1:
+            if not found and name in self.streams:
+                return "done"  # its end mark has stopped it
             return "no such stream" if not found else "several streams: " + ",".join(q.name or str(q.id) for q in found)
         found[0].stop()
         return "done"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import MapGraph
+from ..operators.algorithms import numbered
 
 END = T.StructType([T.StructField("id", T.StringType()), T.StructField("properties", T.MapType(T.StringType(), T.StringType()))])
 EDGE_RECORD = T.StructType([T.StructField("source", END), T.StructField("destination", END), T.StructField("properties", T.MapType(T.StringType(), T.StringType()))])
@@ -22,7 +23,7 @@ def edge_list(spark: SparkSession, path: str, directed: bool = True) -> DataFram
 def text_attributes(spark: SparkSession, path: str, dtype: str | None = None) -> DataFrame:
     """vertex_id, features from lines of an id and values. dtype: int8, int16, int32 or float, else the narrowest that holds all values."""
     parts = F.split(F.trim("value"), r"[\s,]+")
-    rows = spark.read.text(path).where(F.size(parts) >= 2).select(parts[0].try_cast("long").alias("vertex_id"), F.slice(parts, 2, 1_000_000).alias("v")).where("vertex_id is not null")
+    rows = spark.read.text(path).where(F.size(parts) >= 2).select(parts[0].try_cast("long").alias("vertex_id"), F.slice(parts, F.lit(2), F.size(parts) - 1).alias("v")).where("vertex_id is not null")
     kinds = {"int8": "tinyint", "int16": "smallint", "int32": "int", "float": "float"}
     if dtype is None:
         values = rows.select(F.explode("v").alias("x"))
@@ -73,9 +74,10 @@ def rdf_xml(spark: SparkSession, path: str, row_tag: str = "article") -> tuple[D
     """(edges, authors) of articles: an edge per pair of authors in their order, with the article's attributes; authors numbered from 1 by name."""
     fields = ["title", "type", "journal", "web", "month", "year", "volume"]
     schema = T.StructType([T.StructField("author", T.ArrayType(T.StringType())), *[T.StructField(c, T.StringType()) for c in fields]])
-    articles = spark.read.schema(schema).format("xml").option("rowTag", row_tag).load(path).where(F.size("author") > 0).withColumn("article", F.monotonically_increasing_id())
+    articles = spark.read.schema(schema).format("xml").option("rowTag", row_tag).load(path).where(F.size("author") > 0)
+    articles = articles.withColumn("article", F.xxhash64(F.to_json(F.struct("author", *fields)))).dropDuplicates(["article"])  # an article that is there twice counts once
     authors = articles.select(F.explode("author").alias("name")).distinct()
-    authors = authors.select("name", F.row_number().over(Window.orderBy("name")).alias("id"))
+    authors = numbered(authors, "name", 1)
     placed = articles.select("article", *fields, F.posexplode("author").alias("pos", "name")).join(authors, "name")
     a = placed.select("article", *fields, F.col("pos").alias("i"), F.col("id").alias("src"))
     b = placed.select("article", F.col("pos").alias("j"), F.col("id").alias("dst"))
@@ -86,9 +88,8 @@ def rdf_triples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     """(edges: src, dst, predicate; nodes; predicates), the last two numbered from 0 by name. A tab follows the subject, white space the predicate."""
     m = r"^([^\t]+)\t(\S+)\s+(.+)$"
     t = spark.read.text(path).where(F.col("value").rlike(m)).select(F.regexp_extract("value", m, 1).alias("s"), F.regexp_extract("value", m, 2).alias("p"), F.trim(F.regexp_extract("value", m, 3)).alias("o"))
-    number = lambda df: df.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("id"))
-    nodes = number(t.select(F.explode(F.array("s", "o")).alias("name")).distinct())
-    predicates = number(t.select(F.col("p").alias("name")).distinct())
+    nodes = numbered(t.select(F.explode(F.array("s", "o")).alias("name")).distinct(), "name")
+    predicates = numbered(t.select(F.col("p").alias("name")).distinct(), "name")
     e = t.join(nodes.select(F.col("name").alias("s"), F.col("id").alias("src")), "s").join(nodes.select(F.col("name").alias("o"), F.col("id").alias("dst")), "o").join(predicates.select(F.col("name").alias("p"), F.col("id").alias("predicate")), "p")
     return e.select("src", "dst", "predicate"), nodes, predicates
 

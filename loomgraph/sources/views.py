@@ -16,10 +16,10 @@ def commerce(spark: SparkSession, sf_dir: str) -> TableGraph:
     t = {x: table(spark, sf_dir, x) for x in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     nodes = {"Customer": ("customer", "c_custkey"), "Order": ("orders", "o_orderkey"), "Part": ("part", "p_partkey"), "Supplier": ("supplier", "s_suppkey"), "Nation": ("nation", "n_nationkey"), "Region": ("region", "r_regionkey")}
     supplies = t["lineitem"].select("l_partkey", "l_suppkey").distinct()
-    pair = lambda a, b: F.concat_ws("-", a, b)
+    pair = lambda *c: F.concat_ws("-", *c)
     rels = {
         "PLACED": [RelTable(t["orders"].select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderkey", "Customer", "Order", F.col("o_orderkey"))],
-        "CONTAINS": [RelTable(t["lineitem"], "l_orderkey", "l_partkey", "Order", "Part")],
+        "CONTAINS": [RelTable(t["lineitem"], "l_orderkey", "l_partkey", "Order", "Part", pair("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"))],
         "SUPPLIED_BY": [RelTable(supplies, "l_partkey", "l_suppkey", "Part", "Supplier", pair("l_partkey", "l_suppkey"))],
         "IN_NATION": [RelTable(t["customer"].select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", "Customer", "Nation", F.col("c_custkey")), RelTable(t["supplier"].select("s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey", "Supplier", "Nation", F.col("s_suppkey"))],
         "IN_REGION": [RelTable(t["nation"].select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey", "Nation", "Region", F.col("n_nationkey"))],
@@ -40,5 +40,5 @@ def copurchase_graph(spark: SparkSession, sf_dir: str) -> TableGraph:
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id -> props.k, with the event's type and time."""
-    k = F.get_json_object("props", "$.k").cast("long")
+    k = F.get_json_object("props", "$.k").try_cast("long")
     return table(spark, sf_dir, "events").select(F.col("event_id"), F.col("user_id").alias("src"), k.alias("dst"), F.col("event_type").alias("type"), "ts").where("src is not null and dst is not null")

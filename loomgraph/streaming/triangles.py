@@ -17,14 +17,27 @@ from ..sources.files import EDGE_RECORD
 STATE = "batch long, a long, b long"
 
 
+END_MARK = "-1"
+
+
+def line_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """Lines of files as they appear in a folder."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+
+
+def kafka_lines(spark: SparkSession, servers: str, topic: str, max_offsets: int = 100_000) -> DataFrame:
+    """The values of a topic; needs Spark's Kafka connector on the class path."""
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("maxOffsetsPerTrigger", max_offsets).load()
+    return raw.select(F.col("value").cast("string").alias("value"))
+
+
 def edge_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """Edge records of JSON files as they appear in a folder."""
-    return parse(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
+    return parse(line_stream(spark, path, files_per_trigger))
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets: int = 100_000) -> DataFrame:
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("maxOffsetsPerTrigger", max_offsets).load()
-    return parse(raw.select(F.col("value").cast("string").alias("value")))
+    return parse(kafka_lines(spark, servers, topic, max_offsets))
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -99,7 +112,11 @@ def windowed_edges(edges: DataFrame, late: str = "10 minutes", width: str = "1 h
     return edges.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "type").agg(F.count("*").alias("n_edges")).select(F.col("w.start").alias("start"), "type", "n_edges")
 
 
-def deduplicated(edges: DataFrame) -> DataFrame:
-    """Edges whose property id was seen before are left out; those without one stay."""
-    key = F.coalesce("eid", F.uuid())
-    return edges.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+def deduplicated(edges: DataFrame, late: str | None = None, time: str = "ts") -> DataFrame:
+    """Edges whose property id was seen before are left out; those without one stay, and leave no state.
+
+    With late (such as "1 hour") and a timestamp column, an id is forgotten that long after its edge, so that state is bounded.
+    """
+    named = edges.where("eid is not null")
+    named = named.withWatermark(time, late).dropDuplicatesWithinWatermark(["eid"]) if late else named.dropDuplicates(["eid"])
+    return named.unionByName(edges.where("eid is null"))
