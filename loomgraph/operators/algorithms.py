@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HUB = 1000  # neighbours of one vertex that a task joins with the others at a time
+
+
 def vertex_count(edges: DataFrame) -> DataFrame:
     """Distinct vertices seen in edges."""
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).agg(F.count_distinct("id").alias("n_vertices"))
@@ -69,7 +72,11 @@ def egonets(edges: DataFrame, egos: DataFrame | None = None) -> DataFrame:
     e = edges.select("src", "dst").distinct()
     first = e if egos is None else e.join(egos.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
     own = first.select(F.col("src").alias("ego"), F.col("src").alias("u"), F.col("dst").alias("v"))
-    second = own.select("ego", F.col("v").alias("u")).join(e.select(F.col("src").alias("u"), F.col("dst").alias("v")), "u")
+    shares = F.ceil(F.col("d") / HUB).cast("int")  # a hub's out-edges meet its egos in so many tasks
+    degree = e.groupBy(F.col("src").alias("u")).agg(F.count("*").alias("d"))
+    edges_of = e.select(F.col("src").alias("u"), F.col("dst").alias("v")).join(degree, "u").withColumn("share", F.pmod(F.xxhash64("v"), shares).cast("int")).drop("d")
+    reached = own.select("ego", F.col("v").alias("u")).join(degree, "u").select("ego", "u", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    second = reached.join(edges_of, ["u", "share"]).select("ego", "u", "v")
     between = second.join(own.select("ego", "v"), ["ego", "v"], "left_semi").select("ego", "u", "v")
     return own.unionByName(between).distinct()
 
@@ -88,13 +95,14 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 10, checkp
     n = base.count()
     if not n:
         return vertices.withColumn("rank", F.lit(1.0))
-    links = e.join(out, "src").select("src", "dst", "out").repartition("src").cache()
-    base = base.cache()
-    ranks = base.withColumn("rank", F.lit(1.0 / n))
+    links = e.join(out, "src").select("src", "dst", "out").repartition("src").persist()
+    base = base.persist()
+    nothing = base.select("id", F.lit(0.0).alias("part"))  # every vertex is in the sum, so that no join has to bring it back
+    ranks = base.select("id", F.lit(1.0 / n).alias("rank"))
     for i in range(iterations):
-        incoming = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("incoming"))
-        loose = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))  # one row
-        ranks = base.join(incoming, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("incoming", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
+        parts = links.join(ranks.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("rank") / F.col("out")).alias("part"))
+        loose = base.where("out is null").join(ranks, "id").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))  # one row
+        ranks = parts.unionByName(nothing).groupBy("id").agg(F.sum("part").alias("incoming")).crossJoin(F.broadcast(loose)).select("id", (F.lit((1 - alpha) / n) + alpha * (F.col("incoming") + F.col("loose") / n)).alias("rank"))
         if i + 1 < iterations:  # both the next sum and the next dangling mass read it; a lost executor's part is computed again
             ranks = ranks.checkpoint() if (i + 1) % checkpoint_every == 0 and has_checkpoints(ranks) else ranks.persist()
     return ranks.select("id", "rank")
@@ -118,11 +126,14 @@ def neighbour_scores(edges: DataFrame, pairs: DataFrame | None = None) -> DataFr
     degree = sym.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("deg"))
     weighted = sym.join(degree.select(F.col("id").alias("b"), F.col("deg").alias("d")), "b")
     left = weighted.select(F.col("b").alias("mid"), F.col("a").alias("x"), "d")
+    shares = F.ceil(F.col("d") / HUB).cast("int")  # the pairs of a hub's neighbours are made in so many tasks
     if pairs is not None:
         wanted = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
         shared = wanted.join(left, "x").join(sym.select(F.col("b").alias("mid"), F.col("a").alias("y")), ["mid", "y"])
     else:
-        shared = left.join(sym.select(F.col("b").alias("mid"), F.col("a").alias("y")), "mid").where("x < y")
+        dealt = left.withColumn("share", F.pmod(F.xxhash64("x"), shares).cast("int"))
+        others = weighted.select(F.col("b").alias("mid"), F.col("a").alias("y"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+        shared = dealt.join(others, ["mid", "share"]).where("x < y")
     s = shared.groupBy("x", "y").agg(F.count("*").alias("common"), F.sum(1 / F.log("d")).alias("adamic_adar"))
     if pairs is None:
         s = s.join(c.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")

@@ -236,7 +236,15 @@ class Compiler:
         return df
 
     def node_rows(self, node: Node) -> DataFrame:
-        return self.with_props(self.graph.nodes(node.var, node.labels), node.var, node.props)
+        """Nodes by labels and by the properties that no other variable decides."""
+        return self.with_props(self.graph.nodes(node.var, node.labels), node.var, {k: v for k, v in node.props.items() if not self.variables(v)})
+
+    def dependent(self, env: Env, var: str, props: dict) -> Env:
+        """Properties in a pattern that other variables of the rows decide."""
+        for key, value in props.items():
+            if self.variables(value):
+                env = Env(env.df.where(self.compare("=", ("get", ("var", var), key), value, env)), env.kinds)
+        return env
 
     def bind_node(self, env: Env, node: Node) -> Env:
         if env.has(node.var):
@@ -245,9 +253,11 @@ class Compiler:
             df = env.df
             for label in node.labels:
                 df = df.where(col(f"{node.var}{SEP}label") == label)
-            return Env(self.with_props(df, node.var, node.props), env.kinds)
+            own = {k: v for k, v in node.props.items() if not self.variables(v)}
+            return self.dependent(Env(self.with_props(df, node.var, own), env.kinds), node.var, node.props)
         rows = self.node_rows(node)
-        return Env(rows if env.df is None else env.df.crossJoin(rows), env.kinds | {node.var: "node"})  # a predicate in WHERE makes it an equi-join
+        out = Env(rows if env.df is None else env.df.crossJoin(rows), env.kinds | {node.var: "node"})  # a predicate in WHERE makes it an equi-join
+        return self.dependent(out, node.var, node.props)
 
     def oriented(self, rel: Rel, var: str) -> DataFrame:
         """Relationships as (from = src, to = dst) in the walk's direction; undirected ones in both, self-loops once."""
@@ -272,13 +282,15 @@ class Compiler:
             raise CypherSemanticError(f"{rel.var} is bound already")
         edges = self.oriented(rel, rel.var)
         for key, value in rel.props.items():
-            edges = edges.where(self.compare("=", ("get", ("var", rel.var), key), value, Env(edges, {rel.var: "rel"})))
-        df = env.df.join(edges, self.graph.end_matches(a.var, rel.var, "src"))
+            if not self.variables(value):
+                edges = edges.where(self.compare("=", ("get", ("var", rel.var), key), value, Env(edges, {rel.var: "rel"})))
         kinds = env.kinds | {rel.var: "rel"}
+        df = self.dependent(Env(env.df.join(edges, self.graph.end_matches(a.var, rel.var, "src")), kinds), rel.var, rel.props).df
         rels.append((rel, "rel"))
         if env.has(b.var):
             return self.bind_node(Env(df.where(self.graph.end_matches(b.var, rel.var, "dst")), kinds), b)
-        return Env(df.join(self.node_rows(b), self.graph.end_matches(b.var, rel.var, "dst")), kinds | {b.var: "node"})
+        out = Env(df.join(self.node_rows(b), self.graph.end_matches(b.var, rel.var, "dst")), kinds | {b.var: "node"})
+        return self.dependent(out, b.var, b.props)
 
     def expand_many(self, env: Env, a: Node, rel: Rel, b: Node, rels: list) -> Env:
         """Hops from low to high as a union of joins; a relationship comes at most once in a walk.
@@ -316,7 +328,7 @@ class Compiler:
         if env.has(b.var):
             out = self.bind_node(Env(df.where(self.graph.same_node(here, b.var)), kinds), b)
         else:
-            out = Env(df.join(self.node_rows(b), self.graph.same_node(here, b.var)), kinds | {b.var: "node"})
+            out = self.dependent(Env(df.join(self.node_rows(b), self.graph.same_node(here, b.var)), kinds | {b.var: "node"}), b.var, b.props)
         return Env(out.df.drop(*[f"{here}{SEP}{x}" for x in ends]), out.kinds)
 
     def filter(self, env: Env, where) -> Env:
