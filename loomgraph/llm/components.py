@@ -72,7 +72,7 @@ def tiles(members: DataFrame, block: int) -> DataFrame:
     return rows.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")).drop("own", "other", "blocks")
 
 
-def in_tiles(rows: DataFrame, compare, extra: str) -> DataFrame:
+def in_tiles(rows: DataFrame, compare, *extra: str) -> DataFrame:
     """Runs compare on each tile's rows and returns its links. A tile holds two blocks at most; tiles stream through a task one after another.
 
     compare(table) -> boolean matrix of all rows of the tile, of which only pairs of different sides count if i < j.
@@ -123,4 +123,4 @@ def in_tiles(rows: DataFrame, compare, extra: str) -> DataFrame:
             yield from cut(pa.Table.from_batches(held), last=True)
 
     n = parallelism(rows.sparkSession)
-    return rows.select(*keys, "id", "weight", "side", extra).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, n long")
+    return rows.select(*keys, "id", "weight", "side", *extra).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, n long")

@@ -1,14 +1,15 @@
-"""Near-duplicate embeddings by sorted projection passes and an exact join by cells.
+"""Near-duplicate embeddings by sorted projection passes, and an exact check of what they may have missed.
 
 1. Each pass orders the vectors of a label by the concatenated signs of random projections and compares each vector with
-   the next ``REACH`` in that order, by exact cosine. Verified pairs of all passes are united. Passes can miss links, so
-   they only tell dense groups apart: a group has one representative, whatever its size.
-2. About one representative in ``CELL`` is a pivot. A vector is at home in the cell of its nearest pivot and a guest in
+   the next ``REACH`` in that order, by exact cosine. Verified pairs of all passes are united to groups, and all pairs inside a
+   group are compared, in tiles: these are the links of the passes.
+2. The exact check looks for links between different groups, or vectors in none. About one representative of a group or lone
+   vector in ``CELL`` is a pivot. A vector is at home in the cell of its nearest pivot and a guest in
    each lower cell whose border it could reach across with a link: for a linked pair at home in two cells, the one of the
    higher cell is a guest of the other (a link is at most sqrt(2 - 2 threshold) long, and no link is longer than the way
-   to the border). So every pair that may be linked meets in exactly one cell, and is compared there in tiles.
+   to the border). So every pair that may be linked meets in exactly one cell, and is compared there in tiles unless step 1 did.
 
-Links, and with them components, are complete by step 2, whatever the passes found. Vectors that are equal value by value
+Links of both steps count and make the components, so that both are complete. Vectors that are equal value by value
 are compared once, as a class with a weight.
 
 Vectors that are null, empty, zero, or hold null or non-finite values, and rows without label, link with nothing. Vectors of
@@ -146,17 +147,17 @@ def _place(pivots: dict[tuple[int, int], np.ndarray], threshold: float):
                 for k in range(0, len(r), 8 * BLOCK):
                     at = pa.array(r[k : k + 8 * BLOCK])
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("label").take(at), pa.array(size).take(at), pa.array(c[k : k + 8 * BLOCK]), pa.array(h[k : k + 8 * BLOCK]), b.column("id").take(at), b.column("weight").take(at), b.column("vec").take(at)],
-                        names=["label", "size", "cell", "home", "id", "weight", "vec"],
+                        [b.column("label").take(at), pa.array(size).take(at), pa.array(c[k : k + 8 * BLOCK]), pa.array(h[k : k + 8 * BLOCK]), *(b.column(x).take(at) for x in ("id", "group", "weight", "vec"))],
+                        names=["label", "size", "cell", "home", "id", "group", "weight", "vec"],
                     )
 
     return run
 
 
-def _pivots(heads: DataFrame, found: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+def _pivots(heads: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     """Unit vectors of each label and length that has two pivots or more."""
     keys = ["label", "size"]
-    alone = heads.join(found.where("id <> component").select("id"), "id", "left_anti").withColumn("size", F.expr("length(vec) div 8"))
+    alone = heads.where(F.col("id") == F.col("group")).withColumn("size", F.expr("length(vec) div 8"))
     sizes = alone.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     step = F.greatest(F.lit(CELL), F.ceil(F.col("n") / PIVOTS))
     chosen: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
@@ -171,14 +172,24 @@ def _meetings(placed: DataFrame) -> DataFrame:
     blocks = [F.ceil(F.count_if(x) / F.lit(BLOCK)).cast("int").alias(name) for x, name in ((F.col("home"), "homes"), (~F.col("home"), "guests"))]
     cells = placed.groupBy(*keys).agg(F.min(F.when(F.col("home"), F.col("id"))).alias("component"), *blocks).where("component is not null")
     rows = placed.join(cells, keys)
-    home = tiles(rows.where("home").select("component", "id", "weight", "vec"), BLOCK)
+    home = tiles(rows.where("home").select("component", "id", "group", "weight", "vec"), BLOCK)
     across = rows.where("guests > 0").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int"))
     across = across.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("guests")).otherwise(F.col("homes")) - 1)))
     i, j = (F.when(F.col("home"), F.col(x)).otherwise(F.col(y)) for x, y in (("own", "other"), ("other", "own")))
-    across = across.select("component", "id", "weight", "vec", i.alias("i"), (-1 - j).alias("j"), (~F.col("home")).cast("int").alias("side"))
+    across = across.select("component", "id", "group", "weight", "vec", i.alias("i"), (-1 - j).alias("j"), (~F.col("home")).cast("int").alias("side"))
     return home.select(*across.columns).unionByName(across)
 
 
+def _apart(close):
+    """Of the links, those between different groups."""
+
+    def compare(table: pa.Table) -> np.ndarray:
+        group = table.column("group").to_numpy()
+        return close(table) & (group[:, None] != group[None, :])
+
+    return compare
+
+
 def _close(threshold: float):
     def compare(table: pa.Table) -> np.ndarray:
         v = _scaled(table.column("vec").to_pylist())
@@ -210,9 +221,14 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, scratch: S
     passes = heads.mapInArrow(_keys, "turn int, label long, size int, key long, id long, vec binary")
     pairs = passes.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order).mapInArrow(_neighbours(threshold), "a long, b long")
     dense = scratch.write(components(pairs, scratch, "dense-links"), "dense")
-    placed = scratch.write(heads.mapInArrow(_place(_pivots(heads, dense), threshold), "label long, size long, cell long, home boolean, id long, weight long, vec binary"), "placed")
-    links = scratch.write(in_tiles(_meetings(placed), _close(threshold), "vec"), "links")
-    scratch.drop("placed")
+    grouped = heads.join(dense, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    grouped = scratch.write(grouped, "grouped")
+    inside = heads.join(dense, "id").select("component", "id", "weight", "vec")
+    inside = scratch.write(in_tiles(tiles(inside, BLOCK), _close(threshold), "vec"), "inside")
+    placed = scratch.write(grouped.mapInArrow(_place(_pivots(grouped), threshold), "label long, size long, cell long, home boolean, id long, group long, weight long, vec binary"), "placed")
+    between = scratch.write(in_tiles(_meetings(placed), _apart(_close(threshold)), "vec", "group"), "between")
+    links = inside.unionByName(between)
+    scratch.drop("placed", "grouped")
     found = scratch.write(components(links.where("b is not null").select("a", "b"), scratch, "components-of"), "components")
     counts = links.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     per_class = classes.join(found, "id", "left").join(counts.withColumnRenamed("a", "id"), "id", "left")
