@@ -92,6 +92,7 @@ class Compiler:
     def __init__(self, spark: SparkSession, graph: MapGraph | TableGraph, params: dict[str, Any] | None = None, procedures: dict[str, Callable] | None = None):
         self.spark, self.graph, self.params, self.procedures = spark, graph, params or {}, procedures or {}
         self.fresh = 0
+        self.tests: list = []  # conjuncts of the WHERE of the pattern that is being matched
 
     # ------------------------------------------------------------------ queries
     def run(self, text: str) -> Result:
@@ -176,8 +177,10 @@ class Compiler:
     def match(self, env: Env, paths: list[Path], where) -> Env:
         rels: list[tuple[Rel, str]] = []
         seek = self.seeks(where)
+        outer, self.tests = self.tests, self.conjuncts(where)
         for path in paths:
             env = self.walk(env, path, rels, seek)
+        self.tests = outer
         for i, (a, ka) in enumerate(rels):
             for b, kb in rels[:i]:
                 if set(a.types or ["?"]) & set(b.types or ["?"]) or not a.types or not b.types:
@@ -300,6 +303,10 @@ class Compiler:
         low, high = rel.hops
         if high is not None and high < low:
             raise CypherSemanticError("the upper bound of a variable-length pattern is below its lower bound")
+        if high is None:  # hops that are kept hide the rows from the optimizer, so what WHERE says of them comes first
+            for test in self.tests:
+                if test[0] not in ("pattern", "not") and self.variables(test) <= env.kinds.keys():
+                    env = Env(env.df.where(self.value(test, Env(env.df, env.kinds))), env.kinds)
         e, here, ids = rel.var, self.new("at"), f"{rel.var}{SEP}eids"
         ends = ["id", "label"] if self.graph.typed else ["id"]
         df = env.df.withColumns({f"{here}{SEP}{x}": col(f"{a.var}{SEP}{x}") for x in ends} | {ids: F.array().cast("array<string>")})
@@ -316,7 +323,7 @@ class Compiler:
             df = df.withColumns(moved).drop(*step.columns)
             if high is None:
                 df = df.checkpoint() if has_checkpoints(df) else df.persist()
-                if hop >= low and reached and df.isEmpty():
+                if not df.count() and reached:  # the count also tells the optimizer how small the walks so far are
                     break
             if hop >= low:
                 reached.append(df)
