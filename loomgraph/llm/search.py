@@ -43,7 +43,7 @@ BLOCK_DOCS = 16
 DENSE = 2048  # terms of a shard, at most, whose postings are kept as columns, and
 DENSE_SHARE = 128  # in how many documents, one of these, such a term occurs at least
 CLUSTERS, TURNS = 64, 3  # of similar documents
-WAVES = (32,)  # blocks per query of the first waves; the last takes the rest
+WAVES = (2, 16)  # blocks of the first waves of a query without threshold; the last takes the rest
 ROUNDING = 2e-4  # relative error of sums of DENSE products in single precision, and more
 LIKENESS = 512  # frequent terms by which documents are found alike
 SEEDS = 3
@@ -163,20 +163,25 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _idf(row: dict, n_docs: int) -> bytes:
+    """The weight of each of a part's terms; 0 for those that no document has."""
+    f = np.zeros(len(row["terms"]) // 8)
+    if row["known"]:
+        f[np.searchsorted(np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["known"], "<u8"))] = np.frombuffer(row["frequencies"], "<i8")
+    return np.where(f > 0, np.log1p((n_docs - f + 0.5) / (f + 0.5)), 0.0).tobytes()
+
+
 class _Part:
     """Queries with the weight of each of their terms, their thresholds, and the best documents so far."""
 
-    def __init__(self, row: dict, n_docs: int, k: int):
+    def __init__(self, row: dict, k: int):
         self.part, self.k = row["part"], k
         self.ids = np.frombuffer(row["ids"], "<i8")
         sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
         self.terms = np.frombuffer(row["terms"], "<u8")
         self.place = np.frombuffer(row["place"], "<u4").astype(np.int64)
         self.of = np.repeat(np.arange(len(sizes)), sizes)
-        f = np.zeros(len(self.terms))
-        if row["known"]:
-            f[np.searchsorted(self.terms, np.frombuffer(row["known"], "<u8"))] = np.frombuffer(row["frequencies"], "<i8")
-        idf = np.where(f > 0, np.log1p((n_docs - f + 0.5) / (f + 0.5)), 0.0)
+        idf = np.frombuffer(row["idf"], "<f8")
         self.weight = np.frombuffer(row["counts"], "<u4") * idf[self.place]
         self.floor = np.frombuffer(row["floor"], "<f8").copy() if row.get("floor") else np.zeros(len(sizes))
         self.best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in sizes]
@@ -243,31 +248,33 @@ class _Shard:
         w[of[on], column[on]] = weight[on]
         entries, which = ranges(self.term_entry[at[~on]], self.term_entry[at[~on] + 1])
         rare_q, rare_w, at_block = of[~on][which], weight[~on][which], self.entry_block[entries]
-        bound = np.bincount(rare_q * nb + at_block, self.entry_max[entries] * rare_w, nq * nb).reshape(nq, nb)
-        bound = (bound + w @ self.greatest.T) * (1 + ROUNDING)
-        size = nb * BLOCK_DOCS
+        rare = np.bincount(rare_q * nb + at_block, self.entry_max[entries] * rare_w, nq * nb).reshape(nq, nb)
+        bound = (rare + w @ self.greatest.T) * (1 + ROUNDING)
         rank = np.empty((nq, nb), np.int64)
         np.put_along_axis(rank, np.argsort(-bound, 1, kind="stable"), np.arange(nb)[None], 1)
         own = np.searchsorted(of, np.arange(nq + 1))
         done = 0
-        for upto in (*WAVES, nb):
+        for upto in (nb,) if queries.floor.all() else (*WAVES, nb):  # a query without a threshold gets one from its first blocks
             todo = (rank >= done) & (rank < upto) & (bound > 0) & (bound >= queries.floor[:, None])
             done = max(done, upto)
-            # the other terms' part of each document's score, in the blocks of this wave
-            hit = todo[rare_q, at_block]
-            postings, which = ranges(self.entry_begin[entries[hit]], self.entry_begin[entries[hit] + 1])
-            rare = np.bincount(rare_q[hit][which] * size + self.rare_doc[postings], self.rare_impact[postings] * rare_w[hit][which], nq * size).reshape(nq, nb, BLOCK_DOCS)
-            found_q, found_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
             for b in np.flatnonzero(todo.any(0)):
                 who = np.flatnonzero(todo[:, b])
-                upper = (w[who] @ self.impacts[b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS].T + rare[who, b]) * (1 + ROUNDING)
+                common = w[who] @ self.impacts[b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS].T
+                upper = (common + rare[who, b][:, None]) * (1 + ROUNDING)
                 i, j = np.nonzero((upper > 0) & (upper >= queries.floor[who][:, None]))
-                found_q.append(who[i])
-                found_d.append(j + b * BLOCK_DOCS)
-            q, d = np.concatenate(found_q), np.concatenate(found_d)
-            q, d = q[d < len(self.ids)], d[d < len(self.ids)]
-            order = np.argsort(q, kind="stable")
-            q, d = q[order], d[order]
+                found.append((who[i], j + b * BLOCK_DOCS, common[i, j]))
+            q, d, common = (np.concatenate(x) for x in zip(*found, strict=True))
+            # the other terms' part of each document's score, where a document of the block is still in question
+            asked = np.zeros((nq, nb), bool)
+            asked[q, d // BLOCK_DOCS] = True
+            hit = asked[rare_q, at_block]
+            postings, which = ranges(self.entry_begin[entries[hit]], self.entry_begin[entries[hit] + 1])
+            others = np.bincount(rare_q[hit][which] * (nb * BLOCK_DOCS) + self.rare_doc[postings], self.rare_impact[postings] * rare_w[hit][which], nq * nb * BLOCK_DOCS).reshape(nq, -1)
+            upper = (common + others[q, d]) * (1 + ROUNDING)
+            kept = np.flatnonzero((upper > 0) & (upper >= queries.floor[q]) & (d < len(self.ids)))
+            kept = kept[np.argsort(q[kept], kind="stable")]
+            q, d = q[kept], d[kept]
             edges = [0, *(np.flatnonzero(np.diff(q)) + 1).tolist(), len(q)]
             for begin, end in zip(edges, edges[1:], strict=False):
                 if begin < end:
@@ -293,23 +300,25 @@ def _floors(seeds, k: int, n_docs: int, mean: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [_Part(row, n_docs, k) for row in b.to_pylist()]
+            rows = [row | {"idf": _idf(row, n_docs)} for row in b.to_pylist()]
+            parts = [_Part(row, k) for row in rows]
             for row in seeds.value if parts else []:  # one shard is held at a time
                 shard = _Shard(row, mean)
                 for queries in parts:
                     shard.visit(queries)
                 del shard
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p.floor.tobytes() for p in parts], pa.binary())], names=[*b.schema.names, "floor"])
+            names = ["part", "ids", "sizes", "terms", "place", "counts"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([r["idf"] for r in rows], pa.binary()), pa.array([p.floor.tobytes() for p in parts], pa.binary())], names=[*names, "idf", "floor"])
 
     return run
 
 
-def _search(shared, k: int, n_docs: int, mean: float):
+def _search(shared, k: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = None
         for b in batches:
             for i in range(len(b)):
-                parts = [_Part(row, n_docs, k) for row in shared.value] if parts is None else parts
+                parts = [_Part(row, k) for row in shared.value] if parts is None else parts
                 shard = _Shard(b.slice(i, 1).to_pylist()[0], mean)
                 for queries in parts:
                     shard.visit(queries)
@@ -373,14 +382,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, scratch: Scratch |
     seeds = [r.shard for r in index.where("n >= 1").select("shard").orderBy(F.xxhash64("shard")).limit(SEEDS).collect()]
     seeds = [r.asDict() for r in index.where(F.col("shard").isin(seeds)).collect()]  # SEEDS shards, each bounded by SHARD_BYTES or one text
     shared = spark.sparkContext.broadcast(seeds)
-    ready = parts.join(known, "part", "left").repartition(parallelism(spark), "part").mapInArrow(_floors(shared, k, n_docs, mean), f"{_PART}, known binary, frequencies binary, floor binary")
+    ready = parts.join(known, "part", "left").repartition(parallelism(spark), "part").mapInArrow(_floors(shared, k, n_docs, mean), f"{_PART}, idf binary, floor binary")
     ready = scratch.write(ready, "queries")
     shared.unpersist()
     rounds, held, size = [], [], 0
 
     def go() -> None:
         shared = spark.sparkContext.broadcast(list(held))  # ROUND_BYTES and one part at most
-        hits = index.mapInArrow(_search(shared, k, n_docs, mean), "part long, queries binary, docs binary, scores binary, rows binary")
+        hits = index.mapInArrow(_search(shared, k, mean), "part long, queries binary, docs binary, scores binary, rows binary")
         rounds.append(scratch.write(hits, f"hits-{len(rounds)}"))
         shared.unpersist()
 
@@ -406,4 +415,4 @@ def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
-    return search(docs, docs.where(every_50th(F.col("doc_id").cast("long"))))
+    return search(docs, docs.where(every_50th(F.col("doc_id").cast("long")))).withColumn("score", F.round("score", 6))

@@ -394,9 +394,10 @@ def test_search_prunes_and_stays_exact(monkeypatch):
     for row in parts:
         t = [x for x in np.frombuffer(row["terms"], "<i8").tolist() if x in df]
         row |= {"known": np.array(t, "<i8").tobytes(), "frequencies": np.array([df[x] for x in t], "<i8").tobytes()}
-        first = search._Part(row, n, 5)
+        row |= {"idf": search._idf(row, n)}
+        first = search._Part(row, 5)
         shards[0].visit(first)
-        queries = search._Part(row | {"floor": first.floor.tobytes()}, n, 5)
+        queries = search._Part(row | {"floor": first.floor.tobytes()}, 5)
         for shard in shards:
             shard.visit(queries)
         got |= {int(i): list(zip(d.tolist(), s.tolist(), strict=True)) for i, (d, s) in zip(queries.ids, queries.best, strict=True)}
