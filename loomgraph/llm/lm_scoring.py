@@ -170,4 +170,4 @@ def score(docs: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("score", "mean")})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from . import oracle
 from .bpe import op4_bpe
 from .embedding_dedup import op3_embedding_dedup
 from .language import op9_language
@@ -29,4 +30,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
