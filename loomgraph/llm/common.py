@@ -326,6 +326,3 @@ def byte_tokenizer(path: str):
 
     return ids
 
-
-def shuffled_by(df: DataFrame, *cols: str) -> DataFrame:
-    return df.repartition(parallelism(df.sparkSession), *[F.col(c) for c in cols])

@@ -46,7 +46,7 @@ CLUSTERS, TURNS = 64, 3  # of similar documents
 WAVES = (2, 16)  # blocks of the first waves of a query without threshold; the last takes the rest
 ROUNDING = 2e-4  # relative error of sums of DENSE products in single precision, and more
 LIKENESS = 512  # frequent terms by which documents are found alike
-SEEDS = 3
+SEEDS = 5
 PART_QUERIES, PART_BYTES = 128, 1 << 20
 ROUND_BYTES = 32 << 20
 _GAPS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")

@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_tokenizer, mix64, parallelism, shuffled_by, span_hashes, text_slices, vocabulary_size
+from .common import Scratch, byte_tokenizer, mix64, parallelism, span_hashes, text_slices, vocabulary_size
 
 WINDOW = 16  # ids under the rolling hash
 CUT_MASK = 0xFF  # one cut in 256 ids on average
 MIN_CHUNK, MAX_CHUNK = 64, 1024
+PART_BYTES = 64 << 20  # text of the corpus for one partition, at most about, of chunks or of recipes
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -157,11 +158,14 @@ class TokenStore:
         self.width = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def write(self, docs: DataFrame, tokenizer: str, end_id: int) -> "TokenStore":
-        staged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_stage(tokenizer, end_id, self.width), _STAGED_SQL)
-        once = shuffled_by(staged, "key").mapInArrow(_once, _STAGED_SQL)
+        source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        size = int(source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+        parts = max(parallelism(self.spark), size // PART_BYTES)
+        staged = source.mapInArrow(_stage(tokenizer, end_id, self.width), _STAGED_SQL)
+        once = staged.repartition(parts, "key").mapInArrow(_once, _STAGED_SQL)
         once.drop("key").write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{self.path}/objects")
         recipes = self._read("objects").where("kind = 'recipe'").select("doc_id", "n_tokens", "lens", "digests", "leaf")
-        ordered = recipes.repartitionByRange(parallelism(self.spark), F.col("doc_id").asc_nulls_first(), "leaf").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "leaf")
+        ordered = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "leaf").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "leaf")
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = row = 0
