@@ -19,7 +19,7 @@ from .model import MapGraph
 from .operators import algorithms, knowledge, vector_search
 from .operators import link_prediction as link_model
 from .plans import compiler
-from .session import PROCEDURES
+from .session import PROCEDURES, GraphSession
 from .sources import files, views
 from .sources.views import table
 from .streaming import triangles as stream
@@ -117,6 +117,8 @@ CYPHER: dict[str, tuple[str, str, str]] = {
     "except": ("commerce", "MATCH (n:Nation) RETURN n.n_nationkey AS k EXCEPT MATCH (s:Supplier) RETURN s.s_nationkey AS k", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier"),
     "except_all": ("commerce", "MATCH (c:Customer) RETURN c.c_nationkey AS k EXCEPT ALL MATCH (s:Supplier) RETURN s.s_nationkey AS k", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier"),
     "return_node": ("commerce", "MATCH (n:Nation) WITH n AS m WHERE m.n_nationkey < 9 WITH collect(m) AS ms UNWIND ms AS x RETURN x.n_nationkey AS k, x.n_name AS name", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey < 9"),
+    "map_value": ("commerce", "MATCH (n:Nation) WITH {k: n.n_nationkey, name: n.n_name} AS m WHERE m.k < 12 RETURN m.name AS name, m.k + 1 AS next", "SELECT n_name AS name, n_nationkey + 1 AS next FROM nation WHERE n_nationkey < 12"),
+    "order_mixed_nulls": ("commerce", "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:IN_NATION]-(s:Supplier) WHERE s.s_acctbal > 5000 WITH n, max(s.s_acctbal) AS top RETURN n.n_nationkey AS k ORDER BY top DESC, k LIMIT 12", "SELECT n_nationkey AS k FROM nation LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS top FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON s_nationkey = n_nationkey ORDER BY top DESC NULLS FIRST, k LIMIT 12"),
     "unwind_stored_list": ("commerce", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, collect(n.n_name) AS names UNWIND names AS name RETURN r.r_name AS region, name", "SELECT r_name AS region, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "call_procedure": ("copurchase", "CALL algo.triangleCount() YIELD n_triangles AS n RETURN n", f"SELECT count(*) AS n FROM ({_TRI.format(e=_CO)})"),
 }
@@ -245,6 +247,23 @@ def _stream_triangles(spark, root, edges):
     return s.total()
 
 
+def _stream_recount(spark, root, edges):
+    s = stream.TriangleStream(spark, f"{root}/state")
+    s.start(edges, f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return s.recount()
+
+
+def stream_windows(spark, sf_dir):
+    """Events by type and hour, from a stream of files with a watermark."""
+    root = _shared_folder(spark, "windows")
+    views.event_edges(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "type").repartition(3).write.parquet(f"{root}/in")
+    events = spark.readStream.schema("ts timestamp, type string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    name = "windows_" + root[-32:]
+    q = stream.windowed_edges(events, late="3650 days").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "type", "n_edges")
+
+
 def _stream_dedup(spark, root, edges):
     q = stream.deduplicated(edges).select("src", "dst", "eid", "type").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -331,6 +350,43 @@ def rdf_roundtrip(spark, sf_dir):
     return found.select(F.col("src_name").alias("s"), F.col("name").alias("p"), F.col("dst_name").alias("o"))
 
 
+def json_attributes_roundtrip(spark, sf_dir):
+    path = _shared_folder(spark, "json")
+    table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vertex_id"), F.struct("p_size", "p_brand").alias("features")).write.json(path)
+    a = files.json_attributes(spark, path, "vertex_id long, features struct<p_size:int,p_brand:string>")
+    return a.select(F.col("vertex_id").alias("id"), F.col("features.p_size").alias("size"), F.col("features.p_brand").alias("brand"))
+
+
+def xml_attributes_roundtrip(spark, sf_dir):
+    path = _shared_folder(spark, "xml")
+    table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vertex_id"), "p_size", "p_brand").write.format("xml").option("rootTag", "parts").option("rowTag", "part").save(path)
+    return files.xml_attributes(spark, path, "part", "vertex_id long, p_size int, p_brand string").select(F.col("vertex_id").alias("id"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))
+
+
+def rdf_xml_roundtrip(spark, sf_dir):
+    """Orders as articles whose authors are their parts, in the order of the parts' numbers as text."""
+    path = _shared_folder(spark, "articles")
+    o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("title")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("author"))
+    o.select("author", "title").write.format("xml").option("rootTag", "articles").option("rowTag", "article").save(path)
+    edges, authors = files.rdf_xml(spark, path)
+    names = lambda c: authors.select(F.col("id").alias(c), F.col("name").alias(c + "_name"))
+    return edges.join(names("src"), "src").join(names("dst"), "dst").select("title", F.col("src_name").alias("a"), F.col("dst_name").alias("b"))
+
+
+def parameters(spark, sf_dir):
+    text = "MATCH (c:Customer) WHERE c.c_mktsegment = $segment AND c.c_nationkey IN [$first, $second] RETURN c.c_custkey AS id"
+    return compiler.run(spark, views.commerce(spark, sf_dir), text, {"segment": "BUILDING", "first": 3, "second": 9}).rows
+
+
+def catalog_list(spark, sf_dir):
+    s = GraphSession(spark)
+    s.add_pairs("events", _event_graph(spark, sf_dir).select("src", "dst"))
+    s.add("people", _people(spark, sf_dir))
+    s.add("gone", _people(spark, sf_dir))
+    s.catalog.remove("gone")
+    return s.run_command("lst").select("id", "name", "status", "is_directed")
+
+
 def citation_roundtrip(spark, sf_dir):
     """Orders as papers that cite the parts they hold."""
     path = _shared_folder(spark, "citations")
@@ -377,6 +433,11 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "property_graph_roundtrip": (property_graph_roundtrip, "SELECT CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderkey AS VARCHAR) AS o FROM orders WHERE o_orderstatus = 'P'"),
     "text_attributes_roundtrip": (text_attributes_roundtrip, "SELECT p_partkey AS id, p_size AS a, p_size * 300 AS b FROM part"),
     "rdf_triples_roundtrip": (rdf_roundtrip, "SELECT n_name AS s, 'in' AS p, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "json_attributes_roundtrip": (json_attributes_roundtrip, "SELECT p_partkey AS id, p_size AS size, p_brand AS brand FROM part"),
+    "xml_attributes_roundtrip": (xml_attributes_roundtrip, "SELECT p_partkey AS id, p_size AS size, p_brand AS brand FROM part"),
+    "rdf_xml_roundtrip": (rdf_xml_roundtrip, "WITH x AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS title, CAST(l_partkey AS VARCHAR) AS p FROM lineitem) SELECT a.title, a.p AS a, b.p AS b FROM x a JOIN x b ON a.title = b.title AND a.p < b.p"),
+    "parameters": (parameters, "SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (3, 9)"),
+    "catalog_list": (catalog_list, "SELECT * FROM (VALUES (1, 'events', 'op', true), (2, 'people', 'op', true)) AS t(id, name, status, is_directed)"),
     "citation_roundtrip": (citation_roundtrip, "SELECT CAST(l_orderkey AS VARCHAR) AS src, CAST(l_partkey AS VARCHAR) AS dst FROM lineitem"),
     "pagerank_10": (pagerank_10, _pagerank_sql(10)),
     "knn_l2": (knn_l2, "SELECT e.vec_id, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) ** 2, 5) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), e.vec_id LIMIT 10"),
@@ -385,6 +446,8 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "beam_search": (beam_search, None),
     "stream_ingest_dedup": (_stream(_stream_dedup), f"SELECT type, count(*) AS n FROM {_EV} GROUP BY type"),
     "stream_triangles": (_stream(_stream_triangles), f"SELECT count(*) AS n_triangles FROM ({_TRI.format(e=_EVC)})"),
+    "stream_triangles_recount": (_stream(_stream_recount), f"SELECT count(*) AS n_triangles FROM ({_TRI.format(e=_EVC)})"),
+    "stream_windows": (stream_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type AS type, count(*) AS n_edges FROM events WHERE user_id IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2"),
     "stream_degree": (_stream(_stream_degree), f"SELECT src AS id, count(*) AS n_edges FROM {_EV} GROUP BY src"),
     "edge_list_export_roundtrip": (edge_list_roundtrip, f"SELECT src, dst FROM {_EV}"),
     "kg_canonicalise": (kg_canonicalise, "SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type || ' / -X-'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM part"),
