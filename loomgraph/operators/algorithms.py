@@ -124,20 +124,20 @@ def neighbour_scores(edges: DataFrame, pairs: DataFrame | None = None) -> DataFr
     c = canonical(edges)
     sym = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = sym.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("deg"))
-    weighted = sym.join(degree.select(F.col("id").alias("b"), F.col("deg").alias("d")), "b")
-    left = weighted.select(F.col("b").alias("mid"), F.col("a").alias("x"), "d")
+    # degrees are joined to the edges, which are fewer than the pairs
+    weighted = sym.join(degree.select(F.col("id").alias("b"), F.col("deg").alias("d")), "b").join(degree.select(F.col("id").alias("a"), F.col("deg").alias("da")), "a")
+    left = weighted.select(F.col("b").alias("mid"), F.col("a").alias("x"), "d", F.col("da").alias("dx"))
     shares = F.ceil(F.col("d") / HUB).cast("int")  # the pairs of a hub's neighbours are made in so many tasks
     if pairs is not None:
         wanted = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-        shared = wanted.join(left, "x").join(sym.select(F.col("b").alias("mid"), F.col("a").alias("y")), ["mid", "y"])
+        shared = wanted.join(left, "x").join(weighted.select(F.col("b").alias("mid"), F.col("a").alias("y"), F.col("da").alias("dy")), ["mid", "y"])
     else:
         dealt = left.withColumn("share", F.pmod(F.xxhash64("x"), shares).cast("int"))
-        others = weighted.select(F.col("b").alias("mid"), F.col("a").alias("y"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+        others = weighted.select(F.col("b").alias("mid"), F.col("a").alias("y"), F.col("da").alias("dy"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
         shared = dealt.join(others, ["mid", "share"]).where("x < y")
-    s = shared.groupBy("x", "y").agg(F.count("*").alias("common"), F.sum(1 / F.log("d")).alias("adamic_adar"))
+    s = shared.groupBy("x", "y", "dx", "dy").agg(F.count("*").alias("common"), F.sum(1 / F.log("d")).alias("adamic_adar"))
     if pairs is None:
         s = s.join(c.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
-    s = s.join(degree.select(F.col("id").alias("x"), F.col("deg").alias("dx")), "x").join(degree.select(F.col("id").alias("y"), F.col("deg").alias("dy")), "y")
     return s.select(F.col("x").alias("a"), F.col("y").alias("b"), "common", (F.col("common") / (F.col("dx") + F.col("dy") - F.col("common"))).alias("jaccard"), "adamic_adar")
 
 

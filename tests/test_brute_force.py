@@ -120,17 +120,18 @@ def test_beam_search_against_brute_force(spark):
 
 
 def test_link_model_with_vectors_is_saved_and_loaded(spark, tmp_path):
-    groups = [[g * 30 + i for i in range(30)] for g in range(4)]
-    pairs = [tuple(RNG.sample(g, 2)) for g in groups for _ in range(120)] + [(RNG.randrange(120), RNG.randrange(120)) for _ in range(160)]
+    rng = random.Random(8)  # edges are mostly inside groups, which the vectors tell
+    groups = [[g * 60 + i for i in range(60)] for g in range(4)]
+    pairs = [tuple(rng.sample(g, 2)) for g in groups for _ in range(300)] + [(rng.randrange(240), rng.randrange(240)) for _ in range(300)]
     e = graph(spark, pairs)
-    vectors = spark.createDataFrame([(v, [float(g == k) + RNG.uniform(-0.2, 0.2) for k in range(4)]) for g, vs in enumerate(groups) for v in vs], "id long, embedding array<double>")
+    vectors = spark.createDataFrame([(v, [float(g == k) + rng.uniform(-0.2, 0.2) for k in range(4)]) for g, vs in enumerate(groups) for v in vs], "id long, embedding array<double>")
     plain, rich = link_prediction.train(e), link_prediction.train(e, vectors=vectors)
-    assert 0.4 < plain.auc <= 1 and rich.auc > 0.6
+    assert 0.5 < plain.auc <= 1 and rich.auc > 0.6
     rich.save(f"file://{tmp_path}/model")
     again = link_prediction.Trained.load(f"file://{tmp_path}/model")
     assert again.auc == rich.auc
     a, b = ({(r.a, r.b): r.probability for r in m.predict(e, vectors).collect()} for m in (rich, again))
-    assert a == b and all(0 <= p <= 1 for p in a.values())
+    assert a == pytest.approx(b, abs=1e-9) and all(0 <= p <= 1 for p in a.values())  # sums come in any order
 
 
 # --------------------------------------------------------------------------- Cypher
