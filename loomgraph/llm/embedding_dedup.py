@@ -22,6 +22,7 @@ A link at exactly the threshold counts. Extra columns are ignored, whatever thei
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ THRESHOLD = 0.98
 PASSES, REACH = 12, 24
 BITS = 63  # signs in a sort key
 CELL, PIVOTS = 4096, 2048  # representatives for a pivot; pivots of a label, about, at most
+ALL_PIVOTS = 65_536  # of all labels, about, at most
 BLOCK = 1024  # vectors on either side of a tile
 
 
@@ -160,6 +162,8 @@ def _pivots(heads: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     alone = heads.where(F.col("id") == F.col("group")).withColumn("size", F.expr("length(vec) div 8"))
     sizes = alone.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     step = F.greatest(F.lit(CELL), F.ceil(F.col("n") / PIVOTS))
+    wanted = sizes.agg(F.coalesce(F.sum(F.col("n") / step), F.lit(0.0))).first()[0]
+    step = step * max(1, math.ceil(wanted / ALL_PIVOTS))  # many large labels get larger cells, so that what is sent to the tasks stays bounded
     chosen: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
     for r in alone.join(sizes, keys).where(F.pmod(F.xxhash64("id"), step) == 0).select(*keys, "id", "vec").toLocalIterator():
         chosen.setdefault((r.label, r.size), []).append((r.id, bytes(r.vec)))

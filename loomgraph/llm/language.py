@@ -29,6 +29,7 @@ from .common import lean_batches, mix64, text_slices
 
 N = 4
 MAX_DOCS = 2000  # documents of each language that learn() reads, about
+MAX_LANGUAGES = 512  # languages that learn() takes at most, the most frequent first
 MIN_SHARE = 2e-5
 PROBES = 3
 SLOTS_LOG = 20
@@ -97,11 +98,11 @@ def _probes(grams: np.ndarray) -> list[np.ndarray]:
     return [((a + np.uint64(i) * b) & np.uint64((1 << SLOTS_LOG) - 1)).astype(np.int64) for i in range(PROBES)]
 
 
-def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Filter:
-    """docs: doc_id, text, lang; rows without lang are left out. The driver gets a count per language and at most 1 / MIN_SHARE n-grams of each."""
+def learn(docs: DataFrame, max_docs: int = MAX_DOCS, max_languages: int = MAX_LANGUAGES) -> Filter:
+    """docs: doc_id, text, lang; rows without lang are left out. The driver gets a count and at most 1 / MIN_SHARE n-grams of max_languages languages."""
     lean_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and doc_id is not null")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not counts:
         return Filter([], np.zeros((1, 1), np.uint64), np.zeros(0))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))

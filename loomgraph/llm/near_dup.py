@@ -11,7 +11,8 @@ Documents whose sets of word ``SHINGLE``-grams have a Jaccard similarity of ``th
    classes waits: the other trees are shortened further in its place, and only if the recall is still short are such dense
    trees shortened too, the smallest node first. So dense neighbourhoods are told apart by longer prefixes at the same recall.
 3. A node that some document came to rest at, with up to ``NODE`` classes, compares the min-hashes of all its pairs and
-   proposes those that do not differ too much (a forest of them leaves). A larger one proposes its members as one group, by a star to its least member; no pair
+   proposes those that do not differ too much (a forest of them leaves; a pair at the threshold is left out with probability
+   3e-6, which the target leaves room for). A larger one proposes its members as one group, by a star to its least member; no pair
    of it is spelled out.
 4. Proposals make groups (connected components). Inside each, all pairs are verified exactly on their full shingle
    sets, in tiles of two blocks, with bit maps over the shingles that a tile shares. Only link counts and stars leave.
