@@ -271,11 +271,12 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     width_log = int(np.clip(int(anchors).bit_length() + CELLS_PER_ANCHOR_LOG, MIN_WIDTH_LOG, MAX_WIDTH_LOG))
     bits = np.zeros((DEPTH, 1 << (width_log - 3)), np.uint8)
     part = 1 << (width_log - RANGES_LOG - 3)
-    for r in sketches.drop("n").repartition(DEPTH << RANGES_LOG, "row", "range").mapInArrow(_merge(width_log), "row int, range int, bits binary").toLocalIterator():  # at most DEPTH << MAX_WIDTH_LOG bits
+    merged = sketches.drop("n").repartition(min(DEPTH << RANGES_LOG, parallelism(spark)), "row", "range").mapInArrow(_merge(width_log), "row int, range int, bits binary")
+    for r in scratch.write(merged, "bits").toLocalIterator():  # at most DEPTH << MAX_WIDTH_LOG bits
         bits[r.row, r.range * part : (r.range + 1) * part] = np.frombuffer(r.bits, np.uint8)
     shared = spark.sparkContext.broadcast(bits)
     del bits
-    scratch.drop("sketches")
+    scratch.drop("sketches", "bits")
     buckets = max(parallelism(spark), int(anchors) * (WINDOW - GRAM + 1) // 2 // WINDOWS_PER_BUCKET + 1)
     found = source.mapInArrow(_candidates(shared, width_log, buckets, window), _ROWS)
     settled = scratch.write(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), _ROWS), "removed")
