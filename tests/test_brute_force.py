@@ -254,3 +254,17 @@ def test_model_and_search_commands(spark, tmp_path):
     assert s.run_command("predict|g|m").columns == ["a", "b", "probability"]
     spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(40)], "id string, embedding array<double>").write.parquet(f"file://{tmp_path}/v")
     assert s.run_command(f"sbs|g|file://{tmp_path}/v|3,1").count() == 10
+
+
+def test_the_package_can_be_sent_to_executors(spark):
+    import loomgraph
+
+    loomgraph.ship(spark)
+    assert any(f.endswith("loomgraph.zip") for f in spark.sparkContext.listFiles)
+
+    def where(_):
+        import loomgraph.operators.algorithms as a
+
+        return [a.__name__]
+
+    assert set(spark.sparkContext.parallelize(range(2), 2).mapPartitions(where).collect()) == {"loomgraph.operators.algorithms"}
