@@ -203,6 +203,8 @@ def _choose(shortest: int, longest: int, threshold: float):
             for d in np.flatnonzero(dense):
                 own = np.arange(ends[d - 1] if d else 0, ends[d])
                 keys, tree = np.unique(key[own], return_inverse=True)
+                if len(keys) > TREES:  # several texts under one doc_id: they rest where documents usually do
+                    continue
                 sizes = np.ones((TREES, longest - shortest + 1))
                 sizes[tree, length[own] - shortest] = n[own]
                 chosen[own] = length[own] == rest_at(sizes, shortest, longest, threshold)[tree]

@@ -143,6 +143,25 @@ def test_large_groups_go_by_tiles(spark, monkeypatch):
     assert all(got[i].n_links == 22 and got[i].class_id == 0 for i in range(23)) and all(got[i].n_links == 0 for i in range(23, 28))
 
 
+def test_dense_nodes_are_left_for_longer_prefixes():
+    import pyarrow as pa
+
+    shortest, longest = near_dup.lengths_of_use(0.8)
+    usual, lengths = near_dup.prefix_length(0.8), range(shortest, longest + 1)
+    crowd = lambda tree: 500 if tree < 4 else 2
+    of = lambda trees: ([t for t in range(trees) for _ in lengths], [k for _ in range(trees) for k in lengths], [0] * trees * len(lengths), [crowd(t) for t in range(trees) for _ in lengths])
+    docs = [of(near_dup.TREES), of(2 * near_dup.TREES), ([7], [usual], [1], [2])]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array([d[i] for d in docs[:1]], pa.list_(t)) for i, t in enumerate(kinds)], names=["keys", "lengths", "prefixes", "sizes"])
+    (out,) = near_dup._choose(shortest, longest, 0.8)(iter([batch]))
+    at = dict(zip(out.column("key").to_pylist(), out.column("length").to_pylist(), strict=True))
+    assert all(at[t] > usual for t in range(4)) and all(at[t] < usual or at[t] == usual for t in range(4, near_dup.TREES))
+    assert near_dup.recall(np.array(list(at.values())), 0.8) >= near_dup.TARGET_RECALL
+    batch = pa.RecordBatch.from_arrays([pa.array([d[i] for d in docs[1:]], pa.list_(t)) for i, t in enumerate(kinds)], names=["keys", "lengths", "prefixes", "sizes"])
+    (out,) = near_dup._choose(shortest, longest, 0.8)(iter([batch]))
+    assert set(out.column("length").to_pylist()) == {usual}
+
+
 def test_prefixes_shorten_until_the_recall():
     assert near_dup.prefix_length(0.6) < near_dup.prefix_length(0.7) < near_dup.prefix_length(0.8) <= near_dup.DEEPEST - near_dup.MORE
     shortest, longest = near_dup.lengths_of_use(0.8)
