@@ -47,7 +47,7 @@ WAVES = (2, 16)  # blocks of the first waves of a query without threshold; the l
 ROUNDING = 2e-4  # relative error of sums of DENSE products in single precision, and more
 LIKENESS = 512  # frequent terms by which documents are found alike
 SEEDS = 5
-PART_QUERIES, PART_BYTES = 128, 1 << 20
+PART_QUERIES, PART_BYTES = 192, 3 << 19
 ROUND_BYTES = 32 << 20
 _GAPS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
