@@ -64,6 +64,10 @@ class Scratch:
         (writer.partitionBy(*by) if by else writer).parquet(self.path(table))
         return self.read(table)
 
+    def release(self) -> None:
+        """Shuffle files that only finished writes needed are removed now, and not when the driver's memory runs short."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(table))
 

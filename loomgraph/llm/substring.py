@@ -280,6 +280,7 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     buckets = max(parallelism(spark), int(anchors) * (WINDOW - GRAM + 1) // 2 // WINDOWS_PER_BUCKET + 1)
     found = source.mapInArrow(_candidates(shared, width_log, buckets, window), _ROWS)
     settled = scratch.write(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(buckets), _ROWS), "removed")
+    scratch.release()
     return settled.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc long, tie int, starts binary")
 
 
