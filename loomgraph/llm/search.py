@@ -1,21 +1,22 @@
-"""Exact BM25 top-k search over an inverted index with block-max pruning.
+"""Exact BM25 top-k search over an inverted index: estimates of all scores, exact ones where an estimate reaches the threshold.
 
 Index: documents are taken in shards of ``SHARD_DOCS`` neighbouring rows, or fewer with ``SHARD_BYTES`` of text (a longer
 text is a shard of its own). A shard is one row of the index table and holds, for each of its terms, the postings
-(document, frequency) in document order. Similar documents get neighbouring places in a shard, so that the blocks of
-``BLOCK_DOCS`` places have low greatest impacts. Document frequencies, the number of documents and their mean length are
+(document, frequency) in document order. Document frequencies, the number of documents and their mean length are
 those of all shards: the shards' counts are added up by term and joined to the terms of the queries.
 
-Search, in each shard: the sum of a query's greatest impacts in a block bounds every score in it. Blocks are taken in
-waves from the greatest bound on; a block below the query's threshold is never scored. In the blocks of a wave each
-document has a closer bound, and only those that reach the threshold are scored, in double precision. After each wave
-the threshold rises to the k-th best score so far over all shards that the task has seen. It does not start at zero:
-before the search, each query is answered from ``SEEDS`` shards, and the k-th best score there is a true lower bound of
-the k-th best of all. No document that could enter is left out. Each task returns its k best per query, and merging
-them is exact because all scores use the same global statistics.
+Search: a task joins neighbouring shards up to ``JOINED_DOCS`` documents, as much of a query's work comes once for each.
+Every document's score is estimated for every query: the frequent terms by one matrix product for a part of the queries,
+the others by adding up their postings, in which a document and its weighted impact share one number. The estimate is off by
+less than ``ROUNDING``; documents whose estimate reaches the query's threshold are scored in double precision, all
+others can't enter. The threshold is the k-th best score so far over all shards that the task has seen. It does not start
+at zero: before the search, each query is answered from ``SEEDS`` shards, and the k-th best score there is a true lower
+bound of the k-th best of all. Each task returns its k best per query, and merging them is exact because all scores use the
+same global statistics. There are no bounds of blocks: texts that share only common words leave a third of the blocks in question,
+and the bounds cost more than the sums.
 
 Queries go out in rounds of at most ``ROUND_BYTES``, so that what is broadcast does not grow with the query set. A shard
-is read where its row is stored; the index is never shuffled.
+is read where its row is stored, once for each round; the index is never shuffled.
 
 Terms are runs of letters, digits and combining marks of the lower-cased text, known by 64 bits of hash: of 1e9 distinct
 terms about 0.03 pairs are expected to share one. Ties in score go to the smaller doc_id.
@@ -35,20 +36,24 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, Words, pack_ints, parallelism, ranges, text_blocks, unpack_ints, with_part
+from .common import SLICE_BYTES, Scratch, Words, expand, pack_ints, parallelism, ranges, squeeze, text_blocks, unpack_ints, with_part
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_BYTES = 8192, 16 << 20
-BLOCK_DOCS = 16
-DENSE = 2048  # terms of a shard, at most, whose postings are kept as columns, and
-DENSE_SHARE = 128  # in how many documents, one of these, such a term occurs at least
+BLOCK_DOCS = 16  # documents of a shard with no more than two such blocks are ordered by length only
+DENSE = 2048  # terms of a shard, at most, whose postings are kept as rows of a matrix, and
+DENSE_SHARE = 10  # in how many documents, one of these, such a term occurs at least
+JOINED_DOCS, JOINED_BYTES = 16384, 48 << 20  # shards that are searched as one, at most (the bytes are those of a shard's row)
+LONG = 128  # postings of a term, from which on they are copied as one piece
+REPEATS = 4  # of a word in a query, up to which its postings are added again and again
+DOC_BITS = 16  # for places in a shard
 CLUSTERS, TURNS = 64, 3  # of similar documents
-WAVES = (2, 16)  # blocks of the first waves of a query without threshold; the last takes the rest
+WAVES = (1,)  # a query without threshold gets one from so many times k documents, those that look best
 ROUNDING = 2e-4  # relative error of sums of DENSE products in single precision, and more
 LIKENESS = 512  # frequent terms by which documents are found alike
 SEEDS = 5
 PART_QUERIES, PART_BYTES = 192, 3 << 19
-ROUND_BYTES = 32 << 20
+ROUND_BYTES = 48 << 20
 _GAPS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
 
@@ -130,7 +135,7 @@ def _query_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, ids, raw in text_blocks(batches, PART_QUERIES, PART_BYTES):
         doc, term, count, _ = _terms(raw)
         terms, place = np.unique(term, return_inverse=True)
-        row = [part, np.array(ids, "<i8").tobytes(), np.bincount(doc, minlength=len(ids)).astype("<u4").tobytes(), terms.astype("<u8").tobytes(), place.astype("<u4").tobytes(), count.astype("<u4").tobytes()]
+        row = [part, np.array(ids, "<i8").tobytes(), np.bincount(doc, minlength=len(ids)).astype("<u4").tobytes(), terms.astype("<u8").tobytes(), squeeze(pack_ints(np.diff(place.astype(np.uint32), prepend=np.uint32(0)), 4)), squeeze(pack_ints(count, 4))]
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "ids", "sizes", "terms", "place", "counts"])
 
 
@@ -176,15 +181,20 @@ class _Part:
 
     def __init__(self, row: dict, k: int):
         self.part, self.k = row["part"], k
+        self.row = row
         self.ids = np.frombuffer(row["ids"], "<i8")
-        sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
-        self.terms = np.frombuffer(row["terms"], "<u8")
-        self.place = np.frombuffer(row["place"], "<u4").astype(np.int64)
-        self.of = np.repeat(np.arange(len(sizes)), sizes)
-        idf = np.frombuffer(row["idf"], "<f8")
-        self.weight = np.frombuffer(row["counts"], "<u4") * idf[self.place]
-        self.floor = np.frombuffer(row["floor"], "<f8").copy() if row.get("floor") else np.zeros(len(sizes))
-        self.best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in sizes]
+        self.floor = np.frombuffer(row["floor"], "<f8").copy() if row.get("floor") else np.zeros(len(self.ids))
+        self.best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in self.ids]
+
+    def expanded(self) -> tuple[np.ndarray, ...]:
+        """The part's terms; for each term of each query its place among them, its count and the query; and the terms' idf.
+
+        Not kept, as a task holds all parts of a round.
+        """
+        sizes = np.frombuffer(self.row["sizes"], "<u4").astype(np.int64)
+        place = np.cumsum(unpack_ints(expand(self.row["place"]), 4).astype(np.uint32), dtype=np.uint32).astype(np.int64)
+        count = unpack_ints(expand(self.row["counts"]), 4).astype(np.int64)
+        return np.frombuffer(self.row["terms"], "<u8"), place, count, np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(self.row["idf"], "<f8")
 
     def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
         ids, scores = (np.concatenate(x) for x in zip(self.best[q], (ids, scores), strict=True))
@@ -195,6 +205,48 @@ class _Part:
 
 
 # --------------------------------------------------------------------------- search
+def _joined(rows: list[dict]) -> dict:
+    """Shards as one."""
+    if len(rows) == 1:
+        return rows[0]
+    terms, sizes = [np.cumsum(unpack_ints(r["terms"], 8)) for r in rows], [unpack_ints(r["sizes"], 4).astype(np.int64) for r in rows]
+    first = np.cumsum([0, *(r["n"] for r in rows)])
+    docs = np.concatenate([np.frombuffer(r["docs"], "<u2") + x for r, x in zip(rows, first.tolist(), strict=False)])
+    counts, sizes = np.concatenate([unpack_ints(r["counts"], 4) for r in rows]), np.concatenate(sizes)
+    terms, place = np.unique(np.concatenate(terms), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    end = np.cumsum(sizes)
+    at, _ = ranges((end - sizes)[order], end[order])
+    sizes = np.bincount(place, sizes, len(terms))
+    return {"ids": b"".join(r["ids"] for r in rows), "lengths": b"".join(r["lengths"] for r in rows), "terms": pack_ints(np.diff(terms, prepend=np.uint64(0)), 8), "sizes": pack_ints(sizes, 4), "docs": docs[at].astype("<u2").tobytes(), "counts": pack_ints(counts[at], 4)}
+
+
+def _together(rows: Iterator[dict]) -> Iterator[dict]:
+    """Neighbouring shards as one, up to the size that a task can hold: what a query costs for each shard is paid more rarely."""
+    held, n, size = [], 0, 0
+    for row in rows:
+        own = sum(len(x) for x in row.values() if isinstance(x, (bytes, bytearray)))
+        if held and (n + row["n"] > JOINED_DOCS or size + own > JOINED_BYTES):
+            yield _joined(held)
+            held, n, size = [], 0, 0
+        held.append(row)
+        n, size = n + row["n"], size + own
+    if held:
+        yield _joined(held)
+
+
+def _marks(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64) & ((1 << DOC_BITS) - 1)
+
+
+def _mark(x: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Puts documents in place of the last bits of doubles, which changes these by less than 2**-35 of their size."""
+    bits = x.view(np.int64)
+    bits &= -1 << DOC_BITS
+    bits |= docs
+    return x
+
+
 class _Shard:
     def __init__(self, row: dict, mean: float):
         self.ids = np.frombuffer(row["ids"], "<i8")
@@ -205,94 +257,120 @@ class _Shard:
         docs = np.frombuffer(row["docs"], "<u2")
         tf = unpack_ints(row["counts"], 4).astype(np.uint32)
         self.norm = K1 * (1 - B + B * length / max(mean, 1e-9))
-        # impacts less idf, which the queries bring; in single precision, for bounds. Scores are taken from tf and norm.
-        impact = tf.astype(np.float32)
-        impact *= np.float32(K1 + 1) / (impact + self.norm.astype(np.float32)[docs])
-        term = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.blocks = -(-n // BLOCK_DOCS)
-        # frequent terms: a column of impacts each; and each block's greatest
-        columns = _frequent(sizes, n, DENSE)
-        self.column = np.full(len(sizes), -1, np.int32)
-        self.column[columns] = np.arange(len(columns), dtype=np.int32)
-        column = self.column[term]
-        on = column >= 0
-        self.impacts = np.zeros((self.blocks * BLOCK_DOCS, len(columns)), np.float32)
-        self.impacts[docs[on], column[on]] = impact[on]
-        self.greatest = self.impacts.reshape(self.blocks, BLOCK_DOCS, -1).max(1)
-        # other terms: an entry for each block that holds one, with the greatest impact there
-        on = ~on
-        t, self.rare_doc, self.rare_impact = term[on], docs[on].astype(np.int32), impact[on]
-        del impact, column, on
-        b, x = self.rare_doc // BLOCK_DOCS, self.rare_impact
-        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(t)), bool), (t[1:] != t[:-1]) | (b[1:] != b[:-1])]))
-        self.entry_begin, self.entry_block = np.append(begin, len(t)), b[begin]
-        self.entry_max = np.maximum.reduceat(x, begin) if len(begin) else np.zeros(0, np.float32)
-        self.term_entry = np.searchsorted(t[begin], np.arange(len(sizes) + 1))
+        # postings by term, for estimates: impacts less idf, which the queries bring, with the document in the last bits
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.postings = self.norm[docs]
+        self.postings += tf
+        np.divide(tf, self.postings, out=self.postings)
+        self.postings *= K1 + 1
+        self.weighed = np.zeros(len(sizes), bool)  # the terms whose postings have been multiplied by idf
+        # frequent terms: a row of impacts each, in single precision and without idf
+        dense = _frequent(sizes, n, DENSE)
+        self.row = np.full(len(sizes), -1, np.int32)
+        self.row[dense] = np.arange(len(dense), dtype=np.int32)
+        self.impacts = np.zeros((len(dense), n), np.float32)
+        for i, x in enumerate(dense.tolist()):
+            own = slice(self.begin[x], self.begin[x + 1])
+            self.impacts[i, docs[own]] = self.postings[own]
+        _mark(self.postings, docs)
         # the postings by document
         order = np.argsort(docs, kind="stable")
-        self.doc_term, self.doc_tf = term[order], tf[order]
+        self.doc_term, self.doc_tf = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order], tf[order]
         self.doc_begin = np.searchsorted(docs[order], np.arange(n + 1))
-        self.weight = np.zeros(len(sizes))  # of a query's terms, while it is scored
+
+    def _weigh(self, terms: np.ndarray, idf: np.ndarray) -> None:
+        """Brings idf to the postings of terms that no query had yet; it is the same for all queries."""
+        new = ~self.weighed[terms]
+        terms, idf = terms[new], idf[new]
+        at, of = ranges(self.begin[terms], self.begin[terms + 1])
+        found = self.postings[at]
+        self.postings[at] = _mark(found * idf[of], _marks(found))
+        self.weighed[terms] = True
 
     def visit(self, queries: _Part) -> None:
         if not len(self.terms):
             return
-        nq, nb = len(queries.ids), self.blocks
-        at = np.minimum(np.searchsorted(self.terms, queries.terms), len(self.terms) - 1)
-        at = np.where(self.terms[at] == queries.terms, at, -1)[queries.place]
-        here = (at >= 0) & (queries.weight > 0)
-        at, of, weight = at[here], queries.of[here], queries.weight[here]
-        column = self.column[at]
-        on = column >= 0
-        w = np.zeros((nq, self.impacts.shape[1]), np.float32)
-        w[of[on], column[on]] = weight[on]
-        entries, which = ranges(self.term_entry[at[~on]], self.term_entry[at[~on] + 1])
-        rare_q, rare_w, at_block = of[~on][which], weight[~on][which], self.entry_block[entries]
-        rare = np.bincount(rare_q * nb + at_block, self.entry_max[entries] * rare_w, nq * nb).reshape(nq, nb)
-        bound = (rare + w @ self.greatest.T) * (1 + ROUNDING)
-        rank = np.empty((nq, nb), np.int64)
-        np.put_along_axis(rank, np.argsort(-bound, 1, kind="stable"), np.arange(nb)[None], 1)
-        own = np.searchsorted(of, np.arange(nq + 1))
-        done = 0
-        for upto in (nb,) if queries.floor.all() else (*WAVES, nb):  # a query without a threshold gets one from its first blocks
-            todo = (rank >= done) & (rank < upto) & (bound > 0) & (bound >= queries.floor[:, None])
-            done = max(done, upto)
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-            for b in np.flatnonzero(todo.any(0)):
-                who = np.flatnonzero(todo[:, b])
-                common = w[who] @ self.impacts[b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS].T
-                upper = (common + rare[who, b][:, None]) * (1 + ROUNDING)
-                i, j = np.nonzero((upper > 0) & (upper >= queries.floor[who][:, None]))
-                found.append((who[i], j + b * BLOCK_DOCS, common[i, j]))
-            q, d, common = (np.concatenate(x) for x in zip(*found, strict=True))
-            # the other terms' part of each document's score, where a document of the block is still in question
-            asked = np.zeros((nq, nb), bool)
-            asked[q, d // BLOCK_DOCS] = True
-            hit = asked[rare_q, at_block]
-            postings, which = ranges(self.entry_begin[entries[hit]], self.entry_begin[entries[hit] + 1])
-            others = np.bincount(rare_q[hit][which] * (nb * BLOCK_DOCS) + self.rare_doc[postings], self.rare_impact[postings] * rare_w[hit][which], nq * nb * BLOCK_DOCS).reshape(nq, -1)
-            upper = (common + others[q, d]) * (1 + ROUNDING)
-            kept = np.flatnonzero((upper > 0) & (upper >= queries.floor[q]) & (d < len(self.ids)))
-            kept = kept[np.argsort(q[kept], kind="stable")]
-            q, d = q[kept], d[kept]
-            edges = [0, *(np.flatnonzero(np.diff(q)) + 1).tolist(), len(q)]
-            for begin, end in zip(edges, edges[1:], strict=False):
-                if begin < end:
-                    k = int(q[begin])
-                    terms = slice(own[k], own[k + 1])
-                    self._score(queries, k, at[terms], weight[terms], d[begin:end])
+        nq, n = len(queries.ids), len(self.ids)
+        asked, place, count, of, idf = queries.expanded()
+        at = np.minimum(np.searchsorted(self.terms, asked), len(self.terms) - 1)
+        here = (self.terms[at] == asked) & (idf > 0)
+        self._weigh(at[here], idf[here])
+        on = here[place]
+        place, count, of = place[on], count[on], of[on]
+        at, weight = at[place], count * idf[place]
+        own = np.searchsorted(of, np.arange(nq + 1)).tolist()
+        # frequent terms: one product
+        row = self.row[at]
+        on = row >= 0
+        w = np.zeros((nq, len(self.impacts)), np.float32)
+        w[of[on], row[on]] = weight[on]
+        common = w @ self.impacts
+        # the others: short lists of postings are picked one by one, long ones copied as they are
+        size = self.begin[at + 1] - self.begin[at]
+        short = ~on & (size < LONG) & (count <= REPEATS)
+        few, more = np.flatnonzero(short), np.flatnonzero(~on & ~short)
+        times = np.where(count[more] <= REPEATS, count[more], 1)
+        few, more = np.repeat(few, count[few]), np.repeat(more, times)  # a word that a query has twice is added twice
+        many = count[more] > REPEATS
+        order = np.lexsort((many, of[more]))
+        more, many = more[order], many[order]
+        begin, long = self.begin[at[few]], size[few]
+        last = np.cumsum(long)
+        jump = begin - np.concatenate([[0], (begin + long)[:-1]]) + 1  # from the last posting of a term to the first of the next
+        cut, cut_more = (np.searchsorted(of[x], np.arange(nq + 1)).tolist() for x in (few, more))
+        cut_many = np.searchsorted(2 * of[more] + many, 2 * np.arange(nq) + 1).tolist()
+        lists = list(zip(self.begin[at[more]].tolist(), self.begin[at[more] + 1].tolist(), strict=True))
+        for q in range(nq):
+            i, j = cut[q], cut[q + 1]
+            pieces = [self.postings[x:y] for x, y in lists[cut_more[q] : cut_more[q + 1]]]
+            if i < j:
+                step = np.ones(last[j - 1] - last[i] + long[i], np.int64)
+                step[0] = begin[i]
+                step[last[i : j - 1] - (last[i] - long[i])] = jump[i + 1 : j]
+                pieces.insert(0, self.postings[np.cumsum(step, out=step)])
+            score = common[q]
+            if pieces:
+                found = np.concatenate(pieces)
+                where = _marks(found)
+                if cut_many[q] < cut_more[q + 1]:
+                    which = more[cut_many[q] : cut_more[q + 1]]
+                    times = np.repeat(count[which], size[which])
+                    found[len(found) - len(times) :] *= times
+                score = np.bincount(where, found, n)
+                score += common[q]
+            terms = slice(own[q], own[q + 1])
+            if not queries.floor[q]:
+                some = min(n, WAVES[0] * queries.k)
+                best = np.argpartition(score, n - some)[n - some :]
+                best = best[score[best] > 0]
+                if len(best):
+                    self._score(queries, q, at[terms], weight[terms], best)
+                score[best] = 0
+            least = queries.floor[q] * (1 - ROUNDING)
+            kept = np.flatnonzero(score >= least) if least else np.flatnonzero(score)
+            if len(kept):
+                self._score(queries, q, at[terms], weight[terms], kept)
 
     def _score(self, queries: _Part, q: int, terms: np.ndarray, weight: np.ndarray, docs: np.ndarray) -> None:
-        self.weight[terms] = weight
-        for begin in range(0, len(docs), 1024):  # a document's postings at a time are few
+        """The scores of documents in double precision, each added up in the order of the terms, so that equal texts get equal ones."""
+        terms = terms.astype(np.int32)
+        for begin in range(0, len(docs), 1024):
             part = docs[begin : begin + 1024]
-            postings, of = ranges(self.doc_begin[part], self.doc_begin[part + 1])
-            tf = self.doc_tf[postings].astype(float)
-            score = np.bincount(of, self.weight[self.doc_term[postings]] * (tf * (K1 + 1) / (tf + self.norm[part][of])), len(part))
+            start, end = self.doc_begin[part], self.doc_begin[part + 1]
+            postings, which = [], []
+            for i, j in zip(start.tolist(), end.tolist(), strict=True):
+                own = self.doc_term[i:j]
+                at = np.searchsorted(own, terms)
+                at[at == len(own)] = 0
+                hit = np.flatnonzero(own[at] == terms)
+                postings.append(at[hit] + i)
+                which.append(hit)
+            of = np.repeat(np.arange(len(part)), [len(x) for x in which])
+            tf = self.doc_tf[np.concatenate(postings)].astype(float)
+            score = np.bincount(of, weight[np.concatenate(which)] * (tf * (K1 + 1) / (tf + self.norm[part][of])), len(part))
             hit = (score > 0) & (score >= queries.floor[q])
             if hit.any():
                 queries.add(q, self.ids[part[hit]], score[hit])
-        self.weight[terms] = 0
 
 
 def _floors(seeds, k: int, n_docs: int, mean: float):
@@ -302,7 +380,7 @@ def _floors(seeds, k: int, n_docs: int, mean: float):
         for b in batches:
             rows = [row | {"idf": _idf(row, n_docs)} for row in b.to_pylist()]
             parts = [_Part(row, k) for row in rows]
-            for row in seeds.value if parts else []:  # one shard is held at a time
+            for row in _together(seeds.value if parts else []):  # one is held at a time
                 shard = _Shard(row, mean)
                 for queries in parts:
                     shard.visit(queries)
@@ -316,12 +394,12 @@ def _floors(seeds, k: int, n_docs: int, mean: float):
 def _search(shared, k: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = None
-        for b in batches:
-            for i in range(len(b)):
-                parts = [_Part(row, k) for row in shared.value] if parts is None else parts
-                shard = _Shard(b.slice(i, 1).to_pylist()[0], mean)
-                for queries in parts:
-                    shard.visit(queries)
+        for row in _together(b.slice(i, 1).to_pylist()[0] for b in batches for i in range(len(b))):
+            parts = [_Part(row, k) for row in shared.value] if parts is None else parts
+            shard = _Shard(row, mean)
+            for queries in parts:
+                shard.visit(queries)
+            del shard
         for queries in parts or []:
             rows = [(np.full(len(d), queries.ids[q]), d, s, np.full(len(d), q)) for q, (d, s) in enumerate(queries.best) if len(d)]
             if rows:

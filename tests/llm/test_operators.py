@@ -425,6 +425,41 @@ def test_search_prunes_and_stays_exact(monkeypatch):
     assert sum(scored) < 0.5 * len(asked) * len(texts)
 
 
+def test_search_joins_shards(monkeypatch):
+    """A task searches neighbouring shards as one: short and long postings, frequent terms, words repeated in a query, and empty texts."""
+    import types
+
+    import pyarrow as pa
+
+    for name, value in (("SHARD_DOCS", 40), ("JOINED_DOCS", 200), ("LONG", 6), ("REPEATS", 2), ("DENSE_SHARE", 4), ("PART_QUERIES", 9)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{min(150, int(rng.paretovariate(0.6)))}" for _ in range(rng.randrange(1, 90))) for _ in range(600)]
+    texts += [texts[i] for i in range(0, 50, 5)] + [None, "", "!"] * 4
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "part": [0] * len(texts)})
+    index = list(search._index(iter([batch])))
+    asked = [*range(0, len(texts), 11), *range(len(texts) - 12, len(texts))]
+    parts = [r for b in search._query_parts(iter([batch.take(pa.array(asked))])) for r in b.to_pylist()]
+    df = collections.Counter()
+    for b in search._counted(iter(index)):
+        df.update(dict(zip(b.column("term").to_pylist(), b.column("n").to_pylist(), strict=True)))
+    n, words = sum(b.column("n")[0].as_py() for b in index), sum(b.column("words")[0].as_py() for b in index)
+    for row in parts:
+        t = [x for x in np.frombuffer(row["terms"], "<i8").tolist() if x in df]
+        row |= {"known": np.array(t, "<i8").tobytes(), "frequencies": np.array([df[x] for x in t], "<i8").tobytes()}
+        row |= {"idf": search._idf(row, n)}
+    searched, whole = [], search._Shard.__init__
+    monkeypatch.setattr(search._Shard, "__init__", lambda self, row, mean: (searched.append(len(row["ids"]) // 8), whole(self, row, mean))[1])
+    got = collections.defaultdict(list)
+    for b in search._search(types.SimpleNamespace(value=parts), 4, words / n)(iter(index)):
+        for r in b.to_pylist():
+            for q, d, x in zip(*(np.frombuffer(r[c], t).tolist() for c, t in (("queries", "<i8"), ("docs", "<i8"), ("scores", "<f8"))), strict=True):
+                got[q].append((d, x))
+    for q, want in brute_search(texts, asked, 4).items():
+        assert [i for i, _ in got[q]] == [i for i, _ in want] and [s for _, s in got[q]] == pytest.approx([s for _, s in want], rel=1e-9)
+    assert len(index) == 16 and searched == [200, 200, 200, 22]
+
+
 # --------------------------------------------------------------------------- 6
 def test_toxicity_on_held_out_rows(spark, sf):
     d, labels = spark.read.parquet(f"{sf[:-5]}0.01/documents.parquet"), spark.read.parquet(f"{sf[:-5]}0.01/labels.parquet")
