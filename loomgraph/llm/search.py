@@ -55,6 +55,19 @@ SEEDS = 5
 PART_QUERIES, PART_BYTES = 192, 3 << 19
 ROUND_BYTES = 48 << 20
 _GAPS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+_ASCII_GAPS = bytes(x if x > 127 or chr(x).isalnum() else 32 for x in range(256))
+FEW_GAPS = 32  # kinds of characters outside ASCII that are replaced kind by kind
+
+
+def _spaced(raw: list[bytes]) -> list[bytes]:
+    """Texts in lower case with spaces for all that is no letter, mark or digit: bytes by a table, other characters by what kinds there are."""
+    texts = [x.decode().lower() for x in raw]
+    gaps = [c for c in set().union(*map(set, texts)) if c > "\x7f" and _GAPS.match(c)]
+    if len(gaps) > FEW_GAPS:
+        return [_GAPS.sub(" ", x).encode() for x in texts]
+    for c in gaps:
+        texts = [x.replace(c, " ") for x in texts]
+    return [x.encode().translate(_ASCII_GAPS) for x in texts]
 
 
 def _terms(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +78,7 @@ def _terms(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         size += len(x)
         if size < SLICE_BYTES and i + 1 < len(raw):
             continue
-        words = Words([_GAPS.sub(" ", y.decode().lower()).encode() for y in raw[begin : i + 1]])
+        words = Words(_spaced(raw[begin : i + 1]))
         order = np.lexsort((words.hash, words.doc))
         doc, h = words.doc[order], words.hash[order]
         new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))

@@ -460,6 +460,17 @@ def test_search_joins_shards(monkeypatch):
     assert len(index) == 16 and searched == [200, 200, 200, 22]
 
 
+def test_search_terms_are_runs_of_letters_marks_and_digits():
+    rng = random.Random(17)
+    pools = [range(0, 128), range(0x80, 0x250), range(0x300, 0x530), range(0x2000, 0x2100), range(0x20, 0xD7FF), range(0x1F300, 0x1F700)]
+    few = ["Straße — naïve… ΣΊΣΥΦΟΣ e\u0301 ½ x²\u00a0\x85\x1c\tend\n" + "".join(chr(rng.choice(range(32, 256))) for _ in range(20)) for _ in range(3)]
+    many = ["".join(chr(rng.choice(rng.choice(pools))) for _ in range(80)) for _ in range(300)]
+    for texts in (few, many, [*few, *many], ["", "!", " "], [*TEXTS[1:9]]):
+        got = [x.decode().split(" ") for x in search._spaced([x.encode() for x in texts])]
+        assert [[w for w in x if w] for x in got] == [regex.findall(r"[\p{L}\p{M}\p{N}]+", x.lower()) for x in texts]
+    assert search._spaced([]) == []
+
+
 # --------------------------------------------------------------------------- 6
 def test_toxicity_on_held_out_rows(spark, sf):
     d, labels = spark.read.parquet(f"{sf[:-5]}0.01/documents.parquet"), spark.read.parquet(f"{sf[:-5]}0.01/labels.parquet")
