@@ -119,6 +119,6 @@ def triangle_count(pairs: DataFrame) -> DataFrame:
     packed = pairs.where("src <> dst").mapInArrow(_pack, "p int, q int, a binary, b binary")
     key = F.array_sort(F.array("p", "q", "r"))
     sent = packed.select("a", "b", "p", "q", F.explode(F.sequence(F.lit(0), F.lit(COLOURS - 1))).alias("r")).select(((key[0] * COLOURS + key[1]) * COLOURS + key[2]).alias("task"), "a", "b")
-    tasks = COLOURS * (COLOURS + 1) * (COLOURS + 2) // 6
+    tasks = min(COLOURS * (COLOURS + 1) * (COLOURS + 2) // 6, 8 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = sent.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(_count, "n long")
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_triangles"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.algorithms import canonical, triangles
+from ..operators.algorithms import canonical, triangle_count
 from ..sources.files import EDGE_RECORD
 
 STATE = "batch long, a long, b long"
@@ -90,16 +90,28 @@ class TriangleStream:
 
     def recount(self) -> DataFrame:
         """Mode 0: all triangles of the edges so far, from scratch."""
-        return triangles(self.edges().select(F.col("a").alias("src"), F.col("b").alias("dst"))).agg(F.count("*").alias("n_triangles"))
+        return triangle_count(self.edges().select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 def new_triangles(new: DataFrame, edges: DataFrame) -> DataFrame:
-    """Triangles a < b < c of edges (a, b) with at least one edge in new (a, b)."""
-    sym = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    wedge = new.join(sym.select(F.col("a"), F.col("b").alias("w")), "a").where("w <> b")
-    closed = wedge.join(sym.select(F.col("a").alias("b"), F.col("b").alias("w")), ["b", "w"])
-    tri = F.array_sort(F.array("a", "b", "w"))
-    return closed.select(tri[0].alias("a"), tri[1].alias("b"), tri[2].alias("c")).distinct()
+    """Triangles a < b < c of distinct edges (a, b) with at least one edge in new (a, b), which edges holds too.
+
+    A new edge meets the neighbours of its end of lower degree only, so no two neighbours of a hub are paired. A triangle comes from the
+    first of its new edges, so that none has to be dropped again.
+    """
+    mark = edges.select("a", "b").join(new.select("a", "b", F.lit(True).alias("new")), ["a", "b"], "left").select("a", "b", F.coalesce("new", F.lit(False)).alias("new"))
+    sym = mark.unionByName(mark.select(F.col("b").alias("a"), F.col("a").alias("b"), "new"))
+    degree = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("deg"))
+    ends = new.select("a", "b").join(degree.select(F.col("v").alias("a"), F.col("deg").alias("da")), "a").join(degree.select(F.col("v").alias("b"), F.col("deg").alias("db")), "b")
+    low = F.struct("da", "a") < F.struct("db", "b")
+    started = ends.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
+    first = lambda x, y: F.struct(F.least(x, y), F.greatest(x, y))
+    later = lambda x, y: ~F.col("new") | (first(x, y) > first("u", "v"))
+    wedge = started.join(sym.select(F.col("a").alias("u"), F.col("b").alias("w"), "new"), "u").where((F.col("w") != F.col("v")) & later("u", "w")).select("u", "v", "w")
+    sides = wedge.select("u", "v", "w", F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
+    closed = sides.join(mark, ["a", "b"]).where(later("v", "w"))
+    tri = F.array_sort(F.array("u", "v", "w"))
+    return closed.select(tri[0].alias("a"), tri[1].alias("b"), tri[2].alias("c"))
 
 
 def running_degrees(edges: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph import session
 from loomgraph.operators import algorithms
 from loomgraph.sources import views
+from loomgraph.streaming import triangles as stream
 
 
 def graph(spark, pairs):
@@ -19,6 +20,25 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def made(df) -> list[int]:
+    """Rows that the joins of the executed plan of a collected frame gave out."""
+    found, queue = [], [df._jdf.queryExecution().executedPlan()]
+    while queue:
+        p = queue.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            queue.append(p.executedPlan())
+            continue
+        if "QueryStage" in name:
+            queue.append(p.plan())
+            continue
+        if "Join" in name and p.metrics().contains("numOutputRows"):
+            found.append(p.metrics().apply("numOutputRows").value())
+        children = p.children()
+        queue += [children.apply(i) for i in range(children.size())]
+    return found
+
+
 def test_triangles_are_counted_without_rows_of_lists_or_text(spark, sf):
     rng = random.Random(3)
     pairs = [(rng.randrange(-30, 60), rng.randrange(90)) for _ in range(1500)]
@@ -33,3 +53,25 @@ def test_triangles_are_counted_without_rows_of_lists_or_text(spark, sf):
     assert algorithms.triangle_count(e.select(F.concat(F.lit("x"), "src").alias("src"), F.concat(F.lit("x"), "dst").alias("dst"))).first()[0] == want
     called = session.PROCEDURES["algo.trianglecount"](views.copurchase_graph(spark, sf))
     assert "collect_list" not in plan(called) and "Part:" not in plan(called)
+
+
+def test_new_triangles_pair_no_neighbours_of_a_hub(spark):
+    rng = random.Random(5)
+    pairs = sorted({(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(500)) if a < b} | {(0, i) for i in range(1, 900)})
+    fresh = set(rng.sample(pairs, 150))
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    want = {(a, b, c) for a, b in pairs for c in near.get(b, ()) if c in near[a] and {(a, b), (a, c), (b, c)} & fresh}
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "a long, b long")
+    found = stream.new_triangles(frame(fresh), frame(pairs))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    # every row that the last join but one makes is an edge and a neighbour of its end of lower degree
+    degree = {}
+    for p in pairs:
+        for v in p:
+            degree[v] = degree.get(v, 0) + 1
+    bound = sum(min(degree[a], degree[b]) for a, b in fresh)
+    rows = made(found)
+    assert rows and max(rows) <= max(bound, 2 * len(pairs))
