@@ -6,8 +6,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomgraph import queries as catalogue
 from loomgraph import session
+from loomgraph.model import MapGraph
 from loomgraph.operators import algorithms
+from loomgraph.plans.compiler import run
 from loomgraph.sources import views
 from loomgraph.streaming import triangles as stream
 
@@ -75,3 +78,26 @@ def test_new_triangles_pair_no_neighbours_of_a_hub(spark):
     bound = sum(min(degree[a], degree[b]) for a, b in fresh)
     rows = made(found)
     assert rows and max(rows) <= max(bound, 2 * len(pairs))
+
+
+def test_counts_of_pairs_make_no_row_for_a_pair(spark, sf):
+    v = spark.createDataFrame([(str(i), "AB"[i % 2], {"id": str(i), "g": str(i % 3)}, 0) for i in range(12)], "id string, label string, props map<string,string>, pid int")
+    rng = random.Random(6)
+    rows = [(f"e{i}", str(rng.randrange(12)), str(rng.randrange(12)), "ST"[i % 2], {"w": str(i % 5)}) for i in range(70)]
+    g = MapGraph(v, spark.createDataFrame(rows, "eid string, src string, dst string, type string, props map<string,string>"))
+    for text in (
+        "(a)-[:S]->(m)<-[:S]-(b) WHERE a <> b", "(a)-[:S]-(m)-[:T]-(b)", "(a:A)-[]->(m)-[:S]->(b:B)", "(a)-[r:S]-(m)-[s]-(b) WHERE b <> a AND r.w > 1 AND s.w < 4 AND m.g = 1", "(a)-[]-(m:A)-[]-(b)",
+    ):
+        for key in ("m.g AS g, ", ""):
+            fast = run(spark, g, f"MATCH {text} RETURN {key}count(*) AS n").rows
+            slow = run(spark, g, f"MATCH {text} WITH m AS m RETURN {key}count(*) AS n").rows
+            assert sorted(map(tuple, fast.collect()), key=repr) == sorted(map(tuple, slow.collect()), key=repr)
+    customers = spark.read.parquet(f"{sf}/customer.parquet").count()
+    found = catalogue.QUERIES["var_compare"](spark, sf)
+    found.collect()
+    assert 0 < max(made(found)) <= customers
+
+
+def test_all_pairs_are_made_on_all_cores(spark, sf):
+    found = catalogue.QUERIES["cartesian_equi"](spark, sf)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
