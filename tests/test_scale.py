@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from loomgraph import queries as catalogue
 from loomgraph import session
+from loomgraph.functions.vectors import cosine
 from loomgraph.model import MapGraph
-from loomgraph.operators import algorithms
+from loomgraph.operators import algorithms, link_prediction
 from loomgraph.plans.compiler import run
 from loomgraph.sources import views
 from loomgraph.streaming import triangles as stream
@@ -101,3 +102,24 @@ def test_counts_of_pairs_make_no_row_for_a_pair(spark, sf):
 def test_all_pairs_are_made_on_all_cores(spark, sf):
     found = catalogue.QUERIES["cartesian_equi"](spark, sf)
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_pairs_in_blocks_are_those_of_the_joins(spark):
+    rng = random.Random(7)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(900)] + [(h, rng.randrange(-50, 250)) for h in (1, 2) for _ in range(150)]
+    e = graph(spark, pairs)
+    vectors = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(0, 300, 2)] + [(1, [0.0, 0.0, 0.0])], "id long, embedding array<double>")
+    text = lambda df, *cs: df.withColumns({c: F.col(c).cast("string") for c in cs})
+    near = link_prediction.aggregated(e, vectors)
+    slow = algorithms.neighbour_scores(text(e, "src", "dst"))  # by joins
+    for end in ("a", "b"):
+        slow = slow.join(text(near, "id").select(F.col("id").alias(end), F.col("once").alias(f"once_{end}"), F.col("twice").alias(f"twice_{end}")), end, "left")
+    cos = [F.coalesce(F.nanvl(cosine(F.col(f"{x}_a"), F.col(f"{x}_b")), F.lit(0.0)), F.lit(0.0)) for x in ("once", "twice")]
+    row = lambda r: ((min(int(r[0]), int(r[1])), max(int(r[0]), int(r[1]))), (r[2], *(round(x, 9) for x in r[3:])))
+    want = dict(map(row, slow.select("a", "b", "common", "jaccard", "adamic_adar", *cos).collect()))
+    found = link_prediction.features(e, vectors).collect()
+    got = dict(map(row, found))
+    assert len(found) == len(got) and got == want and len(got) > 5000 and any(v[3] for v in got.values())
+    assert link_prediction._n_pairs(e) == len(got)
+    assert "Join" not in plan(algorithms.neighbour_scores(e)).split("MapInArrow")[0]  # pairs are made after all joins
+    assert plan(algorithms.neighbour_scores(e)).count("Join") == 1
