@@ -123,3 +123,12 @@ def test_pairs_in_blocks_are_those_of_the_joins(spark):
     assert link_prediction._n_pairs(e) == len(got)
     assert "Join" not in plan(algorithms.neighbour_scores(e)).split("MapInArrow")[0]  # pairs are made after all joins
     assert plan(algorithms.neighbour_scores(e)).count("Join") == 1
+
+
+def test_scores_of_given_pairs_pass_by_hubs(spark):
+    e = graph(spark, [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1, 400)])
+    wanted = spark.createDataFrame([(0, i) for i in range(1, 200)], "a long, b long")
+    found = algorithms.neighbour_scores(e, wanted)
+    got = {(r.a, r.b): r.common for r in found.collect()}
+    assert got == {(0, i): 1 + (i > 1) for i in range(1, 200)}
+    assert 0 < max(made(found)) < 5000  # a row for each neighbour of the hub and pair would be 79,401
