@@ -216,7 +216,7 @@ def cosine_topk(spark, sf_dir):
 
 
 def beam_search(spark, sf_dir):
-    edges = views.copurchase(spark, sf_dir).select(F.concat_ws("-", "src", "dst").alias("eid"), "src", "dst", F.lit("WITH").alias("type"))
+    edges = lambda ids: views.copurchase_around(spark, sf_dir, ids).select(F.concat_ws("-", "src", "dst").alias("eid"), "src", "dst", F.lit("WITH").alias("type"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     out = vector_search.beam_search(vectors, edges, _first_vector(spark, sf_dir))
     return out.select(F.concat_ws(",", F.transform("path_nodes", lambda x: x.cast("string"))).alias("path"), F.round("score", 6).alias("score"))

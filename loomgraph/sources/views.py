@@ -33,6 +33,14 @@ def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.alias("x").join(items.alias("y"), (F.col("x.o") == F.col("y.o")) & (F.col("x.p") < F.col("y.p"))).select(F.col("x.p").alias("src"), F.col("y.p").alias("dst")).distinct()
 
 
+def copurchase_around(spark: SparkSession, sf_dir: str, ids: list) -> DataFrame:
+    """The edges of copurchase() with an end in ids, by the orders of these parts only."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
+    own = items.where(F.col("p").isin(ids)).distinct().withColumnRenamed("p", "q")
+    pairs = items.join(F.broadcast(own), "o").where("p <> q")
+    return pairs.select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).distinct()
+
+
 def copurchase_graph(spark: SparkSession, sf_dir: str) -> TableGraph:
     e = copurchase(spark, sf_dir)
     return TableGraph({"Part": NodeTable(table(spark, sf_dir, "part"), "p_partkey")}, {"WITH": [RelTable(e, "src", "dst", "Part", "Part", F.concat_ws("-", "src", "dst"))]}, False, "copurchase")
