@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import pairs as block_pairs
 from . import triples
@@ -183,18 +189,22 @@ def label_partition(edges: DataFrame, n: int, rounds: int = 8, slack: float = 0.
     keep every part below (1 + slack) of its share. Who goes is decided by gain, then by a hash. All steps are joins and aggregations.
     """
     c = canonical(edges)
-    sym = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sym = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("b").persist()  # every round reads it
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     at = ids.withColumn("pid", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     total = ids.count()
     limit = int((1 + slack) * total / n) + 1
+    asked_before: DataFrame | None = None
     for turn in range(rounds):
         at = at.checkpoint() if has_checkpoints(at) else at.persist()
         near = sym.join(at.select(F.col("id").alias("b"), "pid"), "b").groupBy(F.col("a").alias("id"), "pid").agg(F.count("*").alias("k"))
         best = near.groupBy("id").agg(F.max(F.struct("k", (-F.col("pid")).alias("q"))).alias("best")).select("id", F.col("best.k").alias("k"), (-F.col("best.q")).alias("to"))
         own = near.withColumnRenamed("k", "own").join(at, ["id", "pid"]).select("id", "own")
-        wish = at.join(best, "id").join(own, "id", "left").select("id", "pid", "to", (F.col("k") - F.coalesce("own", F.lit(0))).alias("gain")).where("to <> pid and gain > 0")
+        wish = at.join(best, "id").join(own, "id", "left").select("id", "pid", "to", (F.col("k") - F.coalesce("own", F.lit(0))).alias("gain")).where("to <> pid and gain > 0").persist()  # counted, ranked and moved
         sizes = {r.pid: r.n for r in at.groupBy("pid").agg(F.count("*").alias("n")).collect()}  # n rows
+        if asked_before is not None:  # the parts are kept by now
+            asked_before.unpersist()
+        asked_before = wish
         asked = {(r.pid, r.to): r.n for r in wish.groupBy("pid", "to").agg(F.count("*").alias("n")).collect()}  # n² rows at most
         room = {p: max(0, limit - sizes.get(p, 0)) for p in range(n)}
         quota = []
@@ -220,50 +230,68 @@ def label_partition(edges: DataFrame, n: int, rounds: int = 8, slack: float = 0.
 def stream_partition(edges: DataFrame, n: int, method: str, order: Column | str = "src", vertices: int | None = None) -> DataFrame:
     """id, pid by the one-pass partitioners "fennel" and "ldg", which look at each edge after all before it.
 
-    The rule is sequential: one task handles the edges in order, and its memory follows the vertices. Use ``hash_partition`` where that is too much.
+    The rule is sequential: edges are sorted by many tasks and packed, one task handles them in order, and its memory follows the vertices. Use ``hash_partition`` where that is too much.
     """
-    import pandas as pd
-
     totals = edges.agg(F.count("*").alias("m")).first()
     n_vertices = vertices or vertex_count(edges).first()[0]
     m = totals.m
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        gamma = 1.5
-        weight = m * n ** (gamma - 1) / max(1, n_vertices) ** gamma
-        limit = max(1.0, n_vertices / n)
-        where: dict = {}
-        near: list[dict] = [{} for _ in range(n)]  # vertex -> its neighbours placed in each part
-        sizes = [0] * n
-
-        def best(v) -> int:
+    if method not in ("fennel", "ldg"):
+        raise ValueError("the method is fennel or ldg")
+    gamma = 1.5
+    weight = m * n ** (gamma - 1) / max(1, n_vertices) ** gamma
+    limit = max(1.0, n_vertices / n)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A sorted partition's edges as numbered rows of compressed bytes."""
+        for i, batch in enumerate(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "i": pa.array([i], pa.int32()), "edges": [sink.getvalue().to_pybytes()]})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot: dict = {}  # vertex -> its place in the arrays
+        where, inside, sizes = array("i"), array("q"), [0] * n  # inside: neighbours of a vertex in each part, n for a vertex
+
+        def slot_of(v) -> int:
+            s = slot.setdefault(v, len(where))
+            if s == len(where):
+                where.append(-1)
+                inside.extend([0] * n)
+            return s
+
+        def best(v: int) -> int:
             def score(p: int) -> float:
-                inside = near[p].get(v, 0)
+                k = inside[v * n + p]
                 if method == "ldg":
-                    return max(1, inside) * (1 - sizes[p] / limit)
-                return inside - weight * ((sizes[p] + 1) ** gamma - sizes[p] ** gamma)
+                    return max(1, k) * (1 - sizes[p] / limit)
+                return k - weight * ((sizes[p] + 1) ** gamma - sizes[p] ** gamma)
 
             return max(range(n), key=lambda p: (score(p), -p))
 
-        for a, b in zip(pdf.src, pdf.dst, strict=True):
-            for v, other in ((a, b), (b, a)):
-                if v not in where:
-                    if other in where:
-                        near[where[other]][v] = near[where[other]].get(v, 0) + 1
-                    where[v] = best(v)
-                    sizes[where[v]] += 1
-                near[where[v]][other] = near[where[v]].get(other, 0) + 1
-        return pd.DataFrame({"id": list(where), "pid": pd.array(list(where.values()), "int32")})
-
-    if method not in ("fennel", "ldg"):
-        raise ValueError("the method is fennel or ldg")
-    kind = edges.schema["src"].dataType.simpleString()
-    ordered = edges.select("src", "dst", (F.col(order) if isinstance(order, str) else order).alias("o"), F.lit("all").alias("everything"))
-
-    def run(pdf):
-        return place(pdf.sort_values(["o", "src", "dst"], kind="stable"))
-
-    return ordered.groupBy("everything").applyInPandas(run, f"id {kind}, pid int")
+        for batch in batches:
+            for blob in batch.column(2):
+                pairs = pa.ipc.open_stream(blob.as_buffer()).read_all()
+                for a, b in zip(pairs.column(0).to_pylist(), pairs.column(1).to_pylist(), strict=True):
+                    x, y = slot_of(a), slot_of(b)
+                    for v, other in ((x, y), (y, x)):
+                        if where[v] < 0:
+                            if where[other] >= 0:
+                                inside[v * n + where[other]] += 1
+                            where[v] = best(v)
+                            sizes[where[v]] += 1
+                        inside[other * n + where[v]] += 1
+        ids = list(slot)
+        for low in range(0, len(ids), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + 50_000], arrow_kind), pa.array(where[low : low + 50_000], pa.int32())], ["id", "pid"])
+
+    kind, arrow_kind = edges.schema["src"].dataType.simpleString(), to_arrow_type(edges.schema["src"].dataType)
+    edges.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    last = lambda c: F.col(c).asc_nulls_last()
+    ordered = edges.select("src", "dst", (F.col(order) if isinstance(order, str) else order).alias("o")).orderBy(last("o"), last("src"), last("dst")).select("src", "dst")
+    packed = ordered.mapInArrow(pack, "part int, i int, edges binary")
+    return packed.repartition(1).sortWithinPartitions("part", "i").mapInArrow(place, f"id {kind}, pid int")
 
 
 BUCKETS = 256  # of numbered(), at most; a bucket is sorted by one task, on disk if need be

@@ -132,3 +132,26 @@ def test_scores_of_given_pairs_pass_by_hubs(spark):
     got = {(r.a, r.b): r.common for r in found.collect()}
     assert got == {(0, i): 1 + (i > 1) for i in range(1, 200)}
     assert 0 < max(made(found)) < 5000  # a row for each neighbour of the hub and pair would be 79,401
+
+
+def test_beams_read_the_orders_of_their_parts_only(spark, sf):
+    whole, ids = views.copurchase(spark, sf), [1, 5, 7]
+    want = {(r.src, r.dst) for r in whole.where(F.col("src").isin(ids) | F.col("dst").isin(ids)).collect()}
+    near = views.copurchase_around(spark, sf, ids)
+    assert {(r.src, r.dst) for r in near.collect()} == want and want
+    assert 0 < max(made(near)) < whole.count() / 10
+
+
+def test_stream_partitioners_pass_packed_edges_to_their_task(spark):
+    e = spark.range(30_000).select(F.col("id").alias("o"), (F.col("id") % 97).alias("src"), (F.col("id") % 89).alias("dst"))
+    found = algorithms.stream_partition(e, 4, "ldg", "o")
+    assert found.count() == 97
+    assert "edges#" in plan(found) and "FlatMapGroups" not in plan(found)
+
+
+def test_rounds_of_label_partition_read_kept_edges(spark):
+    rng = random.Random(9)
+    e = graph(spark, [(rng.randrange(200), rng.randrange(200)) for _ in range(900)])
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    assert algorithms.label_partition(e, 4, rounds=3).count() == 199
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() > before
