@@ -71,7 +71,7 @@ def citation_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def rdf_xml(spark: SparkSession, path: str, row_tag: str = "article") -> tuple[DataFrame, DataFrame]:
-    """(edges, authors) of articles: an edge per pair of authors in their order, with the article's attributes; authors numbered from 1 by name."""
+    """(edges, authors) of articles: an edge per pair of authors in their order, with the article's attributes and both names; authors numbered from 1 by name."""
     fields = ["title", "type", "journal", "web", "month", "year", "volume"]
     schema = T.StructType([T.StructField("author", T.ArrayType(T.StringType())), *[T.StructField(c, T.StringType()) for c in fields]])
     articles = spark.read.schema(schema).format("xml").option("rowTag", row_tag).load(path).where(F.size("author") > 0)
@@ -79,9 +79,11 @@ def rdf_xml(spark: SparkSession, path: str, row_tag: str = "article") -> tuple[D
     authors = articles.select(F.explode("author").alias("name")).distinct()
     authors = numbered(authors, "name", 1)
     placed = articles.select("article", *fields, F.posexplode("author").alias("pos", "name")).join(authors, "name")
-    a = placed.select("article", *fields, F.col("pos").alias("i"), F.col("id").alias("src"))
-    b = placed.select("article", F.col("pos").alias("j"), F.col("id").alias("dst"))
-    return a.join(b, "article").where("i < j").select("src", "dst", "article", *fields), authors
+    # an article's authors are brought together once and paired in place, with their names, so that pairs are neither joined nor shuffled
+    whole = placed.groupBy("article", *fields).agg(F.array_sort(F.collect_list(F.struct("pos", "id", "name"))).alias("all"))
+    first = whole.select("article", *fields, "all", F.explode("all").alias("x"))
+    pairs = first.select("article", *fields, "x", F.explode(F.filter("all", lambda y: y["pos"] > F.col("x.pos"))).alias("y"))
+    return pairs.select(F.col("x.id").alias("src"), F.col("y.id").alias("dst"), "article", *fields, F.col("x.name").alias("src_name"), F.col("y.name").alias("dst_name")), authors
 
 
 def rdf_triples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -155,3 +155,8 @@ def test_rounds_of_label_partition_read_kept_edges(spark):
     before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
     assert algorithms.label_partition(e, 4, rounds=3).count() == 199
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() > before
+
+
+def test_authors_of_articles_are_paired_without_a_join_of_pairs(spark, sf):
+    found = catalogue.QUERIES["rdf_xml_roundtrip"](spark, sf)
+    assert plan(found).count("Join") <= 2  # names to numbers only: of pairs none
